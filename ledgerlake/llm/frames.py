@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -18,21 +16,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
+    (tests) one under the warehouse."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests) under the warehouse."""
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(where or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def kept_for_reuse(df: DataFrame) -> DataFrame:
-    """Persist on executors' disks for a second reading; lost parts are computed anew."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names, so that others cannot clash."""
     return df.select(*[F.col(f"`{theirs}`").alias(own) for own, theirs in columns.items()])
@@ -49,7 +46,3 @@ def restored(df: DataFrame, columns: list[str], made: dict[str, Column]) -> Data
     inside = {f.name for f in df.schema["rest"].dataType}
     kept = [made[c].alias(c) if c in made else F.col(f"rest.`{c}`") for c in columns if c in made or c in inside]
     return df.select(*kept, *[v.alias(k) for k, v in made.items() if k not in columns])
-
-
-def schema_of(df: DataFrame, *add: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in add]])
