@@ -23,6 +23,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract, fit_extractor
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, fit_extractor(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
