@@ -15,8 +15,8 @@ pairs are made: a run of equal hashes is streamed, keeping its first id only.
 
 Scale and skew:
 
-* the texts are shuffled once, by id; all later joins are by the same id and
-  reuse that exchange;
+* the texts are shuffled once, by id; every later pass and join is by the same
+  id and reuses that exchange (hence no filter or projection of its own);
 * documents equal to one with a smaller id are settled by a digest beforehand;
 * a batch settles what it sees twice itself (for windows: all but the smallest
   id of a hash are already decided) and sends the decided rows on under a key
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +69,8 @@ def _anchors(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            judged = pc.and_(pc.invert(whole.column(4)), pc.and_(whole.column(0).is_valid(), whole.column(1).is_valid()))
+            for batch in slices(whole.select([0, 1, 2]).filter(judged), 1):
                 ids, w = batch.column(0).to_numpy(zero_copy_only=False), words_of(batch.column(1))
                 tag = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), w.counts)
                 place = np.arange(len(w.hashes)) - np.repeat(w.first[:-1], w.counts)
@@ -122,11 +123,12 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            judged = pc.and_(pc.invert(whole.column(4)), whole.column(5).is_valid())
+            for batch in slices(whole.select([0, 1, 2, 5]).filter(judged), 1):
                 ids, w = batch.column(0).to_numpy(zero_copy_only=False), words_of(batch.column(1))
                 marks = np.zeros(len(w.hashes) + 1, np.int32)
                 anchors, tags = batch.column(3), batch.column(2).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(anchors)), pa.compute.list_value_length(anchors).to_numpy(zero_copy_only=False))
+                owner = np.repeat(np.arange(len(anchors)), pc.list_value_length(anchors).to_numpy(zero_copy_only=False))
                 at = anchors.flatten().to_numpy(zero_copy_only=False)
                 own = at & ~PLACE == tags[owner]
                 at = (at & PLACE)[own] + w.first[owner[own]]
@@ -167,9 +169,9 @@ def _cut(window: int):
         for whole in batches:
             for batch in slices(whole, 1):
                 w, texts = words_of(batch.column(1)), batch.column(1).to_pylist()
-                copy, tags = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+                copy, tags = batch.column(4).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
                 kept, removed, spans = [], [], []
-                for i, found in enumerate(batch.column(2)):
+                for i, found in enumerate(batch.column(5)):
                     lo, hi = w.first[i], w.first[i + 1]
                     gone = np.zeros(hi - lo + 1, np.int32)
                     if copy[i] and hi - lo >= window:
@@ -186,7 +188,7 @@ def _cut(window: int):
                     words = (texts[i] or "").encode().split()
                     kept.append(b" ".join(x for x, g in zip(words, gone) if not g).decode() if len(edge) else b" ".join(words).decode())
                     removed.append(int(gone.sum()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(4), pa.array(kept, pa.string()), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["d", "text", "rest", "kept_text", "n_words", "n_removed", "removed_spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(kept, pa.string()), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["d", "text", "rest", "kept_text", "n_words", "n_removed", "removed_spans"])
 
     return run
 
@@ -196,21 +198,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed_spans (word ranges, stop exclusive); see the module for all defined cases."""
     anchor_words(window)
     n = shuffle_width(docs.sparkSession)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"), (F.coalesce(F.crc32(f"`{text_col}`"), F.lit(0)).bitwiseAND(F.lit(0x7FFFFF)) * F.lit(PLACE + 1)).alias("t"), carried(docs, id_col, text_col).alias("rest")).repartition(n, "d")
-    texts = base.select("d", "text").where("d is not null")
-    copies = texts.where("text is not null").groupBy(F.sha2("text", 256).alias("k")).agg(F.min("d").alias("first"))
-    copied = texts.where("text is not null").select("d", F.sha2("text", 256).alias("k")).join(copies.hint("shuffle_hash"), "k").where("d > first").select("d", "k").distinct()
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    tag = F.coalesce(F.crc32(text), F.lit(0)).bitwiseAND(F.lit(0x7FFFFF)) * F.lit(PLACE + 1)
+    base = docs.select(key.alias("d"), text.alias("text"), tag.alias("t"), carried(docs, id_col, text_col).alias("rest")).repartition(n, "d")
+    digests = docs.select(key.alias("d"), F.sha2(text, 256).alias("k")).where("d is not null and k is not null").distinct()
+    leads = digests.groupBy("k").agg(F.min("d").alias("first"))
     # An id may have rows with several texts: a copy is told by id and digest.
-    copied = copied.groupBy("d").agg(F.collect_set("k").alias("ks"))
-    marked = base.join(copied.hint("shuffle_hash"), "d", "left").withColumn("copy", F.coalesce(F.array_contains("ks", F.sha2("text", 256)), F.lit(False))).drop("ks")
-    judged = marked.where("not copy and d is not null and text is not null").select("d", "text", "t")
-    anchors = judged.mapInArrow(_anchors(window), "h long, d long, p long, sure boolean")
+    copied = digests.join(leads, "k").where("d > first").groupBy("d").agg(F.collect_set("k").alias("ks"))
+    # Every reader below takes all rows and columns of ``base``, filtering inside: so all share its one exchange.
+    marked = base.join(copied.hint("shuffle_hash"), "d", "left").withColumn("copy", F.coalesce(F.array_contains("ks", F.sha2("text", 256)), F.lit(False))).select("d", "text", "t", "rest", "copy")
+    anchors = marked.mapInArrow(_anchors(window), "h long, d long, p long, sure boolean")
     shared = anchors.repartition(n, "h").sortWithinPartitions("h", "d").mapInArrow(_shared, "d long, p long")
     near = shared.groupBy("d").agg(F.collect_set("p").alias("at"))
-    windows = judged.join(near.hint("shuffle_hash"), "d").select("d", "text", "t", "at").mapInArrow(_windows(window), "h long, g long, d long, p long, lost boolean")
+    windows = marked.join(near.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "at").mapInArrow(_windows(window), "h long, g long, d long, p long, lost boolean")
     later = windows.repartition(n, "h", "g").sortWithinPartitions("h", "g", "d").mapInArrow(_later, "d long, p long")
     gone = later.groupBy("d").agg(F.collect_set("p").alias("gone"))
-    ready = marked.join(gone.hint("shuffle_hash"), "d", "left").select("d", "text", "gone", "copy", "rest", "t")
+    ready = marked.join(gone.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "gone")
     rest = ready.schema["rest"].dataType.simpleString()
     cut = ready.mapInArrow(_cut(window), f"d long, text string, rest {rest}, kept_text string, n_words long, n_removed long, removed_spans array<struct<start:long,stop:long>>")
     made = {id_col: F.col("d"), text_col: F.col("text")} | {c: F.col(c) for c in ("kept_text", "n_words", "n_removed", "removed_spans")}
