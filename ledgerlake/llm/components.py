@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import settle
+from .workers import lean
 
 EDGES = 250_000
 
@@ -47,7 +48,7 @@ def components(links: DataFrame, many: int) -> DataFrame:
     """node, component for all nodes of ``links`` (a, b) but the components' smallest;
     ``many`` is the number of links."""
     parts = -(-many // EDGES) or 1
-    stars = links.select(F.col("a").alias("u"), F.col("b").alias("v")).repartition(parts).mapInArrow(_contract, "u long, v long")
+    stars = links.select(F.col("a").alias("u"), F.col("b").alias("v")).repartition(parts).mapInArrow(lean(_contract), "u long, v long")
     if parts > 1:
         stars = settle(stars)
         last = None

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .frames import carried, restored
 from .words import ALNUM, Words, slices, words_of
+from .workers import lean
 
 GRAM = 5
 BLOCK_BYTES = 16 << 20
@@ -163,6 +164,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().collect()
         index = spark.sparkContext.broadcast(index_of([r["i"] for r in rows], [r["t"] for r in rows], window))
-        state = state.select("text", "spans", "items", "rest").mapInArrow(_search(index), schema)
+        state = state.select("text", "spans", "items", "rest").mapInArrow(lean(_search(index)), schema)
     made = {text_col: F.col("text"), "n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "hit_items": F.col("items"), "hit_spans": F.coalesce("spans", F.array().cast(spans)), "contaminated": F.col("n_hit") > 0}
     return restored(state, docs.columns, made)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import shuffle_width
+from .workers import lean
 
 BUCKETS = 256
 LENGTH_STEP = math.log(1.1)
@@ -116,4 +117,4 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranged = ranged.join(F.broadcast(leads), "z")
     rows = ranged.select("d", "t", F.explode(places).alias("p")).select("p.z", "d", "t", "p.guest").repartition("z")
     rows = rows.sortWithinPartitions("z", "guest", F.desc_nulls_last("d"), F.desc(F.xxhash64("t")))
-    return rows.select("z", "d", "t", "guest").mapInArrow(_pairs, kind)
+    return rows.select("z", "d", "t", "guest").mapInArrow(lean(_pairs), kind)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .frames import carried, restored
 from .words import slices
+from .workers import lean
 
 SAMPLE_PAGES, VARIANTS = 240, 3
 TREES, TREE_DEPTH = 20, 4
@@ -351,7 +352,7 @@ def fit_extractor(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE
     """Train on layouts of at most ``sample`` pages, chosen by a hash of their html."""
     rows = pages.select(F.col(f"`{html_col}`").alias("h")).where("h is not null and length(h) between 200 and 200000")
     rows = rows.select(F.pmod(F.xxhash64("h"), F.lit(1 << 31)).alias("k"), "h").orderBy("k", "h").limit(sample)
-    nodes = rows.mapInArrow(_training_rows, "x array<double>, label double").select(array_to_vector("x").alias("x"), "label").repartition(4).cache()
+    nodes = rows.mapInArrow(lean(_training_rows), "x array<double>, label double").select(array_to_vector("x").alias("x"), "label").repartition(4).cache()
     try:
         if nodes.select("label").distinct().count() < 2:
             return Forest([])
@@ -377,5 +378,5 @@ def extract(pages: DataFrame, forest: Forest, html_col: str = "html") -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["rest", "text", "n_chars"])
 
     base = pages.select(F.col(f"`{html_col}`").alias("h"), carried(pages, html_col).alias("rest"))
-    out = base.mapInArrow(run, f"rest {base.schema['rest'].dataType.simpleString()}, text string, n_chars long")
+    out = base.mapInArrow(lean(run), f"rest {base.schema['rest'].dataType.simpleString()}, text string, n_chars long")
     return restored(out, [c for c in pages.columns if c != html_col], {"text": F.col("text"), "n_chars": F.col("n_chars")})

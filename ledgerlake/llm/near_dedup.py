@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .frames import settle, shuffle_width
 from .words import SPACED, U, mix, signed, slices, words_of
+from .workers import lean
 
 TREES, FIRST, DEEP = 24, 5, 4
 HASHES = TREES * FIRST
@@ -179,12 +180,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
     width = shuffle_width(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"))
-    signed_ = settle(base.mapInArrow(_signatures(shingle), "d long, n long, f long, g long, sig binary"))
+    signed_ = settle(base.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig binary"))
     classes = signed_.where("n > 0 and d is not null").groupBy("f", "g", "n").agg(F.min("d").alias("c"), F.first("sig").alias("sig"))
     nodes = settle(classes)
-    forest = nodes.select("c", "n", "sig").mapInArrow(_trees, "key long, x long, y long, c long, n long")
+    forest = nodes.select("c", "n", "sig").mapInArrow(lean(_trees), "key long, x long, y long, c long, n long")
     regions = forest.repartitionByRange(width, "key", "x", "y", "c").sortWithinPartitions("key", "x", "y", "c")
-    regions = regions.mapInArrow(_regions, "key long, c long, n long, prev long, depth long")
+    regions = regions.mapInArrow(lean(_regions), "key long, c long, n long, prev long, depth long")
     regions = settle(regions.join(regions.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").drop("top"), "key"))
     texts = settle(base.join(regions.select(F.col("c").alias("d")).distinct().hint("shuffle_hash"), "d", "left_semi"))
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
@@ -196,10 +197,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if estimate:
             sigs = nodes.groupBy("c").agg(F.first("sig").alias("sig"))
             pairs = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("t")), "b")
-            pairs = pairs.select("a", "b", "s", "t").mapInArrow(_likely(percent), "a long, b long")
+            pairs = pairs.select("a", "b", "s", "t").mapInArrow(lean(_likely(percent)), "a long, b long")
         with_a = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("s")), "a")
         with_b = with_a.join(texts.select(F.col("d").alias("b"), F.col("text").alias("t")), "b")
-        return with_b.select("a", "b", "s", "t").mapInArrow(_confirm(shingle, percent), "a long, b long").distinct()
+        return with_b.select("a", "b", "s", "t").mapInArrow(lean(_confirm(shingle, percent)), "a long, b long").distinct()
 
     # Round a: each document's most frequent neighbours in the forest's orders.
     near = regions.where("prev is not null and prev != c").groupBy("c", F.col("prev").alias("p")).agg(F.count(F.lit(1)).alias("times"), F.max("depth").alias("depth"))

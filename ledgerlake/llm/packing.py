@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .frames import settle, shuffle_width
 from .tokens import encoder
 from .words import slices
+from .workers import lean
 
 SLICE_BYTES = 2 << 20
 
@@ -227,7 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     on request, the ids themselves (little-endian, as narrow as the vocabulary allows)."""
     base = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("text"))
     kind = base.schema["d"].dataType.simpleString()
-    tokens = settle(base.mapInArrow(_tokenise(tokenizer_path, window, separator, with_ids), f"d {kind}, n long, tail long, crc long, full array<long>, ids binary, width long"))
+    tokens = settle(base.mapInArrow(lean(_tokenise(tokenizer_path, window, separator, with_ids), tokens=True), f"d {kind}, n long, tail long, crc long, full array<long>, ids binary, width long"))
     bucket = tokens.withColumn("sub", F.pmod(F.xxhash64("d", "crc", "n"), F.lit(shuffle_width(docs.sparkSession))))
     per = bucket.where("tail > 0").groupBy("tail", "sub").agg(F.count(F.lit(1)).alias("c"))
     rows, sequences = plan({r["tail"]: r["n"] for r in per.groupBy("tail").agg(F.sum("c").alias("n")).collect()}, window)
@@ -236,4 +237,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ranked = bucket.withColumn("rank", F.row_number().over(Window.partitionBy("tail", "sub").orderBy("d", "crc", "n")) - 1)
     ranked = ranked.join(before, ["tail", "sub"], "left").withColumn("rank", (F.col("rank") + F.coalesce("before", F.lit(0))).cast("long"))
     placed = ranked.select("d", "n", "tail", "crc", "full", "ids", "rank", "width")
-    return placed.mapInArrow(_place(lookup, sequences, window, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(lean(_place(lookup, sequences, window, with_ids)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

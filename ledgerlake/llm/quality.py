@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .frames import carried, restored
 from .words import slices, words_of
+from .workers import lean
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "digits", "stops", "symbols", "bangs", "lines",
     "distinct_words", "top_word", "same_as_last", "distinct_pairs", "ends_odd", "entropy", "wide",
 )
-_CLASS = np.full(256, 8, np.int64)
+_CLASS = np.full(256, 8, np.uint8)
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:?'\"-()", "!", "\n\r", " \t\v\f")):
     _CLASS[[ord(c) for c in _chars]] = _k
 _CLASS[0x80:] = 7
@@ -47,8 +48,8 @@ def features(array: pa.Array) -> np.ndarray:
     w = words_of(array)
     n, at, m = len(w.first) - 1, w.first, len(w.hashes)
     offsets = np.diff(_ends(array))
-    owner_byte = np.repeat(np.arange(n), offsets)
-    kinds = np.bincount(owner_byte * 9 + _CLASS[w.raw], minlength=9 * n).reshape(n, 9).astype(float)
+    owner_byte = np.repeat(np.arange(n, dtype=np.int32) * 9, offsets)
+    kinds = np.bincount(owner_byte + _CLASS[w.raw], minlength=9 * n).reshape(n, 9).astype(float)
     size, words = offsets.astype(float), w.counts.astype(float)
     one, some = np.maximum(size, 1), np.maximum(words, 1)
     owner, long_ = w.owner(), (w.ends - w.starts).astype(float)
@@ -70,7 +71,7 @@ def features(array: pa.Array) -> np.ndarray:
     ph, po = pairs[porder], po[porder]
     pnew = np.ones(len(ph), bool)
     pnew[1:] = (ph[1:] != ph[:-1]) | (po[1:] != po[:-1])
-    last = _CLASS[w.raw[w.ends - 1]] if m else np.zeros(0, np.int64)
+    last = _CLASS[w.raw[w.ends - 1]] if m else np.zeros(0, np.uint8)
     odd = np.bincount(owner, (last == 8) | (last == 4), n)
     letters = kinds[:, 0] + kinds[:, 1]
     share = kinds / one[:, None]
@@ -157,8 +158,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     vectors = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("t")).where("d is not null")
     if held_out:
         vectors = vectors.where(F.crc32(F.col("d").cast("string")) % held_out != 0)
-    vectors = vectors.mapInArrow(_vectors, f"d {vectors.schema['d'].dataType.simpleString()}, x array<double>")
-    parts = vectors.join(known, "d").select("x", "y").mapInArrow(_moments, "k long, i long, v double")
+    vectors = vectors.mapInArrow(lean(_vectors), f"d {vectors.schema['d'].dataType.simpleString()}, x array<double>")
+    parts = vectors.join(known, "d").select("x", "y").mapInArrow(lean(_moments), "k long, i long, v double")
     p = len(FEATURES)
     total = np.zeros((2, 1 + p + p * p))
     for r in parts.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
@@ -175,6 +176,6 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(features(batch.column(0))))], ["text", "rest", "score"])
 
     base = docs.select(F.col(f"`{text_col}`").alias("text"), carried(docs, text_col).alias("rest"))
-    scored = base.mapInArrow(run, f"text string, rest {base.schema['rest'].dataType.simpleString()}, score double")
+    scored = base.mapInArrow(lean(run), f"text string, rest {base.schema['rest'].dataType.simpleString()}, score double")
     made = {text_col: F.col("text"), "score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")}
     return restored(scored, docs.columns, made)

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .frames import carried, restored, shuffle_width
 from .words import SPACED, mix, signed, slices, words_of
+from .workers import lean
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 """A perfect difference set: every difference modulo 31 occurs once."""
@@ -207,14 +208,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copied = digests.join(leads, "k").where("d > first").groupBy("d").agg(F.collect_set("k").alias("ks"))
     # Every reader below takes all rows and columns of ``base``, filtering inside: so all share its one exchange.
     marked = base.join(copied.hint("shuffle_hash"), "d", "left").withColumn("copy", F.coalesce(F.array_contains("ks", F.sha2("text", 256)), F.lit(False))).select("d", "text", "t", "rest", "copy")
-    anchors = marked.mapInArrow(_anchors(window), "h long, d long, p long, sure boolean")
-    shared = anchors.repartition(n, "h").sortWithinPartitions("h", "d").mapInArrow(_shared, "d long, p long")
+    anchors = marked.mapInArrow(lean(_anchors(window)), "h long, d long, p long, sure boolean")
+    shared = anchors.repartition(n, "h").sortWithinPartitions("h", "d").mapInArrow(lean(_shared), "d long, p long")
     near = shared.groupBy("d").agg(F.collect_set("p").alias("at"))
-    windows = marked.join(near.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "at").mapInArrow(_windows(window), "h long, g long, d long, p long, lost boolean")
-    later = windows.repartition(n, "h", "g").sortWithinPartitions("h", "g", "d").mapInArrow(_later, "d long, p long")
+    windows = marked.join(near.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "at").mapInArrow(lean(_windows(window)), "h long, g long, d long, p long, lost boolean")
+    later = windows.repartition(n, "h", "g").sortWithinPartitions("h", "g", "d").mapInArrow(lean(_later), "d long, p long")
     gone = later.groupBy("d").agg(F.collect_set("p").alias("gone"))
     ready = marked.join(gone.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "gone")
     rest = ready.schema["rest"].dataType.simpleString()
-    cut = ready.mapInArrow(_cut(window), f"d long, text string, rest {rest}, kept_text string, n_words long, n_removed long, removed_spans array<struct<start:long,stop:long>>")
+    cut = ready.mapInArrow(lean(_cut(window)), f"d long, text string, rest {rest}, kept_text string, n_words long, n_removed long, removed_spans array<struct<start:long,stop:long>>")
     made = {id_col: F.col("d"), text_col: F.col("text")} | {c: F.col(c) for c in ("kept_text", "n_words", "n_removed", "removed_spans")}
     return restored(cut, docs.columns, made)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .frames import carried, restored
 from .tokens import encoder
 from .words import slices
+from .workers import lean
 
 SLICE_BYTES = 2 << 20
 
@@ -41,7 +42,7 @@ def _count(path: str):
 def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (more tokens than ``limit``)."""
     base = docs.select(F.col(f"`{text_col}`").alias("text"), carried(docs, text_col).alias("rest"))
-    counted = base.mapInArrow(_count(tokenizer_path), f"text string, rest {base.schema['rest'].dataType.simpleString()}, n_tokens long")
+    counted = base.mapInArrow(lean(_count(tokenizer_path), tokens=True), f"text string, rest {base.schema['rest'].dataType.simpleString()}, n_tokens long")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     made = {text_col: F.col("text"), "n_bytes": size, "n_tokens": F.col("n_tokens"), "over_limit": F.col("n_tokens") > limit}
     return restored(counted, docs.columns, made)

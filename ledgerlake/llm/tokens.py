@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 700_000
 _WHITE = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
 _UNSAFE = rf"(^|{_WHITE}) ({_WHITE}|$)"
 RUN_CHUNKS = 20_000

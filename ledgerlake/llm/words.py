@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
-_CHUNK = 1 << 20
+SLICE_BYTES = 2 << 20
+_CHUNK = 1 << 18
 _BASE, _GRAM_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 SPACED = np.ones(256, bool)
