@@ -74,7 +74,9 @@ def log_windows(logs: DataFrame, margin_us: int) -> DataFrame:
     """Per error path the span of its trace lines with a margin; overlapping windows merged."""
     bad = logs.where("level = 'ERROR'").select("path").distinct()
     spans = logs.join(bad, "path", "left_semi").groupBy("path").agg((F.min("at_us") - margin_us).alias("start_off"), (F.max("at_us") + margin_us).alias("end_off"))
-    return interval_union(spans.withColumn("file_id", F.lit(0)))
+    # Merged per day of their start first, so that the last pass over all sees disjoint windows of days only.
+    daily = interval_union(spans.withColumn("file_id", F.floor(F.col("start_off") / 86_400_000_000)))
+    return interval_union(daily.withColumn("file_id", F.lit(0)))
 
 
 def in_windows(logs: DataFrame, windows: DataFrame, slot_us: int) -> DataFrame:
