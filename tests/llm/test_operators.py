@@ -134,6 +134,25 @@ def test_near_dedup(docs, texts, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("dense", [24, 1])
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_dedup_around_the_threshold(spark, monkeypatch, dense, seed):
+    """Near copies of a text that is not there itself, most a little too far apart, some shorter."""
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(110)]
+    docs = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(110)] = f"e{rng.randrange(12)}"
+        docs.append((i, " ".join(words[rng.randint(0, 6) : 110 - rng.randint(0, 6)])))
+    want, _ = brute_components(docs, 4, 80)
+    assert 2 < len(set(want.values())) < 60
+    got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_forest_neighbours_have_the_longest_prefix():
     keys = np.array([7, 7, 7, 8], np.int64)
     x = np.array([1 << 32, 1 << 32, 2 << 32, 0], np.int64)
