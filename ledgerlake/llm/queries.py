@@ -88,6 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .chat import ORACLE
-
-    return {"op1_chat_rotation": ORACLE}
+    from . import chat, oracles
+
+    return {
+        "op1_chat_rotation": chat.ORACLE,
+        "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op6_near_dedup": oracles.NEAR_DEDUP,
+        "op7_decontamination": oracles.DECONTAMINATION,
+    }
