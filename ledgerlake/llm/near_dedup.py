@@ -15,13 +15,19 @@ sets.  A component is what links connect; its smallest id is kept.
    dense the region, and range partitioning splits a region over tasks.
 3. Candidates in three rounds, each confirmed on the texts: (a) for every
    document the neighbours it stands next to in most trees, by prefix length;
-   (b) in regions that still hold several components, the region's smallest
-   document and all neighbours; (c) in regions that hold several components
-   even then, all pairs across components with a document outside the region's
-   main one.  Pairs inside one component need no test, so no region is ever
-   expanded into all its pairs, yet no link between components is left out.
-   Sizes alone rule out pairs before any text moves; in (b) and (c) also the
-   share of equal minimum hashes, five standard deviations below the threshold.
+   (b) in regions that still hold several components, their most central
+   document against all outside its component, and all neighbours; (c) in
+   regions that hold several components even then, all pairs across components
+   with a document outside the main one.  Regions of more than ``DENSE`` rows
+   are not expanded for (c): of a pair that is linked while one of the two is
+   not linked to the region's centre, either both have a shingle in common that
+   the centre has not, or the smaller overlap with the centre alone meets the
+   need of both sizes.  The first kind is found by an index of such shingles,
+   the second by a join on sizes, so a large group of near copies whose members
+   are a little too far apart costs its differences, not its pairs.
+   Pairs inside one component need no test.  Sizes alone rule out pairs before
+   any text moves; in (b) and (c) also the share of equal minimum hashes, five
+   standard deviations below the threshold.
 
 Texts of documents that share a region are shuffled; those of others are not
 read again.  Components are found by joins (``components``).
@@ -47,6 +53,8 @@ from .workers import lean
 
 TREES, FIRST, DEEP = 24, 5, 4
 HASHES = TREES * FIRST
+DENSE, SHORT = 24, 65
+"""Regions of more rows are searched by an index of shingles instead of by pairs; both ways are whole."""
 _rng = np.random.default_rng(20240131)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(U)
 _ODD = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(U) << U(1) | U(1)
@@ -176,6 +184,85 @@ def _likely(percent: int):
     return run
 
 
+def _residues(k: int, percent: int):
+    """Per centre and document: the document's shingles that the centre has not, each a row; and,
+    under the hash 0, its size and overlap with the centre.  ``first`` tells how many of the rows,
+    rarest first, must be searched: a partner of size b or more shares need(n + b) shingles with
+    the document, of which at most the overlap lie inside the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 4, 1 << 20):
+                s, s_at = shingles(batch.column(4), k)
+                t, t_at = shingles(batch.column(5), k)
+                p, c, component = (batch.column(i).to_numpy() for i in range(3))
+                codes = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes() for x in batch.column(3).to_pylist()]
+                low = batch.column(6).to_numpy()
+                who, what, sizes, over, first, own = [], [], [], [], [], []
+                for i in range(batch.num_rows):
+                    x, y = s[s_at[i] : s_at[i + 1]], t[t_at[i] : t_at[i + 1]]
+                    inside = y[np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))] == x if len(y) else np.zeros(len(x), bool)
+                    what.append(np.append(np.maximum(x[~inside], U(1)), U(0)))
+                    who.append(np.full(len(what[-1]), i))
+                    sizes.append(len(x))
+                    over.append(int(inside.sum()))
+                    own.append(what[-1][:-1].tobytes() if len(what[-1]) <= SHORT else None)
+                    least = max(int(low[i]), -(-percent * len(x) // 100))
+                    need = -(-percent * (len(x) + least) // (100 + percent))
+                    first.append(len(x) - over[-1] - max(1, need - over[-1]) + 1)
+                if who:
+                    i, lead = np.concatenate(who), np.concatenate(what) == U(0)
+                    # What is known of the document itself goes with its own row only.
+                    its = pa.array(np.where(lead, i, 0), mask=~lead)
+                    yield pa.RecordBatch.from_arrays([pa.array(p[i]), pa.array(signed(np.concatenate(what))), pa.array(c[i]), pa.array(component[i]), pa.array(np.array(sizes)[i]), pa.array(np.array(over)[i]), pa.array(codes, pa.binary()).take(its), pa.array(own, pa.binary()).take(its), pa.array(np.array(first, np.int64)[i])], ["p", "h", "c", "component", "n", "o", "code", "own", "first"])
+
+    return run
+
+
+def _meetings(percent: int):
+    """Of rows sorted by centre and shingle: pairs of a run that lie in different components, are
+    of like sizes, whose minimum hashes (a byte of each) do not rule them out, and that share as
+    many shingles outside the centre as they need (where both have few of these)."""
+    j = percent / 100
+    least = HASHES * j - 5 * np.sqrt(HASHES * j * (1 - j))
+
+    def pairs(run: pa.Table) -> pa.RecordBatch:
+        c, component, n, o = (run.column(i).to_numpy() for i in (2, 3, 4, 5))
+        outside = [None if x is None else np.frombuffer(x, U) for x in run.column(7).to_pylist()]
+        code = np.frombuffer(b"".join(run.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)
+        a, b = [], []
+        for i in range(1, len(c)):
+            ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+            m = np.flatnonzero(ok)
+            m = m[(code[m] == code[i]).sum(1) >= least]
+            if outside[i] is not None and len(m):
+                need = -(-percent * (n[m] + n[i]) // (100 + percent)) - np.minimum(o[m], o[i])
+                few = [outside[k] if outside[k] is not None else outside[i] for k in m]
+                owner = np.repeat(np.arange(len(m)), [len(x) for x in few])
+                got = np.bincount(owner, np.isin(np.concatenate(few), outside[i]), len(m))
+                m = m[(got >= need) | np.array([outside[k] is None for k in m])]
+            a.append(np.minimum(c[m], c[i]))
+            b.append(np.maximum(c[m], c[i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            p, h, component = (rows.column(i).to_numpy() for i in (0, 1, 3))
+            edges = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (h[1:] != h[:-1])))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi - lo > 1 and (component[lo:hi] != component[lo]).any():
+                    yield pairs(rows.slice(lo, hi - lo))
+            held = rows.slice(edges[-1]).combine_chunks()
+        if held is not None and held.num_rows > 1:
+            yield pairs(held)
+
+    return run
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
     width = shuffle_width(docs.sparkSession)
@@ -186,7 +273,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forest = nodes.select("c", "n", "sig").mapInArrow(lean(_trees), "key long, x long, y long, c long, n long")
     regions = forest.repartitionByRange(width, "key", "x", "y", "c").sortWithinPartitions("key", "x", "y", "c")
     regions = regions.mapInArrow(lean(_regions), "key long, c long, n long, prev long, depth long")
-    regions = settle(regions.join(regions.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").drop("top"), "key"))
+    regions = settle(regions.join(regions.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top").select("key"), "key", "left_semi"))
     texts = settle(base.join(regions.select(F.col("c").alias("d")).distinct().hint("shuffle_hash"), "d", "left_semi"))
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
@@ -215,25 +302,53 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         return rows.join(spread, "key", "left_semi")
 
-    # Round b: against the region's smallest document and every neighbour.
+    # Round b: a region against its most central document, the one that shares most of the forest
+    # (what is of that one's component is left out), and every neighbour of another component.
     rows = settle(open_regions())
+    weight = regions.join(regions.groupBy("key").agg(F.count(F.lit(1)).alias("mates")), "key").groupBy("c").agg(F.sum("mates").alias("weight"))
+    middle = rows.join(weight, "c").groupBy("key").agg(F.max(F.struct("weight", "c", "n", "component")).alias("h"))
+    middle = settle(middle.select("key", F.col("h.c").alias("hub"), F.col("h.n").alias("m"), F.col("h.component").alias("other")))
+    stars = rows.join(middle, "key").where("component != other").where(alike).select("c", F.col("hub").alias("p"))
     sizes = rows.select(F.col("c").alias("p"), F.col("n").alias("m"), F.col("component").alias("other")).distinct()
-    stars = rows.select("c", "n", "component", F.col("hub").alias("p")).union(rows.where("prev is not null").select("c", "n", "component", "prev")).distinct()
-    pairs = ordered(stars.join(sizes, "p").where("component != other").where(alike)).join(tested, ["a", "b"], "left_anti")
-    pairs = settle(pairs)
+    beside = rows.where("prev is not null").select("c", "n", "component", F.col("prev").alias("p")).distinct().join(sizes, "p").where("component != other").where(alike)
+    pairs = settle(ordered(stars.union(beside.select("c", "p"))).join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(pairs)
     links = settle(links.union(confirmed(pairs)))
     found = settle(components(links, links.count()))
 
-    # Round c: all that may still join components.
-    rows = settle(open_regions())
+    # Round c: all that may still join components; small regions by their pairs.
+    rows = settle(open_regions().join(middle.select("key", "hub"), "key"))
     per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    others = rows.join(main, "key").where("component != main").select("key", "c", "n", "component")
-    mates = rows.select("key", F.col("c").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = ordered(others.join(mates, "key").where("component != other").where(alike)).join(tested, ["a", "b"], "left_anti")
-    more = settle(confirmed(settle(pairs)))
-    links = links.union(more)
+    main = settle(per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("rows")))
+    small = rows.join(main.where(F.col("rows") <= DENSE), "key")
+    others = small.where("component != main").select("key", "c", "n", "component")
+    mates = small.select("key", F.col("c").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = ordered(others.join(mates, "key").where("component != other").where(alike))
+
+    # Dense regions: pairs that share a shingle their centre has not, or are short enough not to need one.
+    dense = rows.join(main.where(F.col("rows") > DENSE), "key", "left_semi").where("c != hub").select(F.col("hub").alias("p"), "c", "component", "n").distinct()
+    dense = dense.join(dense.groupBy("p").agg(F.min("n").alias("low")), "p").drop("n")
+    sigs = nodes.groupBy("c").agg(F.first("sig").alias("sig"))
+    units = dense.join(sigs, "c").join(texts.select(F.col("d").alias("c"), F.col("text").alias("s")), "c").join(texts.select(F.col("d").alias("p"), F.col("text").alias("t")), "p")
+    units = units.select("p", "c", "component", "sig", "s", "t", "low").mapInArrow(lean(_residues(shingle, percent)), "p long, h long, c long, component long, n long, o long, code binary, own binary, first long")
+    units = settle(units)
+    # Of r shingles that two must share, one is among all but r - 1 of either's, rarest first.
+    rare = units.where("h != 0").select("p", "h", "c", "first").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("p", "h")))
+    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("p", "c").orderBy("times", "h"))).where("rank <= first and times > 1").select("p", "h", "c")
+    known = units.where("h = 0").select("p", "c", "component", "n", "o", "code", "own")
+    rare = rare.join(known, ["p", "c"]).select("p", "h", "c", "component", "n", "o", "code", "own")
+    shared = rare.repartition(width, "p", "h").sortWithinPartitions("p", "h", "c").mapInArrow(lean(_meetings(percent)), "a long, b long")
+    band = units.where("h = 0").select("p", "c", "component", "n", "o")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.02)))
+    # Of a pair without an outside shingle the smaller overlap o meets the whole need of both sizes.
+    most = F.col("o") * (100 + percent) / percent - F.col("n")
+    left = band.where(100 * F.col("o") >= percent * F.col("n")).where(most >= F.col("n") * percent / 100)
+    left = left.withColumn("step", F.explode(F.sequence(F.floor(F.log(F.col("n") * percent / 100.0) / F.log(F.lit(1.02))), F.floor(F.log(most) / F.log(F.lit(1.02))))))
+    right = band.withColumn("step", step).select("p", "step", F.col("c").alias("q"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("o").alias("u"))
+    need = f"least(o, u) * {100 + percent} >= {percent} * (n + m)"
+    close = left.join(right, ["p", "step"]).where("component != other and c != q").where(alike).where(need).select("c", F.col("q").alias("p"))
+    pairs = pairs.union(shared.distinct()).union(ordered(close)).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.union(settle(confirmed(settle(pairs))))
     found = components(links, links.count())
 
     rows = signed_.select("d", "n", "f", "g").join(nodes.select("f", "g", F.col("n").alias("m"), "c"), ["f", "g"], "left").where("m is null or m = n")
