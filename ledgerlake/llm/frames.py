@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(ship(spark).conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,19 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
+    context = ship(df.sparkSession).sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns under the operator's own names, so that others cannot clash."""
-    return df.select(*[F.col(f"`{theirs}`").alias(own) for own, theirs in columns.items()])
-
-
 def carried(df: DataFrame, *used: str) -> Column:
     """All other columns of the input in one struct, out of reach of clashing names."""
+    ship(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in used]
     return F.struct(*rest) if rest else F.struct(F.lit(None).cast("boolean").alias("_"))
 

@@ -37,6 +37,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .frames import carried, restored
 from .words import slices
 from .workers import lean
@@ -350,6 +351,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fit_extractor(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> Forest:
     """Train on layouts of at most ``sample`` pages, chosen by a hash of their html."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col(f"`{html_col}`").alias("h")).where("h is not null and length(h) between 200 and 200000")
     rows = rows.select(F.pmod(F.xxhash64("h"), F.lit(1 << 31)).alias("k"), "h").orderBy("k", "h").limit(sample)
     nodes = rows.mapInArrow(lean(_training_rows), "x array<double>, label double").select(array_to_vector("x").alias("x"), "label").repartition(4).cache()

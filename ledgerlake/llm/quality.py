@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .frames import carried, restored
 from .words import slices, words_of
 from .workers import lean
@@ -151,6 +152,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = 5) -> Model:
     """Learn from labelled rows; with ``held_out``, not from ids whose crc32 (as text) it divides."""
+    ship(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{label_col}`").cast("int").alias("y")).where("d is not null and y in (0, 1)")
     if held_out:
         known = known.where(F.crc32(F.col("d").cast("string")) % held_out != 0)
