@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,8 +24,10 @@ def duck(sf_dir):
 def plain(value):
     if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and math.isnan(value):
         return None
-    if isinstance(value, (bool, str)):
-        return str(value)
+    if isinstance(value, str):
+        return value
+    if isinstance(value, (bool, np.bool_)):
+        return str(bool(value))
     number = float(value)
     return str(int(number)) if number == int(number) else f"{number:.4f}"
 
