@@ -90,7 +90,7 @@ def _signatures(k: int):
                     for j in range(HASHES):
                         sig[some, j] = np.minimum.reduceat((((h ^ _ADD[j]) * _ODD[j]) >> U(32)).astype(np.uint32), at)
                 raw = pa.array([sig[i].tobytes() if n[i] else None for i in range(len(n))], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), raw], ["d", "n", "f", "g", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), raw, *batch.columns[2:]], ["d", "n", "f", "g", "sig", *batch.schema.names[2:]])
 
     return run
 
@@ -263,11 +263,14 @@ def _meetings(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, mark: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept; ``mark`` names a
+    long column that stays with its row, so that rows of one id can be told apart."""
     width = shuffle_width(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"))
-    signed_ = settle(base.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig binary"))
+    own = [F.col(f"`{mark}`").cast("long").alias("mark")] if mark else []
+    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"), *own)
+    signed_ = settle(marked.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig binary" + ", mark long" * len(own)))
     classes = signed_.where("n > 0 and d is not null").groupBy("f", "g", "n").agg(F.min("d").alias("c"), F.first("sig").alias("sig"))
     nodes = settle(classes)
     forest = nodes.select("c", "n", "sig").mapInArrow(lean(_trees), "key long, x long, y long, c long, n long")
@@ -351,8 +354,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = links.union(settle(confirmed(settle(pairs))))
     found = components(links, links.count())
 
-    rows = signed_.select("d", "n", "f", "g").join(nodes.select("f", "g", F.col("n").alias("m"), "c"), ["f", "g"], "left").where("m is null or m = n")
+    rows = signed_.drop("sig").join(nodes.select("f", "g", F.col("n").alias("m"), "c"), ["f", "g"], "left").where("m is null or m = n")
     final = found.withColumnRenamed("node", "c").withColumnRenamed("component", "low")
     ids = F.when(F.col("n") > 0, F.coalesce("low", "c")).otherwise(F.col("d"))
-    out = rows.join(final, "c", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), ids).alias("component_id"))
+    out = rows.join(final, "c", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), ids).alias("component_id"), *[F.col("mark").alias(m) for m in (mark,) if m])
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

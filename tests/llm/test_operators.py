@@ -417,6 +417,18 @@ def test_decoding_never_keeps_below_a_dropped_node():
         assert all(kept[page.parents[i]] for i in range(1, len(kept)) if kept[i])
 
 
+def test_near_duplicates_keeps_null_ids_and_one_row_per_id_and_text(spark, sf_dir):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(4))
+    near = a.replace(a.split()[30], "edit", 1)
+    rows = [(None, c), (None, c), (None, None), (1, a), (1, a), (1, a), (2, near), (3, a), (3, b), (3, b), (4, None), (4, None), (5, d), (5, d + " x y z"), (6, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    want = [(None, c), (None, c), (None, None), (1, a), (3, b), (4, None), (5, d), (5, d + " x y z")]
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted((str(i), str(t)) for i, t in want)
+
+
 def test_pipeline(spark, sf_dir):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "MinHash near-dedup", "substring dedup", "benchmark decontamination", "packing"] and corpus_pipeline.ORACLE_SQL is None
