@@ -6,8 +6,12 @@ drops whole subtrees: a node is kept only if its parent is, and among all such
 choices the likeliest is taken by one bottom-up pass, so a kept passage never
 hangs from a dropped container.
 
-Training uses a bounded sample of ``SAMPLE_PAGES`` pages (a documented bound;
-extraction itself covers every page whole).  No page is labelled, so each
+Training uses a bounded sample of ``SAMPLE_PAGES`` distinct pages (a documented
+bound; extraction itself covers every page whole); where fewer than
+``LEAST_PAGES`` of them have blocks enough, the fixed layouts of ``built_in``
+take their place, so that few, short or repeated pages are read by the same
+trees whatever stands beside them; its bare pages, all article, are trained on
+in any case.  No page is labelled, so each
 sampled page's own text blocks are rendered again in ``VARIANTS`` layouts whose
 article is known, with menus, notices, adverts, forms, sidebars, comments and
 footers made of other blocks, and Spark's GBTClassifier learns to tell them
@@ -42,7 +46,7 @@ from .frames import carried, restored
 from .words import slices
 from .workers import lean
 
-SAMPLE_PAGES, VARIANTS = 240, 3
+SAMPLE_PAGES, LEAST_PAGES, VARIANTS = 240, 40, 3
 TREES, TREE_DEPTH = 20, 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)""", re.S)
@@ -251,7 +255,7 @@ def layouts(text: str, seed: int) -> list[str]:
         rng = random.Random(seed * VARIANTS + k)
         bodies = [b for b in blocks if len(b) > 40] or blocks
         some = lambda n: [rng.choice(bodies)[: rng.choice((60, 200, 800))] for _ in range(n)]  # noqa: B023, E731
-        short = lambda: _escape(" ".join(rng.choice(blocks).split()[: rng.randint(1, 8)]))  # noqa: B023, E731
+        short = lambda: _escape(" ".join(rng.choice(blocks).split(None, 8)[: rng.randint(1, 8)]))  # noqa: B023, E731
         para = lambda n: "".join(f"<p>{_escape(b)}" + rng.choice(("</p>", "</p>", "")) for b in some(n))  # noqa: B023, E731
         def name(role: str, tag: str | None = None) -> tuple[str, str]:
             if tag and rng.random() < 0.5:  # noqa: B023
@@ -341,24 +345,63 @@ def _exported(model) -> Forest:
     return Forest(trees)
 
 
+def built_in(seed: int, whole: bool) -> list[str]:
+    """Fixed labelled pages: bare ones, all article; with ``whole`` also layouts of made-up blocks."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(("ka", "le", "mi", "on", "ter", "sa", "du", "ri", "st", "e")) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words) + rng.choice(("", "", "", "", "", "", ",", ".")) for _ in range(n)).capitalize() + "."
+    out = []
+    for _ in range(2 * VARIANTS):
+        tag = rng.choice(("p", "p", "p", "div"))
+        head = f'<h1 data-is-article="1">{say(rng.randint(1, 5))}</h1>' * (rng.random() < 0.3)
+        body = head + "".join(f'<{tag} data-is-article="1">{say(rng.choice((1, 2, 4, 8, 40)))}</{tag}>' for _ in range(rng.choice((1, 1, 2, 3, 6))))
+        out.append(rng.choice((body, f"<body>{body}</body>", f"<html><body>{body}</body></html>")))
+    if whole:
+        blocks = [say(rng.randint(1, 6)) for _ in range(rng.randint(3, 12))] + [say(rng.randint(8, 120)) for _ in range(rng.randint(3, 15))]
+        out += layouts("".join(f"<p>{b}</p>" for b in blocks), seed)
+    return out
+
+
+def _vectors(seed: int, pages: list[str]) -> Iterator[pa.RecordBatch]:
+    for page in pages:
+        x, y = labelled(page)
+        yield pa.RecordBatch.from_arrays([pa.array([seed] * len(y), pa.int64()), pa.array(list(x), pa.list_(pa.float64())), pa.array(y.astype(float))], ["k", "x", "label"])
+
+
+def _fixed_rows(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                yield from _vectors(seed, built_in(seed, whole))
+
+    return run
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for seed, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for page in layouts(text, seed):
-                x, y = labelled(page)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(y.astype(float))], ["x", "label"])
+            yield from _vectors(seed, layouts(text, seed))
 
 
 def fit_extractor(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> Forest:
-    """Train on layouts of at most ``sample`` pages, chosen by a hash of their html."""
-    ship(pages.sparkSession)
-    rows = pages.select(F.col(f"`{html_col}`").alias("h")).where("h is not null and length(h) between 200 and 200000")
-    rows = rows.select(F.pmod(F.xxhash64("h"), F.lit(1 << 31)).alias("k"), "h").orderBy("k", "h").limit(sample)
-    nodes = rows.mapInArrow(lean(_training_rows), "x array<double>, label double").select(array_to_vector("x").alias("x"), "label").repartition(4).cache()
+    """Train on layouts of at most ``sample`` distinct pages, chosen by a hash of their html."""
+    spark = ship(pages.sparkSession)
+    rows = pages.select(F.col(f"`{html_col}`").alias("h")).where("h is not null").withColumn("g", F.xxhash64("h"))
+    rows = rows.withColumn("k", F.pmod("g", F.lit(1 << 31)))
+    # Only hashes are made distinct and sorted; then the chosen pages alone are read, once each.
+    chosen = [r.g for r in rows.select("k", "g").distinct().orderBy("k", "g").limit(sample).collect()]
+    rows = rows.where(F.col("g").isin(chosen)).groupBy("k", "g").agg(F.min("h").alias("h")).select("k", "h")
+
+    schema = "k long, x array<double>, label double"
+    nodes = rows.mapInArrow(lean(_training_rows), schema).repartition(4).cache()
     try:
-        if nodes.select("label").distinct().count() < 2:
-            return Forest([])
-        return _exported(GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, seed=7).fit(nodes))
+        few = nodes.select("k").distinct().count() < LEAST_PAGES
+        fixed = spark.range(0, SAMPLE_PAGES, 1, 4).mapInArrow(lean(_fixed_rows(few)), schema)
+        used = (fixed if few else nodes.union(fixed)).select(array_to_vector("x").alias("x"), "label").cache()
+        try:
+            return _exported(GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, seed=7).fit(used))
+        finally:
+            used.unpersist()
     finally:
         nodes.unpersist()
 

@@ -408,6 +408,27 @@ def test_html(spark):
     assert exact >= 0.9 * total
 
 
+def test_html_few_short_long_and_repeated_pages(spark):
+    """A page gives its article in a table of its own, with copies, short ones or only long ones."""
+    story = "The harbour was quiet that morning, and nobody on the quay had seen the boat leave. "
+    def page(body):
+        return f'<html><body><nav><ul><li><a href="#">Home</a></li><li><a href="#">News</a></li></ul></nav><article><h1>A quiet harbour</h1>{body}</article><footer>All rights reserved, contact us</footer></body></html>'
+    body = "".join(f"<p>{story * 3}Part {i}.</p>" for i in range(5))
+    one, long_ = page(body), [page("".join(f"<p>{story * 3}Part {i} of {k}.</p>" for i in range(900))) for k in range(3)]
+    short = [f"<p>Hello {i}.</p>" for i in range(300)]
+    assert all(len(t) > 200_000 for t in long_)
+    def read(html):
+        pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").repartition(3)
+        return {r.page_id: r.text for r in html_text.extract(pages, html_text.fit_extractor(pages)).collect()}
+    def article(t):
+        return " ".join(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*?)</article>", t, re.S)[1]).split())
+    assert read([one]) == {0: article(one)}
+    assert set(read([one] * 1000).values()) == {article(one)}
+    assert read(long_) == {k: article(t) for k, t in enumerate(long_)}
+    assert read(short) == {i: f"Hello {i}." for i in range(300)}
+    assert read([*short[:20], one])[20] == article(one)
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     page = html_text.parse("<div><nav><p>kept alone?</p></nav><p>story</p></div>")
     rng = np.random.default_rng(1)
