@@ -158,5 +158,17 @@ def words_of(array: pa.Array, letters: np.ndarray = SPACED, fold: bool = False)
     return Words(raw, hashes, starts, ends, np.searchsorted(starts, at))
 
 
+def word_counts(array: pa.Array, letters: np.ndarray = SPACED) -> np.ndarray:
+    """The number of words of each text."""
+    raw, at = text_bytes(array)
+    inside = letters[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = at[:-1][np.diff(at) > 0]
+    begins[heads] = inside[heads]
+    total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+    return total[at[1:]] - total[at[:-1]]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
