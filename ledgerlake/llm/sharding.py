@@ -3,18 +3,22 @@
 Equal texts form a group that stays together.  Groups, largest first, go to the
 least-loaded shard through a heap.
 
-Scale: groups are unbounded, the driver's heap is not.  A group that holds a
-``FINE``-th of all bytes or more is a unit of its own (so there are at most
-``FINE`` of these); lighter groups are bundled by a hash of their text into
-``FINE`` units.  At most 2 * ``FINE`` units reach the driver and are scheduled;
-with fewer groups than bundles a unit is nearly always one group.  Sizes are
-added up before any shuffle, so a text that a third of all rows repeat is one
-row a task.  Slots are gapless within a shard: a rank per hash bucket of the
-shard plus the bucket's offset, so no shard is ranked in one task.
+Scale: groups of equal size are interchangeable, so only the histogram of group
+sizes reaches the driver.  Different sizes add up to no more than all bytes, so
+there are at most sqrt(2 * bytes) of them, however many groups there are; a run
+of equal groups is dealt through the heap in one step, with the very shards
+that one by one would give.  A group then finds its shard by its rank among the
+groups of its size: a rank per size and hash bucket plus the bucket's offset,
+so a size that a third of all groups share is ranked in many tasks.  The texts
+are read once; sizes are added up before any shuffle, so a text that a third of
+all rows repeat is one row a task.  Slots are gapless within a shard in the
+same way: rows are dealt to buckets by their place in the input, so neither a
+shard nor a row that repeats is ranked in one task.
 
 Law: sizes near equal; a group larger than a shard's share fills one alone.
 Defined results: a null text has no bytes and groups with the empty text; null
-ids and repeated rows are placed like others; an empty table gives no rows.
+ids and repeated rows are placed like others; an empty table gives no rows;
+other columns are dropped.
 """
 
 from __future__ import annotations
@@ -24,42 +28,68 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import shuffle_width
+from .frames import settle, shuffle_width
 
-FINE = 1 << 16
 
+def _fill(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` items of one size each shard takes until at most one a shard are
+    left: items go to the smallest loads, so those below a common level are taken."""
+    if max(loads) - min(loads) < size:
+        return [count // len(loads)] * len(loads)  # whole rounds
+    level = lambda top: [max(0, -((load - top) // size)) for load in loads]
+    low, high = min(loads), min(loads) + size * count + 1
+    while high - low > 1:
+        top = (low + high) // 2
+        low, high = (top, high) if sum(level(top)) <= count else (low, top)
+    return level(low)
 
-def longest_first(units: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Unit to shard: by size, largest first, each to the least-loaded shard."""
+
+def deal(histogram: dict[int, int], shards: int) -> dict[int, list[int]]:
+    """For each group size how many of its groups go to each shard: by size, largest first, each
+    to the least-loaded shard (of equals the first)."""
     heap = [(0, s) for s in range(shards)]
     out = {}
-    for name, size in sorted(units, key=lambda u: (-u[1], u[0])):
-        load, shard = heapq.heappop(heap)
-        out[name] = shard
-        heapq.heappush(heap, (load + size, shard))
+    for size in sorted(histogram, reverse=True):
+        left, taken = histogram[size], [0] * shards
+        if left > shards:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            taken = _fill(loads, size, left)
+            left -= sum(taken)
+            heap = [(load + size * n, s) for s, (load, n) in enumerate(zip(loads, taken))]
+            heapq.heapify(heap)
+        for _ in range(left):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            taken[s] += 1
+        out[size] = taken
     return out
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot and grown_shard (null)."""
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("d"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.sha2(text, 256).alias("g"))
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).head()["n"]
-    heavy = -(-total // FINE)
-    bundle = F.concat(F.lit("bundle-"), F.pmod(F.xxhash64("g"), F.lit(FINE)).cast("string"))
-    units = groups.groupBy(F.when(F.col("bytes") >= heavy, F.col("g")).otherwise(bundle).alias("unit")).agg(F.sum("bytes").alias("bytes"))
-    where = longest_first([(r["unit"], r["bytes"]) for r in units.collect()], shards)
-    # At most 2 * FINE rows, by the bound above.
-    places = F.broadcast(spark.createDataFrame(list(where.items()) or [("", 0)], "unit string, shard int"))
-    own = F.broadcast(spark.createDataFrame([(u,) for u in where if not u.startswith("bundle-")] or [("",)], "heavy string"))
-    placed = rows.join(own, rows["g"] == own["heavy"], "left").withColumn("unit", F.coalesce("heavy", bundle)).join(places, "unit").drop("unit", "heavy")
-    width = shuffle_width(spark)
-    bucketed = placed.withColumn("sub", F.pmod(F.xxhash64("d", "g"), F.lit(width)))
-    counts = bucketed.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
-    # One row per shard and bucket: shards * width rows, whatever the data.
-    before = counts.select("shard", "sub", (F.sum("n").over(Window.partitionBy("shard").orderBy("sub")) - F.col("n")).alias("before"))
-    slot = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("d", "g")) - 1
-    ranked = bucketed.withColumn("rank", slot).join(F.broadcast(before), ["shard", "sub"])
-    return ranked.select(F.col("d").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("rank") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # The bucket is set by the place in the input, and kept: ranks and offsets read the same rows.
+    rows = settle(docs.select(F.col(f"`{id_col}`").alias("d"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("g"), F.pmod(F.monotonically_increasing_id(), F.lit(width)).alias("sub")))
+
+    def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+        """Rows with a gapless ``rank`` within their key, from one rank per key and bucket."""
+        counts = df.groupBy(key, "sub").agg(F.count(F.lit(1)).alias("n"))
+        before = counts.select(key, "sub", (F.sum("n").over(Window.partitionBy(key).orderBy("sub")) - F.col("n")).alias("before"))
+        inside = F.row_number().over(Window.partitionBy(key, "sub").orderBy(*order)) - 1
+        return df.withColumn("inside", inside).join(before, [key, "sub"]).withColumn("rank", F.col("inside") + F.col("before")).drop("inside", "before", "sub")
+
+    groups = settle(rows.groupBy("g").agg(F.sum("size").alias("bytes")).withColumn("sub", F.pmod(F.xxhash64("g"), F.lit(width))))
+    histogram = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends = []
+    for bytes_, taken in deal(histogram, shards).items():
+        total, upto = 0, []
+        for n in taken:
+            total += n
+            upto.append(total)
+        ends.append((bytes_, upto))
+    ends = spark.createDataFrame(ends, "bytes long, upto array<long>")
+    place = F.size(F.filter("upto", lambda x: x <= F.col("rank"))).cast("int")
+    homes = ranked(groups, "bytes", ["g"]).join(ends, "bytes").select("g", place.alias("shard"))
+    placed = ranked(settle(rows.join(homes, "g")), "shard", ["d", "g"])
+    return placed.select(F.col("d").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
