@@ -2,9 +2,10 @@
 
 Arrow functions that return lengths only: texts go through the tokenizer in
 batches balanced by bytes (``slices``: many short texts or one long text), long
-texts are split at boundaries where splitting cannot change the tokens (see
-``tokens``), and neither ids nor texts leave the task.  One narrow stage, no
-shuffle; memory is bounded by the slice and by the chunk cache.
+texts, whatever white space or special strings they hold, are split at places
+where splitting cannot change the tokens and their parts batched by bytes again
+(see ``tokens``), and neither ids nor texts leave the task.  One narrow stage,
+no shuffle; memory is bounded by the text, the slice and the chunk cache.
 
 Defined results: a null text counts as empty; an empty table gives an empty
 table; repeated rows are counted alike; other columns are carried, and those

@@ -1,13 +1,20 @@
 """Token ids and token counts of whole texts with a byte-level BPE vocabulary.
 
 A byte-level BPE of this family first cuts a text by a fixed pattern and then
-merges inside the pieces.  Before a space that follows a non-white character
-there is always such a cut (no piece holds a space other than at its start,
-and the look-ahead of the white-space branch sees white space or the end alike).  So texts are split there,
-each distinct chunk of a batch is encoded once in one ``encode_batch`` call of
-the tokenizers library, and ids or lengths are gathered with numpy.  Texts
-where a space has white space on both sides (or the end after it), and texts
-that hold a special token's string, are encoded whole by the same library.
+merges inside the pieces.  Where white space begins after a non-white character
+there is always such a cut: no piece holds white space after other characters,
+and what the pattern does with a run of white space depends on that run and on
+what follows it only.  So does the pattern cut between an ASCII letter and an
+ASCII digit.  Special tokens' strings hold no white space and are not cut by
+either.  Texts longer than ``LONG`` bytes, whatever they hold, are cut at the
+last such place before each ``LONG`` bytes (or the first after it), so memory
+is bounded by the slice; counts and ids of the parts add up.
+
+Inside a part each single space between non-white characters is such a place
+too.  Parts without other spaces and special strings are split there, each
+distinct chunk of a batch is encoded once in one ``encode_batch`` call of the
+tokenizers library, and ids or lengths are gathered with numpy.  Other parts
+are encoded as they are by the same library.
 
 Chunks are kept per worker in a bounded cache: when it is full it is emptied,
 never trimmed by guess, so results do not depend on it.
@@ -27,6 +34,37 @@ CACHE_CHUNKS = 700_000
 _WHITE = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
 _UNSAFE = rf"(^|{_WHITE}) ({_WHITE}|$)"
 RUN_CHUNKS = 20_000
+LONG, PART_BYTES = 1 << 18, 2 << 20
+_SPACE, _LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_DIGIT[range(0x30, 0x3A)] = True
+_WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def safe_places(raw: np.ndarray) -> np.ndarray:
+    """Where a text's bytes may be cut without a change of its tokens."""
+    white = _SPACE[raw]
+    for code in _WIDE_SPACES:
+        last = raw == code[-1]
+        for k, byte in enumerate(reversed(code[:-1]), 1):
+            last[k:] &= raw[:-k] == byte
+            last[:k] = False
+        white |= last  # the last byte of a wide space: what follows it does not begin a run
+    begins = _SPACE[raw[1:]] & ~white[:-1]
+    turns = (_LETTER[raw[:-1]] & _DIGIT[raw[1:]]) | (_DIGIT[raw[:-1]] & _LETTER[raw[1:]])
+    return np.flatnonzero(begins | turns) + 1
+
+
+def parts_of(text: bytes) -> list[bytes]:
+    """A long text in parts of about ``LONG`` bytes."""
+    cuts, out, at = safe_places(np.frombuffer(text, np.uint8)), [], 0
+    while len(text) - at > LONG:
+        j = int(np.searchsorted(cuts, at + LONG, side="right"))
+        cut = cuts[j - 1] if j and cuts[j - 1] > at else cuts[j] if j < len(cuts) else len(text)
+        out.append(text[at:cut])
+        at = int(cut)
+    return [*out, text[at:]] if at < len(text) else out
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -48,6 +86,7 @@ class Encoder:
         plain = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec["normalizer"] is None and spec["pre_tokenizer"].get("use_regex", True)
         self.splits = bool(plain)
         """Whether the cut before a space is safe for this vocabulary."""
+        self.cuts = self.splits and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         names = spec["model"]["vocab"]
         self.token_bytes = np.zeros(max([*names.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, np.int64)
         self.token_bytes[list(names.values())] = [len(n) for n in names]
@@ -108,9 +147,40 @@ class Encoder:
             odd = pc.or_(odd, pc.match_substring(texts, special))
         return ~odd.to_numpy(zero_copy_only=False) if self.splits else np.zeros(len(texts), bool)
 
+    def _parts(self, texts: pa.Array) -> tuple[list[pa.Array], np.ndarray | None]:
+        """The texts with long ones cut, in runs of bounded size, and each part's text."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        if not self.cuts or not (sizes > LONG).any():
+            return [texts], None
+        owner, runs, run, held = [], [], [], 0
+        for i, size in enumerate(sizes):
+            for part in parts_of(texts[i].as_py().encode()) if size > LONG else [texts[i].as_py().encode()]:
+                if run and held + len(part) > PART_BYTES:
+                    runs.append(pa.array(run, pa.binary()).cast(pa.string()))
+                    run, held = [], 0
+                run.append(part)
+                held += len(part)
+                owner.append(i)
+        return [*runs, pa.array(run, pa.binary()).cast(pa.string())], np.array(owner)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; null is empty."""
         texts = texts.fill_null("")
+        runs, owner = self._parts(texts)
+        done = [self._encode(run) for run in runs]
+        if owner is None:
+            return done[0]
+        sizes = np.concatenate([lengths for _, lengths in done])
+        return np.concatenate([ids for ids, _ in done]), np.bincount(owner, sizes, len(texts)).astype(np.int64)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, without making the ids."""
+        texts = texts.fill_null("")
+        runs, owner = self._parts(texts)
+        sizes = np.concatenate([self._count(run) for run in runs])
+        return sizes if owner is None else np.bincount(owner, sizes, len(texts)).astype(np.int64)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         safe = self._safe(texts)
         number, counts, ends = self._chunked(texts.filter(pa.array(safe)))
         size = np.diff(ends)
@@ -130,9 +200,7 @@ class Encoder:
         out[is_safe] = self.ids[take]
         return out, lengths
 
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """The number of ids of each text, without making the ids."""
-        texts = texts.fill_null("")
+    def _count(self, texts: pa.Array) -> np.ndarray:
         safe = self._safe(texts)
         number, counts, ends = self._chunked(texts.filter(pa.array(safe)))
         owner = np.repeat(np.flatnonzero(safe), counts)
