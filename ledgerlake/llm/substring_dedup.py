@@ -15,8 +15,10 @@ pairs are made: a run of equal hashes is streamed, keeping its first id only.
 
 Scale and skew:
 
-* the texts are shuffled once, by id; every later pass and join is by the same
-  id and reuses that exchange (hence no filter or projection of its own);
+* the texts are shuffled once, by id and a 33-bit hash of the text, so an id that
+  many rows share is spread as far as its texts differ; every later pass and
+  join is by the same two and reuses that exchange (hence no filter or
+  projection of its own);
 * documents equal to one with a smaller id are settled by a digest beforehand;
 * a batch settles what it sees twice itself (for windows: all but the smallest
   id of a hash are already decided) and sends the decided rows on under a key
@@ -46,8 +48,9 @@ from .workers import lean
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 """A perfect difference set: every difference modulo 31 occurs once."""
-PLACE = (1 << 40) - 1
-"""Positions carry a tag of their text above these bits, for ids that have several texts."""
+PLACE = (1 << 30) - 1
+"""Positions carry a tag of their text above these bits, for ids that have several texts; a text
+has fewer words than that, as Spark's strings have at most 2 GB."""
 
 
 def anchor_words(window: int) -> int:
@@ -200,21 +203,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchor_words(window)
     n = shuffle_width(docs.sparkSession)
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    tag = F.coalesce(F.crc32(text), F.lit(0)).bitwiseAND(F.lit(0x7FFFFF)) * F.lit(PLACE + 1)
-    base = docs.select(key.alias("d"), text.alias("text"), tag.alias("t"), carried(docs, id_col, text_col).alias("rest")).repartition(n, "d")
-    digests = docs.select(key.alias("d"), F.sha2(text, 256).alias("k")).where("d is not null and k is not null").distinct()
+    tag = F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit((1 << 33) - 1)) * F.lit(PLACE + 1)
+    base = docs.select(key.alias("d"), text.alias("text"), tag.alias("t"), carried(docs, id_col, text_col).alias("rest")).repartition(n, "d", "t")
+    digests = docs.select(key.alias("d"), tag.alias("t"), F.sha2(text, 256).alias("k")).where("d is not null and k is not null").distinct()
     leads = digests.groupBy("k").agg(F.min("d").alias("first"))
-    # An id may have rows with several texts: a copy is told by id and digest.
-    copied = digests.join(leads, "k").where("d > first").groupBy("d").agg(F.collect_set("k").alias("ks"))
+    # A copy is told by id and digest, should two texts of an id have one tag.
+    copied = digests.join(leads, "k").where("d > first").groupBy("d", "t").agg(F.collect_set("k").alias("ks"))
     # Every reader below takes all rows and columns of ``base``, filtering inside: so all share its one exchange.
-    marked = base.join(copied.hint("shuffle_hash"), "d", "left").withColumn("copy", F.coalesce(F.array_contains("ks", F.sha2("text", 256)), F.lit(False))).select("d", "text", "t", "rest", "copy")
+    marked = base.join(copied.hint("shuffle_hash"), ["d", "t"], "left").withColumn("copy", F.coalesce(F.array_contains("ks", F.sha2("text", 256)), F.lit(False))).select("d", "text", "t", "rest", "copy")
     anchors = marked.mapInArrow(lean(_anchors(window)), "h long, d long, p long, sure boolean")
     shared = anchors.repartition(n, "h").sortWithinPartitions("h", "d").mapInArrow(lean(_shared), "d long, p long")
-    near = shared.groupBy("d").agg(F.collect_set("p").alias("at"))
-    windows = marked.join(near.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "at").mapInArrow(lean(_windows(window)), "h long, g long, d long, p long, lost boolean")
+    own = F.col("p").bitwiseAND(F.lit(~PLACE)).alias("t")
+    near = shared.groupBy("d", own).agg(F.collect_set("p").alias("at"))
+    windows = marked.join(near.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "t", "rest", "copy", "at").mapInArrow(lean(_windows(window)), "h long, g long, d long, p long, lost boolean")
     later = windows.repartition(n, "h", "g").sortWithinPartitions("h", "g", "d").mapInArrow(lean(_later), "d long, p long")
-    gone = later.groupBy("d").agg(F.collect_set("p").alias("gone"))
-    ready = marked.join(gone.hint("shuffle_hash"), "d", "left").select("d", "text", "t", "rest", "copy", "gone")
+    gone = later.groupBy("d", own).agg(F.collect_set("p").alias("gone"))
+    ready = marked.join(gone.hint("shuffle_hash"), ["d", "t"], "left").select("d", "text", "t", "rest", "copy", "gone")
     rest = ready.schema["rest"].dataType.simpleString()
     cut = ready.mapInArrow(lean(_cut(window)), f"d long, text string, rest {rest}, kept_text string, n_words long, n_removed long, removed_spans array<struct<start:long,stop:long>>")
     made = {id_col: F.col("d"), text_col: F.col("text")} | {c: F.col(c) for c in ("kept_text", "n_words", "n_removed", "removed_spans")}
