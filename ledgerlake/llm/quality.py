@@ -7,10 +7,11 @@ covariance and then towards its scaled identity; the score is the logistic of
 the difference of the two Gaussian log densities (Mahalanobis distances by
 cached Cholesky factors) and log priors.
 
-Scale: fitting needs only counts, sums and products of the labelled vectors,
-added up per partition and then over partitions, so all labelled rows take
-part and a few hundred numbers per class reach the driver.  Only vectors are
-shuffled to meet their labels, never texts.  Scoring is one narrow stage.
+Scale: every text is read once, into a vector that is kept; labels meet the
+vectors, and scores are made from the same vectors.  Fitting needs only counts,
+sums and products of the labelled vectors, added up per partition and then over
+partitions, so all labelled rows take part and a few hundred numbers per class
+reach the driver.  Only vectors are shuffled to meet their labels, never texts.
 
 Defined results: a null text is empty and scored like one; rows without a
 label, or with a null one, are not learned from; repeated label rows count
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .frames import carried, restored
+from .frames import carried, restored, settle
 from .words import slices, words_of
 from .workers import lean
 
@@ -131,17 +132,23 @@ def discriminant(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, poo
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch with one more column: the texts' vectors."""
     for whole in batches:
-        for batch in slices(whole, 1):
-            x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["d", "x"])
+        for batch in slices(whole, 0):
+            x = features(batch.column(0))
+            x = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], [*batch.schema.names, "x"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p = len(FEATURES)
     total = np.zeros((2, 1 + p + p * p))
     for batch in batches:
-        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+        x = _matrix(batch.column(0))
         y = batch.column(1).to_numpy(zero_copy_only=False)
         for k in (0, 1):
             own = x[y == k]
@@ -150,17 +157,12 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(total.ravel())], ["k", "i", "v"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = 5) -> Model:
-    """Learn from labelled rows; with ``held_out``, not from ids whose crc32 (as text) it divides."""
-    ship(docs.sparkSession)
-    known = labels.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{label_col}`").cast("int").alias("y")).where("d is not null and y in (0, 1)")
-    if held_out:
-        known = known.where(F.crc32(F.col("d").cast("string")) % held_out != 0)
-    known = known.distinct()
-    vectors = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("t")).where("d is not null")
+def _learned(vectors: DataFrame, labels: DataFrame, label_id: str, label_col: str, held_out: int | None) -> Model:
+    """From rows (d, x) and their labels."""
+    ship(labels.sparkSession)
+    known = labels.select(F.col(f"`{label_id}`").alias("d"), F.col(f"`{label_col}`").cast("int").alias("y")).where("d is not null and y in (0, 1)").distinct()
     if held_out:
-        vectors = vectors.where(F.crc32(F.col("d").cast("string")) % held_out != 0)
-    vectors = vectors.mapInArrow(lean(_vectors), f"d {vectors.schema['d'].dataType.simpleString()}, x array<double>")
+        known, vectors = (df.where(F.crc32(F.col("d").cast("string")) % held_out != 0) for df in (known, vectors))
     parts = vectors.join(known, "d").select("x", "y").mapInArrow(lean(_moments), "k long, i long, v double")
     p = len(FEATURES)
     total = np.zeros((2, 1 + p + p * p))
@@ -169,15 +171,43 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return discriminant(total[:, 0], total[:, 1 : 1 + p], total[:, 1 + p :].reshape(2, p, p))
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score (0 to 1, higher: better) and predicted (1 from ``threshold`` on)."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = 5) -> Model:
+    """Learn from labelled rows; with ``held_out``, not from ids whose crc32 (as text) it divides."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{id_col}`").alias("d")).where("d is not null")
+    vectors = rows.mapInArrow(lean(_vectors), f"t string, d {rows.schema['d'].dataType.simpleString()}, x array<double>").select("d", "x")
+    return _learned(vectors, labels, id_col, label_col, held_out)
 
+
+def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 0):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(features(batch.column(0))))], ["text", "rest", "score"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(_matrix(batch.column(batch.num_columns - 1))), pa.float64())], [*batch.schema.names[:-1], "score"])
+
+    return run
+
 
+def _with_scores(vectors: DataFrame, model: Model, columns: list[str], made: dict, threshold: float) -> DataFrame:
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name != "x")
+    scored = vectors.mapInArrow(lean(_scored(model)), f"{kept}, score double")
+    return restored(scored, columns, made | {"score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+def _with_vectors(docs: DataFrame, text_col: str) -> DataFrame:
     base = docs.select(F.col(f"`{text_col}`").alias("text"), carried(docs, text_col).alias("rest"))
-    scored = base.mapInArrow(lean(run), f"text string, rest {base.schema['rest'].dataType.simpleString()}, score double")
-    made = {text_col: F.col("text"), "score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")}
-    return restored(scored, docs.columns, made)
+    return base.mapInArrow(lean(_vectors), f"text string, rest {base.schema['rest'].dataType.simpleString()}, x array<double>")
+
+
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with score (0 to 1, higher: better) and predicted (1 from ``threshold`` on)."""
+    return _with_scores(_with_vectors(docs, text_col), model, docs.columns, {text_col: F.col("text")}, threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = 5, threshold: float = 0.3, with_text: bool = True) -> DataFrame:
+    """``fit_quality`` and ``score_quality`` of the same documents, whose texts are read once; the
+    text itself is left out on request."""
+    vectors = _with_vectors(docs, text_col)
+    vectors = settle(vectors if with_text else vectors.drop("text"))
+    model = _learned(vectors.select(F.col(f"rest.`{id_col}`").alias("d"), "x"), labels, id_col, label_col, held_out)
+    made = {text_col: F.col("text")} if with_text else {}
+    return _with_scores(vectors, model, [c for c in docs.columns if with_text or c != text_col], made, threshold)

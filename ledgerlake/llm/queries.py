@@ -37,12 +37,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import fit_quality, score_quality
+    from .quality import classify
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
-    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+    return classify(docs, table(spark, sf_dir, "labels"), with_text=False).select("doc_id", held_out, "score", "predicted")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
