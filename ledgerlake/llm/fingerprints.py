@@ -9,19 +9,22 @@ the quartiles' ratio.  Two digests differ by the distance of their bucket codes
 
 ``with_neighbours`` also compares each text with the next document in
 descending id order and with an edited text made of both.  Order at scale: ids
-are cut into ranges by quantiles; each range's first document is sent to the
-range before it as well, so every row meets its successor inside one sorted
-partition and the texts are shuffled once.
+are cut into ranges by quantiles; an id (or no id) that several quantiles fall
+on has a range of its own, which is cut further by the texts' hashes, so an id
+that a third of all rows have is spread like any others.  Each range's first
+document is sent to the range before it as well, so every row meets its
+successor inside one sorted partition and the texts are shuffled once.
 
 Defined results: a null text is empty; equal ids are ordered by a hash of their
-text; null ids come last; a single document is its own successor; an empty
-table gives an empty table; other columns are dropped.
+text, descending; null ids come last; a single document is its own successor;
+an empty table gives an empty table; other columns are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,16 +96,24 @@ NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprin
 
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     n = shuffle_width(docs.sparkSession) * RANGES_PER_PARTITION
-    cuts = base.agg(F.percentile_approx("d", [k / n for k in range(1, n)], 10 * n).alias("q")).head()["q"] if n > 1 else []
-    bounds = sorted(set(cuts or []), reverse=True)
-    splits = [-math.inf, *sorted({float(c) for c in cuts or []}), math.inf]
-    # Range 0 holds the largest ids; nulls share the last range. Binary search; the list's length is set, not data.
+    facts = base.agg(F.percentile_approx("d", [k / n for k in range(1, n)] or [0.5], 10 * n).alias("q"), F.count("d").alias("with_id"), F.count(F.lit(1)).alias("all")).head()
+    # Where doubles tell ids apart.
+    hot = {float(c): k for c, k in Counter(facts["q"] or []).items() if k > 1 and abs(c) < 1 << 53}
+    # Ranges between cuts; a repeated cut has one of its own.
+    splits = [-math.inf, *sorted({float(c) for c in facts["q"] or []} | {c + 1 for c in hot}), math.inf]
+    # Range 0 holds the largest ids, the last one those without; a range of one id has several parts by hash.
+    parts = [hot.get(c, 1) for c in splits[:-1]][::-1] + [max(1, n * (facts["all"] - facts["with_id"]) // max(1, facts["all"]))]
+    starts = [sum(parts[:k]) for k in range(len(parts))]
+    zones_of = docs.sparkSession.createDataFrame(list(zip(range(len(parts)), starts, parts)), "range int, first int, parts int")
+    ranged = base.withColumn("x", F.col("d").cast("double"))
+    ranged = Bucketizer(splits=splits, inputCol="x", outputCol="z", handleInvalid="keep").transform(ranged) if len(splits) > 2 else ranged.withColumn("z", F.lit(0.0))
     last = len(splits) - 2
-    ranged = base.withColumn("x", F.coalesce(F.col("d").cast("double"), F.lit(float("-inf"))))
-    ranged = Bucketizer(splits=splits, inputCol="x", outputCol="z").transform(ranged) if last else ranged.withColumn("z", F.lit(0))
-    ranged = ranged.withColumn("z", F.lit(last) - F.col("z").cast("int")).withColumn("h", F.xxhash64("t"))
+    ranged = ranged.withColumn("range", F.when(F.col("d").isNull(), last + 1).otherwise(last - F.col("z")).cast("int"))
+    # Hashes are even over their range, so parts of equal width hold about as many texts each.
+    part = F.col("parts") - 1 - F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("parts") / F.lit(1 << 32))
+    ranged = ranged.join(F.broadcast(zones_of), "range").withColumn("z", (F.col("first") + part).cast("int"))
     # One row per range: its first document in descending order, which is a guest at the end of the range before.
     order = F.struct(F.col("d").isNotNull(), F.col("d"), F.col("h"))
     heads = {r["z"]: r["o"] for r in ranged.groupBy("z").agg(F.max(order).alias("o")).collect()}
@@ -115,6 +126,6 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_lead = F.col("d").eqNullSafe(F.col("lead")) & (F.col("h") == F.col("mark"))
     places = F.when(is_lead, F.array(own, F.struct(F.col("prior").alias("z"), F.lit(1).alias("guest")))).otherwise(F.array(own))
     ranged = ranged.join(F.broadcast(leads), "z")
-    rows = ranged.select("d", "t", F.explode(places).alias("p")).select("p.z", "d", "t", "p.guest").repartition("z")
-    rows = rows.sortWithinPartitions("z", "guest", F.desc_nulls_last("d"), F.desc(F.xxhash64("t")))
+    rows = ranged.select("d", "t", "h", F.explode(places).alias("p")).select("p.z", "d", "t", "p.guest", "h").repartition("z")
+    rows = rows.sortWithinPartitions("z", "guest", F.desc_nulls_last("d"), F.desc("h"))
     return rows.select("z", "d", "t", "guest").mapInArrow(lean(_pairs), kind)
