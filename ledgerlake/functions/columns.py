@@ -13,6 +13,7 @@ SIZE_LABELS = ("<4KB", "4KB~64KB", "64KB~128KB", "128KB~256KB", "256KB~512KB", "
 AGE_DAYS = (1, 7, 30, 180, 365)
 AGE_LABELS = ("<1d", "1d~7d", "7d~30d", "30d~180d", "180d~365d", ">=365d")
 AGE_DAYS_UI = (7, 30, 180, 365)
+# Words that mark a secret, and the bounds of diagnostic texts and labels in bytes.
 SECRET_WORDS = ("password", "passwd", "secret", "token", "credential", "authorization", "access_key", "secret_key")
 MAX_TEXT_BYTES, MAX_LABEL_BYTES = 2048, 128
 
@@ -121,9 +122,9 @@ def entry_hash(columns: tuple[str, ...]) -> Column:
 
 
 def metadata_digest(pairs: Column, state: Column | str = "state") -> Column:
-    """Order-independent digest of a tag map; other states are written as themselves."""
+    """Order-independent digest of a tag map, null values apart from empty ones; other states are written as themselves."""
     ordered = F.array_sort(F.map_entries(pairs))
-    listed = F.array_join(F.transform(ordered, lambda e: F.concat(F.octet_length(e["key"]).cast("string"), F.lit(":"), e["key"], F.octet_length(e["value"]).cast("string"), F.lit(":"), e["value"])), "")
+    listed = F.array_join(F.transform(ordered, lambda e: F.concat(F.octet_length(e["key"]).cast("string"), F.lit(":"), e["key"], F.coalesce(F.octet_length(e["value"]).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(e["value"], F.lit("")))), "")
     return F.when(c(state) == "ok", F.sha2(F.concat(F.lit("tags:"), listed), 256)).otherwise(c(state))
 
 

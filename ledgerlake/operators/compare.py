@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import null_eq
+from ..functions.columns import c, null_eq
 from .dedup import latest_by_key
 
 KEY = ["relative_path", "version_id"]
@@ -85,7 +85,7 @@ def strategy(stage: DataFrame, base: DataFrame) -> DataFrame:
     """One row: ``handle`` if both sides have handles and none is legacy, else ``path``."""
 
     def facts(df: DataFrame, p: str) -> DataFrame:
-        legacy = F.col("file_handle").isNotNull() & ~F.col("file_handle").startswith("54534934")
+        legacy = F.col("file_handle").isNotNull() & ~F.col("file_handle").startswith(HANDLE_PREFIX)
         return df.agg(F.coalesce(F.bool_or(F.col("file_handle").isNotNull()), F.lit(False)).alias(f"{p}_has"), F.coalesce(F.bool_or(legacy), F.lit(False)).alias(f"{p}_legacy"))
 
     both = facts(stage, "stage").join(facts(base.where("confirmed"), "base"))
@@ -93,6 +93,16 @@ def strategy(stage: DataFrame, base: DataFrame) -> DataFrame:
     return both.select(F.when(good, "handle").otherwise("path").alias("strategy"), "stage_has", "base_has", "stage_legacy", "base_legacy")
 
 
+HANDLE_PREFIX = "54534934"
+"""Fixed value: what stable handles begin with."""
+
+
+def displaced_rows(stage: DataFrame, base: DataFrame) -> DataFrame:
+    """Old rows whose path a staged entry with another stable handle has taken."""
+    taken = stage.where("file_handle is not null").select(*KEY, F.col("file_handle").alias("_n"))
+    return base.join(taken, KEY).where("file_handle <> _n").select(*base.columns)
+
+
 def scan_compare(stage: DataFrame, base: DataFrame) -> DataFrame:
     """Scan-mode diff of a batch: changed kinds, ``new``, ``candidate`` (stable identity, absent or
     another one at its path) and, for reused paths, whether old rows are displaced."""
@@ -111,22 +121,49 @@ def identity_changed(base: DataFrame, stage: DataFrame) -> DataFrame:
     return same.where("_same = 0").drop("_same")
 
 
-def final_renames(old: DataFrame, live: DataFrame, decided: DataFrame | None = None) -> DataFrame:
-    """The round's resolution by stable handle: a live candidate is a ``rename`` iff its handle has
-    exactly one original key and one live alias, else ``new``; old rows that are no rename's source
-    are ``deleted``.  ``decided`` rows (relative_path, version_id, outcome) win."""
-    originals = old.where("file_handle is not null").groupBy("file_handle").agg(F.count_distinct(*KEY).alias("_o"), F.min("relative_path").alias("from_path"))
-    gone = old.join(live.select(*KEY), KEY, "left_anti")
-    candidates = live.join(old.select(*KEY, F.col("file_handle").alias("_oh"), F.lit(True).alias("_seen")), KEY, "left").where(F.col("_seen").isNull() | (F.col("file_handle").isNotNull() & ~null_eq("file_handle", "_oh")))
-    aliases = live.where("file_handle is not null").groupBy("file_handle").agg(F.count_distinct(*KEY).alias("_a"))
-    joined = candidates.join(originals, "file_handle", "left").join(aliases, "file_handle", "left")
-    rename = F.coalesce((F.col("_o") == 1) & (F.col("_a") == 1) & (F.col("from_path") != F.col("relative_path")), F.lit(False))
-    moved = joined.select(*KEY, F.when(rename, F.lit("rename")).otherwise("new").alias("outcome"), F.when(rename, F.col("from_path")).alias("from_path"))
-    if decided is not None:
-        moved = moved.join(decided.select(*KEY, F.col("outcome").alias("_d")), KEY, "left").select(*KEY, F.coalesce("_d", "outcome").alias("outcome"), "from_path")
-    sources = moved.where("outcome = 'rename'").select(F.col("from_path").alias("relative_path"))
-    deleted = gone.join(sources, "relative_path", "left_anti").select(*KEY, F.lit("deleted").alias("outcome"), F.lit(None).cast("string").alias("from_path"))
-    return moved.unionByName(deleted)
+def final_renames(old: DataFrame, live: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """The round's resolution by stable handle, over whole keys (path and version).
+
+    A live candidate is a ``rename`` iff its handle has exactly one original key (old rows that are
+    gone or displaced, logged deletions and logged renames' sources) and exactly one live alias,
+    else ``new``; old rows that are no rename's source are ``deleted``.  Decisions that ``log``
+    records (operation_type new or rename, the source's path in ``comment``) win.
+
+    One full join of both sides on the key, one grouping by handle, one by key."""
+    o = old.select(*KEY, F.col("file_handle").alias("_o"), F.lit(True).alias("_old"))
+    n = live.select(*KEY, F.col("file_handle").alias("_n"), F.lit(True).alias("_live"))
+    both = o.join(n, KEY, "full")
+    was, now = F.col("_old").isNotNull(), F.col("_live").isNotNull()
+    left = was & F.coalesce(~now | (F.col("_o") != F.col("_n")), F.lit(False))
+    fresh = now & (~was | (F.col("_n").isNotNull() & ~null_eq("_n", "_o")))
+    key, no_key = F.struct(*KEY), F.lit(None).cast("struct<relative_path:string,version_id:string>")
+
+    def role(handle: Column | str, original: Column, to: Column, alive: int) -> Column:
+        return F.struct(c(handle).alias("handle"), original.alias("original"), to.alias("to"), F.lit(alive).alias("alive"))
+
+    roles = F.array(F.when(left & F.col("_o").isNotNull(), role("_o", key, no_key, 0)), F.when(now & F.col("_n").isNotNull(), role("_n", no_key, F.when(fresh, key), 1)))
+    handles = both.select(F.explode(F.array_compact(roles)).alias("r")).select("r.*")
+    source = F.struct(F.col("comment").alias("relative_path"), "version_id")
+    if log is not None:
+        past = log.where("operation_type in ('deleted', 'rename') and file_handle is not null")
+        handles = handles.unionByName(past.select(role("file_handle", F.when(F.col("operation_type") == "deleted", key).otherwise(source), no_key, 0).alias("r")).select("r.*"))
+    per = handles.groupBy("handle").agg(F.min("original").alias("a"), F.max("original").alias("z"), F.max("to").alias("to"), F.sum("alive").alias("alive"))
+    moves = per.where("a = z and alive = 1 and to is not null").select("to.*", F.col("a").alias("source"))
+    if log is not None:
+        decided = log.where("operation_type in ('new', 'rename')")
+        moves = moves.join(decided.select(*KEY), KEY, "left_anti").unionByName(decided.where("operation_type = 'rename'").select(*KEY, source.alias("source")))
+    no, yes = F.lit(False), F.lit(True)
+    facts = both.where(left | fresh).select(*KEY, fresh.alias("fresh"), left.alias("left"), no.alias("used"), no_key.alias("source"))
+    facts = facts.unionByName(moves.select(*KEY, no.alias("fresh"), no.alias("left"), no.alias("used"), "source"))
+    facts = facts.unionByName(moves.select("source.*", no.alias("fresh"), no.alias("left"), yes.alias("used"), no_key.alias("source")))
+    facts = facts.groupBy(*KEY).agg(*(F.bool_or(x).alias(x) for x in ("fresh", "left", "used")), F.max("source").alias("source"))
+
+    def outcome(name: Column, origin: Column) -> Column:
+        return F.struct(name.alias("outcome"), origin["relative_path"].alias("from_path"), origin["version_id"].alias("from_version"))
+
+    moved = F.when(F.col("fresh"), outcome(F.when(F.col("source").isNotNull(), "rename").otherwise("new"), F.col("source")))
+    gone = F.when(F.col("left") & ~F.col("used"), outcome(F.lit("deleted"), no_key))
+    return facts.select(*KEY, F.explode(F.array_compact(F.array(moved, gone))).alias("r")).select(*KEY, "r.*")
 
 
 def delete_or_rename(old: DataFrame, pending: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def latest_by_key(df: DataFrame, keys: list[str], *version: str | Column) -> DataFrame:
-    """The row with the newest version per key: a partial aggregation, no sort.
+    """The row with the newest version per key: a partial aggregation (by sort, as rows hold strings).
 
     Further version columns break ties, so the result does not depend on row order."""
     rest = [x for x in df.columns if x not in keys]

@@ -42,11 +42,20 @@ def text_failed(lines: DataFrame, column: str = "message") -> DataFrame:
     return lines.where(F.col(column).rlike(pattern)).withColumn("failed_path", F.regexp_extract(column, pattern, 1))
 
 
-def trace_chain(logs: DataFrame) -> DataFrame:
-    """Records whose span path, or a path quoted in the message, is one that failed.
-
-    Both sides are equi joins: quoted paths are taken out of messages first."""
-    bad = failed_paths(logs).withColumnRenamed("path", "error_path")
-    spans = logs.select("line", F.explode("spans.path").alias("error_path"))
-    quoted = logs.select("line", F.explode(F.regexp_extract_all("message", F.lit(r'"([^"]+)"'), F.lit(1))).alias("error_path"))
-    return spans.union(quoted).where("error_path is not null").distinct().join(bad, "error_path", "left_semi")
+def trace_chain(logs: DataFrame, margin_us: int = 60_000_000, slot_us: int = 600_000_000) -> DataFrame:
+    """Records whose span path, or a path that their message names, is one that failed; for a failed
+    path that no record traces, those within ``margin_us`` of its error (``window``).
+
+    All joins are equi joins: messages are cut into path-like words first (quotes and other marks
+    around them go), times into slots."""
+    words = F.transform(F.split("message", r"[\s\"'`,;()<>\[\]{}]+"), lambda w: F.regexp_replace(w, r"[:.!?]+$", ""))
+    failed = errors(logs).select("at_us", F.explode(F.concat("spans.path", F.array(F.regexp_extract("message", r'failed "([^"]+)"', 1)))).alias("error_path")).where("error_path <> ''")
+    bad = failed.select("error_path").distinct()
+    traced = logs.where("level <> 'ERROR'").select("line", F.explode(F.array_distinct(F.concat("spans.path", words))).alias("error_path"))
+    own = errors(logs).select("line", F.explode(F.array_distinct(F.concat("spans.path", words))).alias("error_path"))
+    found = traced.union(own).where("error_path <> ''").distinct().join(bad, "error_path", "left_semi")
+    alone = failed.join(traced.select("error_path").distinct(), "error_path", "left_anti").select("error_path", (F.col("at_us") - margin_us).alias("a"), (F.col("at_us") + margin_us).alias("z"))
+    alone = alone.withColumn("slot", F.explode(F.sequence(F.floor(F.col("a") / slot_us), F.floor(F.col("z") / slot_us))))
+    around = logs.select("line", "at_us", F.floor(F.col("at_us") / slot_us).alias("slot")).join(alone, "slot").where("at_us between a and z").select("line", "error_path").distinct()
+    around = around.join(found, ["line", "error_path"], "left_anti")
+    return found.select("line", "error_path", F.lit("trace").alias("why")).unionByName(around.select("line", "error_path", F.lit("window").alias("why")))

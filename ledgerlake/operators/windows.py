@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import settle
+
 
 def pending_batch(notes: DataFrame, round_id: str, kind: int, after: int, rows: int = 64, payload: int = 4 << 20) -> DataFrame:
     """Unacknowledged notifications after a cursor: the first ``rows``, cut by running payload bytes."""
@@ -13,28 +15,54 @@ def pending_batch(notes: DataFrame, round_id: str, kind: int, after: int, rows:
     return first.withColumn("running_bytes", total).where(F.col("running_bytes") <= payload)
 
 
-def batch_plan(notes: DataFrame, rows: int = 65536, payload: int = 8 << 20) -> DataFrame:
-    """A batch number for every record of a backlog: soft bounds on rows and bytes, per round."""
-    w = Window.partitionBy("round_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    out = notes.withColumn("_n", F.row_number().over(Window.partitionBy("round_id").orderBy("sequence"))).withColumn("_b", F.sum(F.octet_length("payload_json")).over(w))
-    return out.withColumn("batch", F.greatest(F.floor((F.col("_n") - 1) / rows), F.floor((F.col("_b") - 1) / payload)).cast("long")).drop("_n", "_b")
+def batch_plan(notes: DataFrame, rows: int = 65536, payload: int = 8 << 20, slot: int = 1 << 16) -> DataFrame:
+    """A batch number for every record of a backlog: soft bounds on rows and bytes, per round.
 
+    Running totals are those of a round's slots of ``slot`` sequence numbers (a row a slot) plus
+    those inside the slot, so no task holds a round."""
+    size = F.octet_length("payload_json")
+    slotted = notes.withColumn("_slot", F.floor(F.col("sequence") / slot))
+    per = slotted.groupBy("round_id", "_slot").agg(F.count(F.lit(1)).alias("_rows"), F.sum(size).alias("_bytes"))
+    before = Window.partitionBy("round_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("round_id", "_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_b0"))
+    w = Window.partitionBy("round_id", "_slot").orderBy("sequence")
+    out = slotted.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(per, ["round_id", "_slot"])
+    batch = F.greatest(F.floor((F.col("_n") + F.col("_r0") - 1) / rows), F.floor((F.col("_b") + F.col("_b0") - 1) / payload)).cast("long")
+    return out.select(*notes.columns, batch.alias("batch"))
 
-def history_violations(versions: DataFrame) -> DataFrame:
-    """Rows of a history out of order or place, with a code; histories in order give none."""
-    w = Window.partitionBy("relative_path").orderBy("history_segment", "history_index")
-    before = F.lag("history_index").over(w)
-    last = F.lead("history_index").over(w).isNull()
-    code = F.when(before.isNull() & (F.col("history_index") != 0), "first_index").when(F.col("history_index") != F.coalesce(before + 1, F.lit(0)), "gap").when(last & ~F.col("is_latest"), "latest_not_last").when(~last & F.col("is_latest"), "latest_early")
-    return versions.withColumn("violation", code).where("violation is not null")
 
+def history_violations(versions: DataFrame) -> DataFrame:
+    """Rows of a history out of order or place, with a code; histories in order give none.
 
-def feed_check(feed: DataFrame) -> DataFrame:
-    """Per session: pages consecutive from 0, one terminal at the end, declared count equals the observed."""
+    A history begins at segment 0, index 0.  A segment's indexes run from 0 to its records - 1; all
+    its rows have the same records and complete flag.  The next segment follows only a full, not
+    complete one.  The latest version is the last row of the complete segment, and nothing follows it."""
+    w = Window.partitionBy("relative_path").orderBy("history_segment", "history_index")
+    was = {x: F.lag(x).over(w) for x in ("history_segment", "history_index", "history_records", "history_complete", "is_latest")}
+    rows = versions.withColumns({f"_{k}": v for k, v in was.items()} | {"_last": F.lead("history_index").over(w).isNull()})
+    seg, at, many, full = (F.col(f"history_{x}") for x in ("segment", "index", "records", "complete"))
+    p_seg, p_at, p_many, p_full = (F.col(f"_history_{x}") for x in ("segment", "index", "records", "complete"))
+    first, fresh = p_seg.isNull(), p_seg != seg
+    code = (
+        F.when(first & ((seg != 0) | (at != 0)), "first_index")
+        .when(~first & F.col("_is_latest"), "after_latest")
+        .when(fresh & ((seg != p_seg + 1) | (p_at + 1 != p_many) | p_full | (at != 0)), "segment")
+        .when(~fresh & (at != p_at + 1), "gap")
+        .when((~fresh & ((many != p_many) | (full != p_full))) | (at >= many), "boundary")
+        .when(F.col("is_latest") & (~full | (at + 1 != many)), "latest_early")
+        .when(F.col("_last") & ~F.col("is_latest"), "latest_not_last")
+    )
+    return rows.withColumn("violation", code).where("violation is not null").select(*versions.columns, "violation")
+
+
+def feed_check(feed: DataFrame, maximum: int = 1000) -> DataFrame:
+    """Per session: pages consecutive from 0, each of 1 to ``maximum`` entries whose ids follow on,
+    nothing after the one terminal, and the declared count equal to the observed one."""
     w = Window.partitionBy("session").orderBy("page")
-    j = feed.withColumn("_gap", (F.col("page") != F.row_number().over(w) - 1).cast("int")).withColumn("_after", (F.coalesce(F.lag("terminal").over(w), F.lit(False))).cast("int"))
-    per = j.groupBy("session").agg(F.max("_gap").alias("g"), F.max("_after").alias("a"), F.sum("entries").alias("n"), F.max("declared").alias("d"), F.count_if("terminal").alias("t"), F.min("entries").alias("low"))
-    code = F.when(F.col("g") == 1, "page_gap").when(F.col("a") == 1, "after_terminal").when(F.col("t") != 1, "no_terminal").when(F.col("low") < 1, "empty_page").when(F.col("n") != F.col("d"), "count").otherwise("ok")
+    expected = F.coalesce(F.sum("entries").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = feed.withColumn("_gap", (F.col("page") != F.row_number().over(w) - 1).cast("int")).withColumn("_after", (F.coalesce(F.lag("terminal").over(w), F.lit(False))).cast("int")).withColumn("_id", (F.col("first_id") != expected).cast("int"))
+    per = j.groupBy("session").agg(F.max("_gap").alias("g"), F.max("_after").alias("a"), F.max("_id").alias("i"), F.sum("entries").alias("n"), F.max("declared").alias("d"), F.count_if("terminal").alias("t"), F.min("entries").alias("low"), F.max("entries").alias("high"))
+    code = F.when(F.col("g") == 1, "page_gap").when(F.col("a") == 1, "after_terminal").when(F.col("t") != 1, "no_terminal").when((F.col("low") < 1) | (F.col("high") > maximum), "page_size").when(F.col("i") == 1, "id_gap").when(F.col("n") != F.col("d"), "count").otherwise("ok")
     return per.select("session", code.alias("status"))
 
 
@@ -70,13 +98,35 @@ def covers(merged: DataFrame, totals: DataFrame, key: str = "file_id") -> DataFr
     return totals.join(missing, key, "left").select(key, F.coalesce("missing", F.lit(0)).alias("missing"), F.col("missing").isNull().alias("covers"))
 
 
-def log_windows(logs: DataFrame, margin_us: int) -> DataFrame:
+def slotted_union(ranges: DataFrame, slot: int) -> DataFrame:
+    """Disjoint ranges of one long line: overlapping and adjacent ones merge.
+
+    Ranges are merged inside slots of their start first.  What reaches beyond its slot is known
+    from each slot's furthest end (a row a slot), so every slot counts its own new ranges, and the
+    ranges of one number, over all slots, are one."""
+    rows = interval_union(ranges.withColumn("_slot", F.floor(F.col("start_off") / slot)), "_slot")
+    earlier = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_slot").orderBy("start_off").rowsBetween(Window.unboundedPreceding, 0)
+    reach = rows.groupBy("_slot").agg(F.max("end_off").alias("_end")).select("_slot", F.max("_end").over(earlier).alias("_reach"))
+    # Ranges of a slot are disjoint already, so only an earlier slot's reach continues one.
+    rows = rows.join(reach, "_slot").withColumn("_new", F.coalesce((F.col("start_off") > F.col("_reach")).cast("int"), F.lit(1)))
+    before = rows.groupBy("_slot").agg(F.sum("_new").alias("_many")).select("_slot", F.coalesce(F.sum("_many").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.join(before, "_slot").withColumn("_island", F.col("_before") + F.sum("_new").over(inside))
+    return rows.groupBy("_island").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off")).drop("_island")
+
+
+def log_windows(logs: DataFrame, margin_us: int, slot_us: int = 3_600_000_000) -> DataFrame:
     """Per error path the span of its trace lines with a margin; overlapping windows merged."""
     bad = logs.where("level = 'ERROR'").select("path").distinct()
     spans = logs.join(bad, "path", "left_semi").groupBy("path").agg((F.min("at_us") - margin_us).alias("start_off"), (F.max("at_us") + margin_us).alias("end_off"))
-    # Merged per day of their start first, so that the last pass over all sees disjoint windows of days only.
-    daily = interval_union(spans.withColumn("file_id", F.floor(F.col("start_off") / 86_400_000_000)))
-    return interval_union(daily.withColumn("file_id", F.lit(0)))
+    return slotted_union(spans, slot_us)
+
+
+def compression(logs: DataFrame, shown: DataFrame) -> DataFrame:
+    """How many lines of a log its windows show, and the share that is left out."""
+    seen = shown.select("line").distinct().withColumn("_shown", F.lit(1))
+    counts = logs.select("line").join(seen, "line", "left").agg(F.count(F.lit(1)).alias("lines"), F.count("_shown").alias("shown"))
+    return counts.withColumn("left_out", F.when(F.col("lines") > 0, 1 - F.col("shown") / F.col("lines")).otherwise(0.0))
 
 
 def in_windows(logs: DataFrame, windows: DataFrame, slot_us: int) -> DataFrame:
@@ -91,7 +141,22 @@ def page(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> D
 
 
 def cap_omitted(diagnostics: DataFrame, capacity: int = 512, batch: int = 64) -> DataFrame:
-    """The first diagnostics per round, their batch, and how many the round omitted."""
-    w = Window.partitionBy("round").orderBy("event_id")
-    rows = diagnostics.withColumn("rn", F.row_number().over(w)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("round")))
-    return rows.where(F.col("rn") <= capacity).select("round", "event_id", F.floor((F.col("rn") - 1) / batch).cast("long").alias("batch"), F.greatest(F.col("_all") - capacity, F.lit(0)).alias("omitted"))
+    """The first diagnostics per round, their batch, and how many the round omitted.
+
+    The first ``capacity`` are a partial top-n in every task, the totals an aggregate."""
+    totals = diagnostics.groupBy("round").agg(F.count(F.lit(1)).alias("_all"))
+    first = diagnostics.select("round", "event_id").withColumn("rn", F.row_number().over(Window.partitionBy("round").orderBy("event_id"))).where(F.col("rn") <= capacity)
+    return first.join(totals, "round").select("round", "event_id", F.floor((F.col("rn") - 1) / batch).cast("long").alias("batch"), F.greatest(F.col("_all") - capacity, F.lit(0)).alias("omitted"))
+
+
+def places(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Every row's place in an order, from 1: a range-partitioned sort whose rows are numbered in
+    their partition and, by the sizes of those before it (a row a partition), over all."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = settle(rows)  # both readers below must see the same partitions
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    before = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(before, "_part").select(*df.columns, place.cast("long").alias("place"))

@@ -39,6 +39,13 @@ FROM {{base}} b""",
  CASE WHEN k%46=0 AND k%92<>0 THEN concat('m',CAST(k%5 AS STRING)) END AS marker_state, CAST((CASE WHEN k%59=0 THEN k+1 ELSE k END)%7 AS STRING) AS identity_key, '' AS source_version_id,
  concat('d',CAST((CASE WHEN k%53=0 THEN k+1 ELSE k END)%6 AS STRING)) AS metadata_digest, TRUE AS confirmed, TRUE AS copy_path_confirmed, TRUE AS copy_data_confirmed, CAST(3 AS BIGINT) AS generation, CAST(2 AS BIGINT) AS copy_sequence
 FROM {{work}} w""",
+    "base_v": """SELECT k, relative_path, 'v1' AS version_id, file_handle FROM {base_x} UNION ALL SELECT k, relative_path, 'v2', file_handle || 'b' FROM {base_x} WHERE k%3=0
+ UNION ALL SELECT k, relative_path, 'v3', file_handle FROM {base_x} WHERE k%15=0""",
+    "work_v": """SELECT k, relative_path, 'v1' AS version_id, file_handle FROM {work_x} UNION ALL SELECT k, relative_path, 'v2', file_handle || 'b' FROM {work_x} WHERE k%3=0 AND k%4<>0
+ UNION ALL SELECT k, relative_path, 'v4', file_handle FROM {work_x} WHERE k%58=0""",
+    "round_log": """SELECT 'deleted' AS operation_type, concat('gone/',relative_path) AS relative_path, 'v1' AS version_id, file_handle, NULL AS comment FROM {work_x} WHERE k%50=0 AND k%3=0
+ UNION ALL SELECT 'rename', relative_path, 'v1', file_handle, concat('earlier/',relative_path) FROM {work_x} WHERE k%50=0 AND k%7=0
+ UNION ALL SELECT 'new', relative_path, 'v1', file_handle, NULL FROM {work_x} WHERE k%29=0 AND k%5=0""",
     "entries": f"""SELECT w.*, '' AS version_id, {_KIND}, CASE k%3 WHEN 0 THEN 's3' WHEN 1 THEN 'hdfs' ELSE 'nas' END AS storage_type,
  CAST(k%4 AS BIGINT) AS job_id, k%71<>0 AS confirmed, k%79=0 AS is_deleted, CAST(k%2 AS BIGINT) AS generation, k%17<>0 AS size_observed
 FROM {{work}} w""",
@@ -48,8 +55,12 @@ FROM {{work}} w""",
  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice)-1 AS history_index,
  count(*) OVER (PARTITION BY l_orderkey) AS history_records, CAST(floor(l_extendedprice*100) AS BIGINT) AS size FROM {lineitem}) h
  WHERE NOT (ok%23=0 AND history_index=1)""",
+    "histories": """SELECT relative_path, version_id, CASE WHEN ok%37=0 AND i>=3 THEN seg+1 ELSE seg END AS history_segment, idx AS history_index, CASE WHEN ok%29=0 AND i=1 THEN recs+1 ELSE recs END AS history_records,
+ seg=last_seg OR (ok%31=0 AND seg=0) AS history_complete, is_latest AND ok%41<>0 AS is_latest FROM (
+ SELECT relative_path, version_id, ok, history_index AS i, CAST(floor(history_index/3) AS BIGINT) AS seg, CAST(history_index%3 AS BIGINT) AS idx, CAST(least(3, history_records-3*floor(history_index/3)) AS BIGINT) AS recs,
+ CAST(floor((history_records-1)/3) AS BIGINT) AS last_seg, is_latest FROM (SELECT *, CAST(substr(relative_path,5) AS BIGINT) AS ok FROM {versions}) v) h""",
     "ranges": """SELECT l_suppkey AS file_id, CAST(l_linenumber*1000 + (l_orderkey%40)*250 AS BIGINT) AS start_off,
- CAST(l_linenumber*1000 + (l_orderkey%40)*250 + CAST(l_quantity AS BIGINT)*10 AS BIGINT) AS end_off FROM {lineitem} WHERE l_orderkey%17=0""",
+ CAST(l_linenumber*1000 + (l_orderkey%40)*250 + CAST(l_quantity AS BIGINT)*10 AS BIGINT) AS end_off FROM {lineitem}""",
     "events_log": """SELECT event_id, event_id%3 AS round, CASE event_type WHEN 'click' THEN 'new' WHEN 'view' THEN 'data_changed' WHEN 'purchase' THEN 'deleted' WHEN 'error' THEN 'error' ELSE 'rename' END AS op,
  concat('u/',CAST(user_id AS STRING),'/',CAST(event_id AS STRING)) AS path, '' AS version_id, CAST(floor(value*100) AS BIGINT) AS bytes, US(ts) AS create_at,
  event_id%11=0 AS is_dir, event_id%13=0 AND event_id%11<>0 AS is_symlink, user_id FROM {events}""",
@@ -60,7 +71,8 @@ FROM {{work}} w""",
     "notifications": """SELECT concat('n',CAST(event_id AS STRING)) AS id, CAST(user_id AS STRING) AS round_id, CAST(event_id%2 AS STRING) AS attempt_id, event_id+1 AS sequence, CASE WHEN event_id%7=0 THEN 2 ELSE 1 END AS kind,
  props AS payload_json, CASE WHEN event_id%3=0 THEN 1 ELSE 0 END AS delivery_revision FROM {events}""",
     "progress": """SELECT user_id AS task, event_id AS sequence, US(ts)/1000000.0 AS at_s, sum(CAST(floor(value*1000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS bytes FROM {events}""",
-    "feed": """SELECT conv_id AS session, CASE WHEN conv_id%7=0 AND turn>=1 THEN turn+1 ELSE turn END AS page, CAST(length(text)%50+1 AS BIGINT) AS entries, turn=max(turn) OVER (PARTITION BY conv_id) AS terminal,
+    "feed": """SELECT conv_id AS session, CASE WHEN conv_id%7=0 AND turn>=1 THEN turn+1 ELSE turn END AS page, CAST(length(text)%50+1 AS BIGINT) AS entries, turn=max(turn) OVER (PARTITION BY conv_id) OR (conv_id%13=0 AND turn=max(turn) OVER (PARTITION BY conv_id)-1) AS terminal,
+ CAST(sum(length(text)%50+1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - (length(text)%50+1) + CASE WHEN conv_id%11=0 AND turn=1 THEN 1 ELSE 0 END AS BIGINT) AS first_id,
  CASE WHEN turn=max(turn) OVER (PARTITION BY conv_id) THEN sum(CAST(length(text)%50+1 AS BIGINT)) OVER (PARTITION BY conv_id) + CASE WHEN conv_id%9=0 THEN 1 ELSE 0 END END AS declared FROM {conversations}""",
     "url_tree": """SELECT page_id AS k, concat(split_part(split_part(url,'://',2),'?',1)) AS relative_path, CAST(length(html) AS BIGINT) AS size, 'file' AS entry_kind, TRUE AS size_observed,
  CAST(1700000000000000000+page_id*1000000000 AS BIGINT) AS mtime_ns FROM {pages}""",
@@ -70,7 +82,7 @@ FROM {{work}} w""",
  UNION ALL SELECT k, concat('extra/',relative_path), ext, size, mtime_ns, mode, uid, FALSE, 'file', '' FROM {catalogue_src} WHERE k%43=0""",
     "source": """SELECT k, relative_path, ext, size, mtime_ns + CASE WHEN k%5=0 THEN 7000000 ELSE 0 END AS mtime_ns, mode, uid, k%23=0 AS is_dir, CASE WHEN k%23=0 THEN 'directory' ELSE 'file' END AS entry_kind,
  concat('t',CAST((CASE WHEN k%67=0 THEN k+1 ELSE k END)%4 AS STRING)) AS tags FROM {catalogue_src}""",
-    "acl": """SELECT concat(s_name,'/',n_name) AS path, (s_suppkey+n_nationkey)%3<>0 AS inheritance, n_name AS trustee, n_name AS owner, (s_suppkey*7+n_nationkey)%2=0 AS inherited, s_suppkey FROM {supplier}, {nation} WHERE n_nationkey<8""",
+    "acl": """SELECT concat(s_name,'/',n_name) AS path, (s_suppkey+n_nationkey)%3<>0 AS inheritance, n_name AS trustee, n_name AS owner, (s_suppkey*7+n_nationkey)%2=0 AS inherited, s_suppkey FROM {supplier} JOIN {nation} ON n_regionkey=s_nationkey%5""",
     "copy_runs": """SELECT c_nationkey AS job_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS sequence, concat('e',CAST(c_custkey AS STRING)) AS execution_id, CASE c_custkey%4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'running' ELSE 'completed' END AS phase,
  c_custkey%5<>0 AS baseline_prepared, c_custkey%11<>0 AS retains_source, concat('b',CAST(c_nationkey AS STRING),CASE WHEN c_custkey%31=0 THEN 'x' ELSE '' END) AS binding, concat('c',CAST(floor(c_custkey/40) AS STRING)) AS contract,
  concat('s',CAST(c_custkey%3 AS STRING)) AS selection_key, c_custkey%3=1 AS filtered, c_custkey%13=0 AS relative_time, c_custkey%17=0 AS delete_target, c_custkey%6<>0 AS baseline_available FROM {customer}""",

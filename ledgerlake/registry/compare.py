@@ -69,22 +69,31 @@ def cmp_scan(t: Tables):
     return compare.scan_compare(t("work_x"), t("base_x")).select("k", "event", "displaced")
 
 
-@query("base_x", "work_x", sql="SELECT b.relative_path, b.version_id, b.file_handle FROM base_x b JOIN work_x w ON w.relative_path=b.relative_path AND w.file_handle IS NOT NULL WHERE b.file_handle IS NOT NULL GROUP BY 1,2,3 HAVING max(CASE WHEN b.file_handle=w.file_handle THEN 1 ELSE 0 END)=0")
+@query("base_v", "work_v", sql="SELECT b.relative_path, b.version_id, b.file_handle FROM base_v b JOIN work_v w ON w.relative_path=b.relative_path AND w.version_id=b.version_id AND w.file_handle IS NOT NULL WHERE b.file_handle IS NOT NULL GROUP BY 1,2,3 HAVING max(CASE WHEN b.file_handle=w.file_handle THEN 1 ELSE 0 END)=0")
 def cmp_identity_changed(t: Tables):
-    return compare.identity_changed(t("base_x"), t("work_x"))
+    return compare.identity_changed(t("base_v"), t("work_v"))
 
 
-_RENAME = """o AS (SELECT file_handle, count(DISTINCT relative_path) AS n, min(relative_path) AS p FROM {old} WHERE file_handle IS NOT NULL GROUP BY 1),
-a AS (SELECT file_handle, count(DISTINCT relative_path) AS n FROM {live} WHERE file_handle IS NOT NULL GROUP BY 1),
-m AS (SELECT w.relative_path, w.version_id, coalesce(o.n=1 AND a.n=1 AND o.p<>w.relative_path, FALSE) AS r, o.p FROM {live} w LEFT JOIN {old} b ON b.relative_path=w.relative_path LEFT JOIN o ON o.file_handle=w.file_handle LEFT JOIN a ON a.file_handle=w.file_handle
-  WHERE b.k IS NULL OR (w.file_handle IS NOT NULL AND w.file_handle IS DISTINCT FROM b.file_handle))
-SELECT relative_path, version_id, CASE WHEN r THEN 'rename' ELSE 'new' END AS outcome, CASE WHEN r THEN p END AS from_path FROM m
-UNION ALL SELECT relative_path, version_id, 'deleted', NULL FROM {old} b WHERE NOT EXISTS (SELECT 1 FROM {live} w WHERE w.relative_path=b.relative_path) AND relative_path NOT IN (SELECT p FROM m WHERE r)"""
+def _rename(old: str, live: str, log: str) -> str:
+    return f"""g AS (SELECT o.* FROM {old} o LEFT JOIN {live} l ON l.relative_path=o.relative_path AND l.version_id=o.version_id WHERE l.relative_path IS NULL OR l.file_handle<>o.file_handle),
+cd AS (SELECT l.* FROM {live} l LEFT JOIN {old} o ON l.relative_path=o.relative_path AND l.version_id=o.version_id WHERE o.relative_path IS NULL OR (l.file_handle IS NOT NULL AND l.file_handle IS DISTINCT FROM o.file_handle)),
+og AS (SELECT file_handle, relative_path, version_id FROM g WHERE file_handle IS NOT NULL UNION SELECT file_handle, CASE WHEN operation_type='rename' THEN comment ELSE relative_path END, version_id FROM {log} WHERE operation_type<>'new' AND file_handle IS NOT NULL),
+oc AS (SELECT file_handle, count(*) AS n, min(relative_path) AS p, min(version_id) AS v FROM og GROUP BY 1), a AS (SELECT file_handle, count(*) AS n FROM {live} WHERE file_handle IS NOT NULL GROUP BY 1),
+m AS (SELECT cd.relative_path, cd.version_id, CASE d.operation_type WHEN 'new' THEN NULL WHEN 'rename' THEN d.comment ELSE CASE WHEN oc.n=1 AND a.n=1 THEN oc.p END END AS from_path, CASE d.operation_type WHEN 'new' THEN NULL WHEN 'rename' THEN d.version_id ELSE CASE WHEN oc.n=1 AND a.n=1 THEN oc.v END END AS from_version
+ FROM cd LEFT JOIN (SELECT * FROM {log} WHERE operation_type<>'deleted') d ON d.relative_path=cd.relative_path AND d.version_id=cd.version_id LEFT JOIN oc ON oc.file_handle=cd.file_handle LEFT JOIN a ON a.file_handle=cd.file_handle),
+s AS (SELECT from_path, from_version FROM m WHERE from_path IS NOT NULL UNION SELECT comment, version_id FROM {log} WHERE operation_type='rename')
+SELECT relative_path, version_id, CASE WHEN from_path IS NULL THEN 'new' ELSE 'rename' END AS outcome, from_path, from_version FROM m
+UNION ALL SELECT relative_path, version_id, 'deleted', NULL, NULL FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.from_path=g.relative_path AND s.from_version=g.version_id)"""
 
 
-@query("base_x", "work_x", sql=_RENAME.format(old="base_x", live="work_x"))
+@query("base_v", "work_v", "round_log", sql=_rename("base_v", "work_v", "round_log"))
 def cmp_final_rename(t: Tables):
-    return compare.final_renames(t("base_x"), t("work_x"))
+    return compare.final_renames(t("base_v"), t("work_v"), t("round_log"))
+
+
+@query("base_v", "work_v", sql="SELECT b.k, b.relative_path, b.version_id, b.file_handle FROM base_v b JOIN work_v w ON w.relative_path=b.relative_path AND w.version_id=b.version_id WHERE w.file_handle<>b.file_handle")
+def cmp_displaced(t: Tables):
+    return compare.displaced_rows(t("work_v"), t("base_v"))
 
 
 _GONE = "g AS (SELECT * FROM base_x b WHERE NOT EXISTS (SELECT 1 FROM work_x w WHERE w.relative_path=b.relative_path)), p AS (SELECT * FROM work_x UNION ALL SELECT k, concat('twin/',relative_path), * EXCLUDE (k, relative_path) FROM work_x WHERE k%58=0)"
@@ -219,11 +228,22 @@ def gen_absence_verdict(t: Tables):
     return integrity.absence_verdict(t("base_x").withColumn("has_history", F.col("k") % 51 == 0), presence)
 
 
-@query("base_x", "work_x", sql=f"""c AS ({_CLASSIFY}) SELECT CASE WHEN is_dir THEN 'dirs' WHEN is_symlink THEN 'links' WHEN is_regular_file THEN 'files' ELSE 'other' END AS kind,
- count(*) FILTER (WHERE change='new') AS new_count, CAST(coalesce(sum(size) FILTER (WHERE change='new'),0) AS BIGINT) AS new_bytes,
- count(*) FILTER (WHERE change IN ('data_changed','metadata_changed','both_changed','directory_marker_removed')) AS changed_count, CAST(coalesce(sum(size) FILTER (WHERE change IN ('data_changed','metadata_changed','both_changed','directory_marker_removed')),0) AS BIGINT) AS changed_bytes,
- CAST(0 AS BIGINT) AS deleted_count, CAST(0 AS BIGINT) AS deleted_bytes, CAST(0 AS BIGINT) AS renamed_count, CAST(0 AS BIGINT) AS renamed_bytes FROM c GROUP BY 1""")
+_COUNTED = {"new": "'new'", "changed": "'data_changed','metadata_changed','both_changed','directory_marker_removed'", "deleted": "'deleted'", "renamed": "'rename'"}
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE op IN ({v})) AS {k}_count, CAST(coalesce(sum(size) FILTER (WHERE op IN ({v})),0) AS BIGINT) AS {k}_bytes" for k, v in _COUNTED.items())
+
+
+@query("base_x", "work_x", sql=f"""c AS ({_CLASSIFY.replace('w.k, w.size', 'w.k, w.relative_path, w.size')}),
+g AS (SELECT o.* FROM base_x o LEFT JOIN work_x l ON l.relative_path=o.relative_path WHERE l.relative_path IS NULL OR l.file_handle<>o.file_handle), oc AS (SELECT file_handle, count(*) AS n, min(relative_path) AS p FROM g WHERE file_handle IS NOT NULL GROUP BY 1),
+a AS (SELECT file_handle, count(*) AS n FROM work_x WHERE file_handle IS NOT NULL GROUP BY 1),
+m AS (SELECT w.relative_path, oc.p FROM work_x w LEFT JOIN base_x b ON b.relative_path=w.relative_path JOIN oc ON oc.file_handle=w.file_handle AND oc.n=1 JOIN a ON a.file_handle=w.file_handle AND a.n=1 WHERE b.k IS NULL OR w.file_handle IS DISTINCT FROM b.file_handle),
+e AS (SELECT CASE WHEN m.p IS NOT NULL THEN 'rename' ELSE c.change END AS op, c.size, c.is_dir, c.is_symlink, c.is_regular_file FROM c LEFT JOIN m ON m.relative_path=c.relative_path UNION ALL SELECT 'deleted', size, is_dir, is_symlink, is_regular_file FROM g WHERE relative_path NOT IN (SELECT p FROM m))
+SELECT CASE WHEN is_dir THEN 'dirs' WHEN is_symlink THEN 'links' WHEN is_regular_file THEN 'files' ELSE 'other' END AS kind, {_COUNTS} FROM e GROUP BY 1""")
 def agg_delta_counts(t: Tables):
     from ..operators import stats
 
-    return stats.delta_counts(compare.classify(t("work_x"), t("base_x")).withColumnRenamed("change", "op"))
+    kinds = ["size", "is_dir", "is_symlink", "is_regular_file"]
+    final = compare.final_renames(t("base_x"), t("work_x"))
+    moved = final.where("outcome = 'rename'").select(*compare.KEY, F.lit("rename").alias("moved"))
+    staged = compare.classify(t("work_x"), t("base_x")).join(moved, compare.KEY, "left").select(F.coalesce("moved", "change").alias("op"), *kinds)
+    gone = t("base_x").join(final.where("outcome = 'deleted'").select(*compare.KEY), compare.KEY).select(F.lit("deleted").alias("op"), *kinds)
+    return stats.delta_counts(staged.unionByName(gone))

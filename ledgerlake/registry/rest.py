@@ -107,9 +107,18 @@ def log_text_failed(t: Tables):
     return logs.text_failed(t("logs")).select("line", "at_us", "failed_path")
 
 
-@query("logs", sql="""s AS (SELECT line, path AS error_path FROM logs UNION SELECT line, regexp_extract(message,'"([^"]+)"',1) FROM logs WHERE contains(message,'"')) SELECT line, error_path FROM s WHERE error_path IN (SELECT path FROM logs WHERE level='ERROR')""")
+_TRACED = """lg AS (SELECT line, at_us, level, message, CASE WHEN level='ERROR' AND line%5=0 THEN concat('lost/',CAST(line AS VARCHAR)) ELSE path END AS path FROM logs), b AS (SELECT DISTINCT p AS error_path FROM (SELECT path AS p FROM lg WHERE level='ERROR' UNION ALL SELECT regexp_extract(message,'failed "([^"]+)"',1) FROM lg WHERE level='ERROR')),
+w AS (SELECT line, level, path AS p FROM lg UNION SELECT line, level, regexp_replace(unnest(regexp_split_to_array(message,'[\\s"]+')),'[:.!?]+$','') FROM lg),
+f AS (SELECT DISTINCT line, p AS error_path FROM w WHERE p IN (SELECT error_path FROM b)), e AS (SELECT at_us, path AS error_path FROM lg WHERE level='ERROR' UNION SELECT at_us, regexp_extract(message,'failed "([^"]+)"',1) FROM lg WHERE level='ERROR'),
+o AS (SELECT * FROM e WHERE error_path NOT IN (SELECT p FROM w WHERE level<>'ERROR'))
+SELECT line, error_path, 'trace' AS why FROM f UNION ALL SELECT DISTINCT l.line, o.error_path, 'window' FROM lg l JOIN o ON l.at_us BETWEEN o.at_us-60000000 AND o.at_us+60000000 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.line=l.line AND f.error_path=o.error_path)"""
+
+
+@query("logs", sql=_TRACED)
 def log_trace_chain(t: Tables):
-    return logs.trace_chain(spans(t)).select("line", "error_path")
+    path = F.when((F.col("level") == "ERROR") & (F.col("line") % 5 == 0), F.concat(F.lit("lost/"), F.col("line").cast("string"))).otherwise(F.col("path"))
+    rows = t("logs").withColumn("path", path).withColumn("spans", F.array(F.struct("path")))
+    return logs.trace_chain(rows).select("line", "error_path", "why")
 
 
 @query("logs", sql="SELECT line, message FROM logs WHERE execution=2 ORDER BY at_us, line LIMIT 10")
@@ -151,13 +160,13 @@ def snk_catalogue(t: Tables):
     return t.spark.read.parquet(where).select("k", F.col("job_id").cast("long").alias("job_id"), "size")
 
 
-@query("events_log", sql="SELECT round, op, path, count(*) AS rows FROM events_log GROUP BY 1,2,3")
+@query("events_log", sql="SELECT round, count(*) AS rows, count(*) AS numbers, CAST(1 AS BIGINT) AS lowest, count(*) AS highest FROM (SELECT DISTINCT round, op, path, version_id FROM events_log) GROUP BY 1")
 def snk_events(t: Tables):
     where = shared_folder(t.spark, "events")
     rows = t("events_log").select("round", "op", "path", "version_id", "bytes", "create_at")
     for part in (rows.where("bytes%2=0"), rows.where("bytes%3=0"), rows):
         io.append_events(t.spark, where, part)
-    return t.spark.read.parquet(where).groupBy("round", "op", "path").agg(F.count(F.lit(1)).alias("rows"))
+    return t.spark.read.parquet(where).groupBy("round").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("create_at").alias("numbers"), F.min("create_at").alias("lowest"), F.max("create_at").alias("highest"))
 
 
 @query("entries", sql="SELECT concat(regexp_replace(relative_path,'/[^/]*$',''),'.tar') AS tar_path, relative_path AS entry_path, entry_kind, size, mtime_ns FROM entries")
@@ -194,13 +203,13 @@ def _stage_stream(t: Tables):
 
 
 def _register_streams() -> None:
-    from .compare import _RENAME, _SCAN
+    from .compare import _SCAN, _rename
 
     @query("base_x", "work_x", sql=_SCAN)
     def str_compare(t: Tables):
         return streams.compare_stream(_stage_stream(t), t("base_x"), shared_folder(t.spark, "compare")).select("k", "event", "displaced")
 
-    @query("base_x", "work_x", sql=_RENAME.format(old="base_x", live="work_x"))
+    @query("base_x", "work_x", sql=_rename("base_x", "work_x", "(SELECT NULL AS operation_type, NULL AS relative_path, NULL AS version_id, NULL AS file_handle, NULL AS comment WHERE FALSE)"))
     def str_finalize(t: Tables):
         return streams.finalize(_stage_stream(t), t("base_x"), shared_folder(t.spark, "finalize"))
 

@@ -144,11 +144,10 @@ def agg_count(t: Tables):
 _ARCH = "CASE k%4 WHEN 0 THEN concat('a/1995-0',CAST(1+k%9 AS STRING),'-11/b/c/',CAST(k AS STRING)) WHEN 1 THEN concat('x/',CAST(k%5 AS STRING),'/d19960',CAST(1+k%9 AS STRING),'12/',CAST(k AS STRING)) WHEN 2 THEN concat('skip2001-01-01/',CAST(k AS STRING)) ELSE relative_path END"
 
 
-@query("entries", sql=f"p AS (SELECT string_split(q,'/') AS s, q, size FROM (SELECT {_ARCH} AS q, size, is_regular_file FROM entries) WHERE is_regular_file), u AS (SELECT CASE WHEN starts_with(q,'a/') THEN array_to_string(list_slice(s,1,3),'/') ELSE array_to_string(list_slice(s,1,3),'/') END AS unit, size FROM p WHERE regexp_matches(q,'^a/1995-|^x/./d1996')) SELECT concat(unit,'.tar') AS tar_path, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY 1")
+@query("entries", sql=f"p AS (SELECT q, string_split(q,'/') AS s, size FROM (SELECT {_ARCH} AS q, size, is_regular_file FROM entries) WHERE is_regular_file AND NOT starts_with(q,'skip')), u AS (SELECT CASE WHEN starts_with(q,'a/') OR starts_with(q,'x/') THEN array_to_string(list_slice(s,1,3),'/') END AS unit, size FROM p) SELECT concat(unit,'.tar') AS tar_path, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM u WHERE unit IS NOT NULL GROUP BY 1")
 def agg_archive_plan(t: Tables):
-    e = t("entries").withColumn("relative_path", F.expr(_ARCH))
     # Under a/ the unit lies one level deeper than its date; under x/ the file's own directory bounds it.
-    return stats.archive_plan(e.where("relative_path not rlike '^[1-5m]'"), ~F.col("dir").startswith("skip"), extra_depth=1)
+    return stats.archive_plan(t("entries").withColumn("relative_path", F.expr(_ARCH)), ~F.col("dir").startswith("skip"), extra_depth=1)
 
 
 @query("copy_runs", sql="SELECT job_id, coalesce(max_by(execution_id, sequence) FILTER (WHERE phase='completed'), min_by(execution_id, sequence)) AS execution_id FROM copy_runs GROUP BY 1")
@@ -211,17 +210,19 @@ def win_pending_batch(t: Tables):
 
 @query("notifications", sql="SELECT id, CAST(greatest((n-1)//16, (b-1)//100) AS BIGINT) AS batch FROM (SELECT id, row_number() OVER w AS n, sum(strlen(payload_json)) OVER w AS b FROM notifications WINDOW w AS (PARTITION BY round_id ORDER BY sequence ROWS UNBOUNDED PRECEDING))")
 def win_batch_plan(t: Tables):
-    return windows.batch_plan(t("notifications"), 16, 100).select("id", "batch")
+    return windows.batch_plan(t("notifications"), 16, 100, slot=500).select("id", "batch")
 
 
-@query("versions", sql="w AS (SELECT *, lag(history_index) OVER o AS b, lead(history_index) OVER o IS NULL AS last FROM versions WINDOW o AS (PARTITION BY relative_path ORDER BY history_segment, history_index)), c AS (SELECT relative_path, version_id, CASE WHEN b IS NULL AND history_index<>0 THEN 'first_index' WHEN history_index<>coalesce(b+1,0) THEN 'gap' WHEN last AND NOT is_latest THEN 'latest_not_last' WHEN NOT last AND is_latest THEN 'latest_early' END AS violation FROM w) SELECT * FROM c WHERE violation IS NOT NULL")
+@query("histories", sql="""w AS (SELECT *, lag(history_segment) OVER o AS ps, lag(history_index) OVER o AS pi, lag(history_records) OVER o AS pr, lag(history_complete) OVER o AS pc, lag(is_latest) OVER o AS pl, lead(history_index) OVER o IS NULL AS last FROM histories WINDOW o AS (PARTITION BY relative_path ORDER BY history_segment, history_index)),
+c AS (SELECT relative_path, version_id, CASE WHEN ps IS NULL AND (history_segment<>0 OR history_index<>0) THEN 'first_index' WHEN pl THEN 'after_latest' WHEN ps<>history_segment AND (history_segment<>ps+1 OR pi+1<>pr OR pc OR history_index<>0) THEN 'segment' WHEN ps=history_segment AND history_index<>pi+1 THEN 'gap'
+ WHEN (ps=history_segment AND (history_records<>pr OR history_complete<>pc)) OR history_index>=history_records THEN 'boundary' WHEN is_latest AND (NOT history_complete OR history_index+1<>history_records) THEN 'latest_early' WHEN last AND NOT is_latest THEN 'latest_not_last' END AS violation FROM w) SELECT * FROM c WHERE violation IS NOT NULL""")
 def win_history_contiguity(t: Tables):
-    return windows.history_violations(t("versions")).select("relative_path", "version_id", "violation")
+    return windows.history_violations(t("histories")).select("relative_path", "version_id", "violation")
 
 
-@query("feed", sql="w AS (SELECT *, row_number() OVER o - 1 AS n, coalesce(lag(terminal) OVER o, FALSE) AS aft FROM feed WINDOW o AS (PARTITION BY session ORDER BY page)), p AS (SELECT session, bool_or(page<>n) AS g, bool_or(aft) AS a, sum(entries) AS n, max(declared) AS d, count(*) FILTER (WHERE terminal) AS t, min(entries) AS low FROM w GROUP BY 1) SELECT session, CASE WHEN g THEN 'page_gap' WHEN a THEN 'after_terminal' WHEN t<>1 THEN 'no_terminal' WHEN low<1 THEN 'empty_page' WHEN n<>d THEN 'count' ELSE 'ok' END AS status FROM p")
+@query("feed", sql="w AS (SELECT *, row_number() OVER o - 1 AS n, coalesce(lag(terminal) OVER o, FALSE) AS aft, first_id<>coalesce(sum(entries) OVER (PARTITION BY session ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS odd FROM feed WINDOW o AS (PARTITION BY session ORDER BY page)), p AS (SELECT session, bool_or(odd) AS i, max(entries) AS high, bool_or(page<>n) AS g, bool_or(aft) AS a, sum(entries) AS n, max(declared) AS d, count(*) FILTER (WHERE terminal) AS t, min(entries) AS low FROM w GROUP BY 1) SELECT session, CASE WHEN g THEN 'page_gap' WHEN a THEN 'after_terminal' WHEN t<>1 THEN 'no_terminal' WHEN low<1 OR high>48 THEN 'page_size' WHEN i THEN 'id_gap' WHEN n<>d THEN 'count' ELSE 'ok' END AS status FROM p")
 def win_feed_sequence(t: Tables):
-    return windows.feed_check(t("feed"))
+    return windows.feed_check(t("feed"), 48)
 
 
 @query("progress", sql="w AS (SELECT *, at_s-lag(at_s) OVER o AS dt, bytes-lag(bytes) OVER o AS db, first_value(at_s) OVER o AS s0 FROM progress WINDOW o AS (PARTITION BY task ORDER BY sequence)) SELECT task, sequence, round(CAST(CASE WHEN dt>0.1 AND db>0 THEN db/dt WHEN at_s>s0 THEN bytes/(at_s-s0) ELSE 0 END AS DOUBLE),2) AS rate FROM w")
@@ -257,27 +258,31 @@ def win_interval_covers(t: Tables):
 
 _LW = """sp AS (SELECT path, min(at_us)-60000000 AS a, max(at_us)+60000000 AS z FROM lg WHERE path IN (SELECT path FROM lg WHERE level='ERROR') GROUP BY 1), w1 AS (SELECT *, max(z) OVER (ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM sp),
 w2 AS (SELECT *, sum(CASE WHEN t IS NULL OR a>t THEN 1 ELSE 0 END) OVER (ORDER BY a,z ROWS UNBOUNDED PRECEDING) AS isl FROM w1), wn AS (SELECT min(a) AS start_off, max(z) AS end_off FROM w2 GROUP BY isl)"""
-_SOME = "lg AS (SELECT line, at_us, level, concat('q/',CAST(line//40 AS VARCHAR)) AS path FROM logs WHERE line%400<120), "
+_LG = "lg AS (SELECT line, at_us, level, path FROM logs), "
 
 
-@query("logs", sql=_SOME + _LW + " SELECT l.line, w.start_off, w.end_off FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off")
+@query("logs", sql=_LG + _LW + " SELECT l.line, w.start_off, w.end_off FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off")
 def win_log_windows(t: Tables):
-    lg = t("logs").where("line%400<120").select("line", "at_us", "level", F.concat(F.lit("q/"), F.floor(F.col("line") / 40).cast("string")).alias("path"))
-    found = windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 600_000_000)
+    lg = t("logs").select("line", "at_us", "level", "path")
+    found = windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 86_400_000_000)
     return found.select("line", "start_off", "end_off")
 
 
+@query("logs", sql=_LG + _LW + ", v AS (SELECT DISTINCT l.line FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off) SELECT (SELECT count(*) FROM lg) AS lines, (SELECT count(*) FROM v) AS shown, 1-(SELECT count(*) FROM v)/(SELECT count(*) FROM lg)::DOUBLE AS left_out")
+def win_log_compression(t: Tables):
+    lg = t("logs").select("line", "at_us", "level", "path")
+    return windows.compression(lg, windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 86_400_000_000))
+
+
 @query("logs", sql="SELECT line, level FROM logs ORDER BY line LIMIT 50")
 def win_log_head(t: Tables):
     return t("logs").orderBy("line").limit(50).select("line", "level")
 
 
-@query("work", sql="SELECT k, CAST(row_number() OVER (ORDER BY len(string_split(relative_path,'/')) DESC, relative_path) AS BIGINT) AS place FROM work QUALIFY place<=200")
+@query("work", sql="SELECT k, CAST(row_number() OVER (ORDER BY len(string_split(relative_path,'/')) DESC, relative_path) AS BIGINT) AS place FROM work")
 def srt_depth_first(t: Tables):
-    from pyspark.sql import Window
-
-    first = t("work").select("k", "relative_path", fn.depth("relative_path").alias("d")).orderBy(F.desc("d"), "relative_path").limit(200)
-    return first.select("k", F.row_number().over(Window.orderBy(F.desc("d"), "relative_path")).cast("long").alias("place"))
+    rows = t("work").select("k", "relative_path", fn.depth("relative_path").alias("d"))
+    return windows.places(rows, F.desc("d"), "relative_path").select("k", "place")
 
 
 @query("logs", sql="SELECT line, at_us, level FROM logs WHERE execution=3 AND level='ERROR' ORDER BY at_us, line LIMIT 20 OFFSET 40")

@@ -84,13 +84,23 @@ def clear_job(spark: SparkSession, path: str, job_id: int, target: str) -> None:
     spark.read.parquet(path).where(F.col("job_id") != job_id).write.partitionBy("job_id").mode("overwrite").parquet(target)
 
 
-def new_events(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Events to append: keys of the round that exist keep theirs; new keys get the numbers after its last."""
+def new_events(existing: DataFrame, incoming: DataFrame, buckets: int = 256) -> DataFrame:
+    """Events to append: keys of the round that exist keep theirs; new keys get the numbers after
+    its last, without gaps.  Of several incoming rows of a key the smallest is taken.
+
+    Numbers are those of the buckets of a round's paths before a row's own (a row a bucket), plus
+    its place in the bucket, so no task holds a round."""
     key = ["round", "op", "path", "version_id"]
-    fresh = incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
-    last = existing.groupBy("round").agg(F.max("create_at").alias("_last"))
-    n = F.row_number().over(Window.partitionBy("round").orderBy("path", "op", "version_id"))
-    return fresh.join(last, "round", "left").withColumn("create_at", (F.coalesce("_last", F.lit(0)) + n).cast("long")).drop("_last")
+    rest = [x for x in incoming.columns if x not in key]
+    one = incoming.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(*incoming.columns)
+    here = existing.join(one.select("round").distinct(), "round", "left_semi")
+    fresh = one.join(here.select(*key), key, "left_anti").withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(buckets)))
+    last = here.groupBy("round").agg(F.max("create_at").alias("_last"))
+    counts = fresh.groupBy("round", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("round", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("round").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("round", "_b").orderBy("path", "op", "version_id"))
+    numbered = fresh.withColumn("_p", place).join(before, ["round", "_b"]).join(last, "round", "left")
+    return numbered.withColumn("create_at", (F.coalesce("_last", F.lit(0)) + F.col("_before") + F.col("_p")).cast("long")).select(*incoming.columns)
 
 
 def append_events(spark: SparkSession, path: str, incoming: DataFrame) -> None:
