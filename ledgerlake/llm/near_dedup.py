@@ -10,27 +10,35 @@ sets.  A component is what links connect; its smallest id is kept.
 2. The forest: each tree reads the minimum hashes in its own order.  Its rows
    are sorted by range; documents that share the first ``FIRST`` hashes form a
    region.  At similarity 0.8 a pair misses all 24 regions with probability
-   (1 - 0.8**5)**24 = 7e-5.  Depth adapts: inside a region rows are ordered by
-   the following hashes, so neighbours have the longest common prefix however
-   dense the region, and range partitioning splits a region over tasks.
-3. Candidates in three rounds, each confirmed on the texts: (a) for every
-   document the neighbours it stands next to in most trees, by prefix length;
-   (b) in regions that still hold several components, their most central
-   document against all outside its component, and all neighbours; (c) in
-   regions that hold several components even then, all pairs across components
-   with a document outside the main one.  Regions of more than ``DENSE`` rows
-   are not expanded for (c): of a pair that is linked while one of the two is
-   not linked to the region's centre, either both have a shingle in common that
-   the centre has not, or the smaller overlap with the centre alone meets the
-   need of both sizes.  The first kind is found by an index of such shingles,
-   the second by a join on sizes, so a large group of near copies whose members
-   are a little too far apart costs its differences, not its pairs.
-   Pairs inside one component need no test.  Sizes alone rule out pairs before
-   any text moves; in (b) and (c) also the share of equal minimum hashes, five
-   standard deviations below the threshold.
-
-Texts of documents that share a region are shuffled; those of others are not
-read again.  Components are found by joins (``components``).
+   (1 - 0.8**5)**24 = 7e-5; nothing later loses a pair that shares a region.
+3. Candidates in three rounds; each leaves out what already is one component.
+   (a) All longest-common-prefix neighbours of all sorted orders.  (b) Adaptive
+   depth: a region that still holds several components is descended hash by
+   hash, and at every depth each part that holds several components has its
+   members compared with its most central document.  So the depth at which a
+   document finds its partner is that of its own surroundings.
+   (c) What is still open.  A region of at most ``LEAF`` rows is a leaf of the
+   forest: its pairs across components are candidates.  A larger one is too
+   dense at every depth for its pairs and is searched around one centre, whole:
+   each document is written as what it lacks of the centre's set (what most of
+   its documents have) and what it has beside it; two that are linked while one
+   of them is outside the main component share a shingle beside the centre, or
+   the smaller overlap with the centre alone meets the need of both sizes.  The
+   first meet in an index of the rarest such shingles (as many as the sizes and
+   overlaps need), the second by steps of their size in the same index, and the
+   two differences give the exact similarity without the texts.
+   In (c) only rows outside the largest component of a leaf or of a run of the
+   index probe the others, so rows of one component never meet.
+
+Centres: the centre of a dense region is the one that most of its documents
+have as the most central one of all their dense regions, so neighbouring
+regions agree on a centre and a near copy is written against very few.
+
+Sizes alone rule out pairs before any text moves; then, but for the index, the
+share of equal minimum hashes, five standard deviations (probability 3e-7)
+below the threshold.  Texts of documents that share a region are
+shuffled; those of others are not read again.  Components are found by joins
+(``components``).
 
 Defined results: null or empty texts have an empty set and are linked with
 nothing; null ids get no component and are kept; rows of one id are one
@@ -39,11 +47,12 @@ document; an empty table gives an empty table; other columns are dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -53,8 +62,8 @@ from .workers import lean
 
 TREES, FIRST, DEEP = 24, 5, 4
 HASHES = TREES * FIRST
-DENSE, SHORT = 24, 65
-"""Regions of more rows are searched by an index of shingles instead of by pairs; both ways are whole."""
+LEAF = 24
+"""Rows of a leaf of the forest, whose pairs are candidates; larger regions are searched whole around a centre."""
 _rng = np.random.default_rng(20240131)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(U)
 _ODD = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(U) << U(1) | U(1)
@@ -89,8 +98,9 @@ def _signatures(k: int):
                     g[some] = np.bitwise_xor.reduceat(mix(h * U(0x9E3779B97F4A7C15) + U(7)), at)
                     for j in range(HASHES):
                         sig[some, j] = np.minimum.reduceat((((h ^ _ADD[j]) * _ODD[j]) >> U(32)).astype(np.uint32), at)
-                raw = pa.array([sig[i].tobytes() if n[i] else None for i in range(len(n))], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), raw, *batch.columns[2:]], ["d", "n", "f", "g", "sig", *batch.schema.names[2:]])
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, HASHES, 0))]).astype(np.int32)
+                sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig[n > 0].view("<i4").ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(signed(f)), pa.array(signed(g)), sigs, *batch.columns[2:]], ["d", "n", "f", "g", "sig", *batch.schema.names[2:]])
 
     return run
 
@@ -100,7 +110,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         c, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, HASHES).astype(U)
+        sig = batch.column(2).flatten().to_numpy(zero_copy_only=False).view("<u4").reshape(-1, HASHES).astype(U)
         for t in range(TREES):
             order = sig[:, (np.arange(FIRST + DEEP) + t * FIRST) % HASHES]
             key = np.full(len(c), t + 1, U)
@@ -111,8 +121,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in forest order: those whose region has others (or may have, at the partition's
-    edges), each with the row before it in its region and their common depth."""
+    """Of rows in forest order: those whose region has others (or may have, at a batch's edges),
+    each with the row before it in its region and that one's size, the number of rows seen of the
+    region, and the keys of the deeper parts that it lies in, one hash longer each."""
     held: list[np.ndarray] | None = None
 
     def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -121,15 +132,13 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = key[1:] != key[:-1]
         size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
         keep = (size > 1) | (key == key[0]) | (key == key[-1])
-        prev, depth = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
-        i = np.flatnonzero(~new)
-        prev[i] = c[i - 1]
-        same = x[i] == x[i - 1]
-        half = lambda a: (a[i] >> 32) == (a[i - 1] >> 32)
-        depth[i] = FIRST + half(x) + same + (same & half(y)) + (same & (y[i] == y[i - 1]))
-        has = prev >= 0
-        has[i] = True
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(c[keep]), pa.array(n[keep]), pa.array(np.where(has, prev, 0)[keep], mask=~has[keep]), pa.array(depth[keep])], ["key", "c", "n", "prev", "depth"])
+        before = lambda a: pa.array(np.append(a[:1], a[:-1])[keep], mask=new[keep])
+        part, parts = key[keep].view(U), []
+        for h in (x[keep].view(U) >> U(32), x[keep].view(U), y[keep].view(U) >> U(32), y[keep].view(U)):
+            part = mix(part * U(0x9E3779B97F4A7C15) + (h & U(0xFFFFFFFF)) + U(1))
+            parts.append(part)
+        parts = pa.FixedSizeListArray.from_arrays(pa.array(signed(np.stack(parts, 1).ravel())), DEEP).cast(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(c[keep]), pa.array(n[keep]), before(c), before(n), pa.array(size[keep].astype(np.int64)), parts], ["key", "c", "n", "prev", "prev_n", "mates", "parts"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -170,97 +179,29 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _likely(percent: int):
-    """Pairs whose equal minimum hashes reach five standard deviations below the threshold."""
-    j = percent / 100
-    least = HASHES * j - 5 * np.sqrt(HASHES * j * (1 - j))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3))
-            good = pa.array((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
-
-    return run
-
-
-def _residues(k: int, percent: int):
-    """Per centre and document: the document's shingles that the centre has not, each a row; and,
-    under the hash 0, its size and overlap with the centre.  ``first`` tells how many of the rows,
-    rarest first, must be searched: a partner of size b or more shares need(n + b) shingles with
-    the document, of which at most the overlap lie inside the centre."""
+def _differences(k: int):
+    """Per centre and document: their sizes, which of the centre's shingles the document lacks,
+    and which it has beside the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 4, 1 << 20):
-                s, s_at = shingles(batch.column(4), k)
-                t, t_at = shingles(batch.column(5), k)
-                p, c, component = (batch.column(i).to_numpy() for i in range(3))
-                codes = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes() for x in batch.column(3).to_pylist()]
-                low = batch.column(6).to_numpy()
-                who, what, sizes, over, first, own = [], [], [], [], [], []
+            for batch in slices(whole, 3, 1 << 20):
+                s, s_at = shingles(batch.column(3), k)
+                t, t_at = shingles(batch.column(4), k)
+                n, m, lacks, beside = [], [], [], []
                 for i in range(batch.num_rows):
                     x, y = s[s_at[i] : s_at[i + 1]], t[t_at[i] : t_at[i + 1]]
-                    inside = y[np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))] == x if len(y) else np.zeros(len(x), bool)
-                    what.append(np.append(np.maximum(x[~inside], U(1)), U(0)))
-                    who.append(np.full(len(what[-1]), i))
-                    sizes.append(len(x))
-                    over.append(int(inside.sum()))
-                    own.append(what[-1][:-1].tobytes() if len(what[-1]) <= SHORT else None)
-                    least = max(int(low[i]), -(-percent * len(x) // 100))
-                    need = -(-percent * (len(x) + least) // (100 + percent))
-                    first.append(len(x) - over[-1] - max(1, need - over[-1]) + 1)
-                if who:
-                    i, lead = np.concatenate(who), np.concatenate(what) == U(0)
-                    # What is known of the document itself goes with its own row only.
-                    its = pa.array(np.where(lead, i, 0), mask=~lead)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[i]), pa.array(signed(np.concatenate(what))), pa.array(c[i]), pa.array(component[i]), pa.array(np.array(sizes)[i]), pa.array(np.array(over)[i]), pa.array(codes, pa.binary()).take(its), pa.array(own, pa.binary()).take(its), pa.array(np.array(first, np.int64)[i])], ["p", "h", "c", "component", "n", "o", "code", "own", "first"])
+                    n.append(len(x))
+                    m.append(len(y))
+                    lacks.append(signed(y[~np.isin(y, x, assume_unique=True)]))
+                    beside.append(signed(x[~np.isin(x, y, assume_unique=True)]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(lacks, pa.list_(pa.int64())), pa.array(beside, pa.list_(pa.int64()))], ["p", "c", "component", "n", "m", "lacks", "beside"])
 
     return run
 
 
-def _meetings(percent: int):
-    """Of rows sorted by centre and shingle: pairs of a run that lie in different components, are
-    of like sizes, whose minimum hashes (a byte of each) do not rule them out, and that share as
-    many shingles outside the centre as they need (where both have few of these)."""
-    j = percent / 100
-    least = HASHES * j - 5 * np.sqrt(HASHES * j * (1 - j))
-
-    def pairs(run: pa.Table) -> pa.RecordBatch:
-        c, component, n, o = (run.column(i).to_numpy() for i in (2, 3, 4, 5))
-        outside = [None if x is None else np.frombuffer(x, U) for x in run.column(7).to_pylist()]
-        code = np.frombuffer(b"".join(run.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)
-        a, b = [], []
-        for i in range(1, len(c)):
-            ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
-            m = np.flatnonzero(ok)
-            m = m[(code[m] == code[i]).sum(1) >= least]
-            if outside[i] is not None and len(m):
-                need = -(-percent * (n[m] + n[i]) // (100 + percent)) - np.minimum(o[m], o[i])
-                few = [outside[k] if outside[k] is not None else outside[i] for k in m]
-                owner = np.repeat(np.arange(len(m)), [len(x) for x in few])
-                got = np.bincount(owner, np.isin(np.concatenate(few), outside[i]), len(m))
-                m = m[(got >= need) | np.array([outside[k] is None for k in m])]
-            a.append(np.minimum(c[m], c[i]))
-            b.append(np.maximum(c[m], c[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            p, h, component = (rows.column(i).to_numpy() for i in (0, 1, 3))
-            edges = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (h[1:] != h[:-1])))
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if hi - lo > 1 and (component[lo:hi] != component[lo]).any():
-                    yield pairs(rows.slice(lo, hi - lo))
-            held = rows.slice(edges[-1]).combine_chunks()
-        if held is not None and held.num_rows > 1:
-            yield pairs(held)
-
-    return run
+def _tagged(column: Column | str, kind: int) -> Column:
+    return F.transform(column, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("h")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, mark: str | None = None) -> DataFrame:
@@ -270,88 +211,107 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"))
     own = [F.col(f"`{mark}`").cast("long").alias("mark")] if mark else []
     marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"), *own)
-    signed_ = settle(marked.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig binary" + ", mark long" * len(own)))
+    signed_ = settle(marked.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig array<int>" + ", mark long" * len(own)))
     classes = signed_.where("n > 0 and d is not null").groupBy("f", "g", "n").agg(F.min("d").alias("c"), F.first("sig").alias("sig"))
     nodes = settle(classes)
     forest = nodes.select("c", "n", "sig").mapInArrow(lean(_trees), "key long, x long, y long, c long, n long")
     regions = forest.repartitionByRange(width, "key", "x", "y", "c").sortWithinPartitions("key", "x", "y", "c")
-    regions = regions.mapInArrow(lean(_regions), "key long, c long, n long, prev long, depth long")
-    regions = settle(regions.join(regions.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("top")).where("low < top").select("key"), "key", "left_semi"))
+    regions = regions.mapInArrow(lean(_regions), "key long, c long, n long, prev long, prev_n long, mates long, parts array<long>")
+    # The weight of a document is how much of the forest it shares, over its at most TREES rows.
+    regions = settle(regions.withColumn("weight", F.sum("mates").over(Window.partitionBy("c"))).drop("mates"))
     texts = settle(base.join(regions.select(F.col("c").alias("d")).distinct().hint("shuffle_hash"), "d", "left_semi"))
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    j = percent / 100
+    least_equal = HASHES * j - 5 * math.sqrt(HASHES * j * (1 - j))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("c != p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, estimate: bool = True) -> DataFrame:
-        if estimate:
-            sigs = nodes.groupBy("c").agg(F.first("sig").alias("sig"))
-            pairs = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("t")), "b")
-            pairs = pairs.select("a", "b", "s", "t").mapInArrow(lean(_likely(percent)), "a long, b long")
-        with_a = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("s")), "a")
-        with_b = with_a.join(texts.select(F.col("d").alias("b"), F.col("text").alias("t")), "b")
-        return with_b.select("a", "b", "s", "t").mapInArrow(lean(_confirm(shingle, percent)), "a long, b long").distinct()
-
-    # Round a: each document's most frequent neighbours in the forest's orders.
-    near = regions.where("prev is not null and prev != c").groupBy("c", F.col("prev").alias("p")).agg(F.count(F.lit(1)).alias("times"), F.max("depth").alias("depth"))
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("times"), F.desc("depth"), "p"))).where("r <= 2")
-    tested = settle(ordered(best))
-    links = settle(confirmed(tested, estimate=False))
-    found = components(links, links.count())
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sigs = nodes.groupBy("c").agg(F.first("sig").alias("sig"))
+        pairs = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("t")), "b")
+        equal = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+        pairs = pairs.where(equal >= least_equal).select("a", "b")
+        with_b = pairs.join(texts.select(F.col("d").alias("b"), F.col("text").alias("t")), "b")
+        with_a = with_b.join(texts.select(F.col("d").alias("a"), F.col("text").alias("s")), "a")
+        return with_a.select("a", "b", "s", "t").mapInArrow(lean(_confirm(shingle, percent)), "a long, b long")
+
+    def open_rows(found: DataFrame, *columns: str) -> DataFrame:
+        """Rows of regions that hold several components, with their own component, and the region's
+        largest one, number of rows and most central document."""
+        rows = regions.select("key", "c", "n", "weight", *columns).join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("weight", "c", "n", "component")).alias("hub"))
+        of = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("rows"), F.max("hub").alias("hub"), F.count(F.lit(1)).alias("held"))
+        return rows.join(of.where("held > 1").drop("held"), "key")
+
+    # Round a: neighbours in the forest's orders.
+    near = regions.where("prev is not null").select("c", "n", F.col("prev").alias("p"), F.col("prev_n").alias("m")).where(alike)
+    tested = settle(ordered(near))
+    links = settle(confirmed(tested))
+    found = settle(components(links, links.count()))
 
-    def open_regions() -> DataFrame:
-        """Rows of regions that hold several components, with their components and the main one."""
-        rows = regions.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return rows.join(spread, "key", "left_semi")
-
-    # Round b: a region against its most central document, the one that shares most of the forest
-    # (what is of that one's component is left out), and every neighbour of another component.
-    rows = settle(open_regions())
-    weight = regions.join(regions.groupBy("key").agg(F.count(F.lit(1)).alias("mates")), "key").groupBy("c").agg(F.sum("mates").alias("weight"))
-    middle = rows.join(weight, "c").groupBy("key").agg(F.max(F.struct("weight", "c", "n", "component")).alias("h"))
-    middle = settle(middle.select("key", F.col("h.c").alias("hub"), F.col("h.n").alias("m"), F.col("h.component").alias("other")))
-    stars = rows.join(middle, "key").where("component != other").where(alike).select("c", F.col("hub").alias("p"))
-    sizes = rows.select(F.col("c").alias("p"), F.col("n").alias("m"), F.col("component").alias("other")).distinct()
-    beside = rows.where("prev is not null").select("c", "n", "component", F.col("prev").alias("p")).distinct().join(sizes, "p").where("component != other").where(alike)
-    pairs = settle(ordered(stars.union(beside.select("c", "p"))).join(tested, ["a", "b"], "left_anti"))
+    # Round b: hash by hash, every part of an open region against its most central document.
+    levels = open_rows(found, "parts").select("c", "n", "component", "weight", F.explode(F.concat(F.array("key"), "parts")).alias("part"))
+    levels = settle(levels)
+    middle = levels.groupBy("part").agg(F.max(F.struct("weight", "c", "n", "component")).alias("h"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    middle = middle.select("part", F.col("h.c").alias("p"), F.col("h.n").alias("m"), F.col("h.component").alias("other"))
+    stars = levels.join(middle, "part").where("component != other").where(alike).select("c", "p")
+    pairs = settle(ordered(stars).join(tested, ["a", "b"], "left_anti"))
     tested = tested.union(pairs)
     links = settle(links.union(confirmed(pairs)))
     found = settle(components(links, links.count()))
 
-    # Round c: all that may still join components; small regions by their pairs.
-    rows = settle(open_regions().join(middle.select("key", "hub"), "key"))
-    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = settle(per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("rows")))
-    small = rows.join(main.where(F.col("rows") <= DENSE), "key")
-    others = small.where("component != main").select("key", "c", "n", "component")
-    mates = small.select("key", F.col("c").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = ordered(others.join(mates, "key").where("component != other").where(alike))
-
-    # Dense regions: pairs that share a shingle their centre has not, or are short enough not to need one.
-    dense = rows.join(main.where(F.col("rows") > DENSE), "key", "left_semi").where("c != hub").select(F.col("hub").alias("p"), "c", "component", "n").distinct()
-    dense = dense.join(dense.groupBy("p").agg(F.min("n").alias("low")), "p").drop("n")
-    sigs = nodes.groupBy("c").agg(F.first("sig").alias("sig"))
-    units = dense.join(sigs, "c").join(texts.select(F.col("d").alias("c"), F.col("text").alias("s")), "c").join(texts.select(F.col("d").alias("p"), F.col("text").alias("t")), "p")
-    units = units.select("p", "c", "component", "sig", "s", "t", "low").mapInArrow(lean(_residues(shingle, percent)), "p long, h long, c long, component long, n long, o long, code binary, own binary, first long")
-    units = settle(units)
-    # Of r shingles that two must share, one is among all but r - 1 of either's, rarest first.
-    rare = units.where("h != 0").select("p", "h", "c", "first").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("p", "h")))
-    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("p", "c").orderBy("times", "h"))).where("rank <= first and times > 1").select("p", "h", "c")
-    known = units.where("h = 0").select("p", "c", "component", "n", "o", "code", "own")
-    rare = rare.join(known, ["p", "c"]).select("p", "h", "c", "component", "n", "o", "code", "own")
-    shared = rare.repartition(width, "p", "h").sortWithinPartitions("p", "h", "c").mapInArrow(lean(_meetings(percent)), "a long, b long")
-    band = units.where("h = 0").select("p", "c", "component", "n", "o")
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.02)))
-    # Of a pair without an outside shingle the smaller overlap o meets the whole need of both sizes.
-    most = F.col("o") * (100 + percent) / percent - F.col("n")
-    left = band.where(100 * F.col("o") >= percent * F.col("n")).where(most >= F.col("n") * percent / 100)
-    left = left.withColumn("step", F.explode(F.sequence(F.floor(F.log(F.col("n") * percent / 100.0) / F.log(F.lit(1.02))), F.floor(F.log(most) / F.log(F.lit(1.02))))))
-    right = band.withColumn("step", step).select("p", "step", F.col("c").alias("q"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("o").alias("u"))
-    need = f"least(o, u) * {100 + percent} >= {percent} * (n + m)"
-    close = left.join(right, ["p", "step"]).where("component != other and c != q").where(alike).where(need).select("c", F.col("q").alias("p"))
-    pairs = pairs.union(shared.distinct()).union(ordered(close)).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.union(settle(confirmed(settle(pairs))))
+    # Round c, leaves: their pairs across components; what is outside the largest one probes.
+    rows = settle(open_rows(found))
+    leaves = rows.where(F.col("rows") <= LEAF).select("key", "c", "n", "component", "main")
+    mates = leaves.select("key", F.col("c").alias("p"), F.col("n").alias("m"), F.col("component").alias("other"))
+    leaves = leaves.where("component != main").join(mates, "key").where("component != other").where(alike).select("c", "p")
+    pairs = settle(ordered(leaves).join(tested, ["a", "b"], "left_anti"))
+
+    # Round c, dense regions: each around the centre that most of its documents hold the most central.
+    dense = rows.where(F.col("rows") > LEAF).select("key", "c", "n", "component", F.struct("hub.weight", "hub.c").alias("hub"))
+    dense = dense.withColumn("lead", F.max("hub").over(Window.partitionBy("c")))  # at most TREES rows
+    votes = dense.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("k"))
+    centres = votes.groupBy("key").agg(F.max(F.struct("k", "lead")).alias("v")).select("key", F.col("v.lead.c").alias("p"))
+    members = settle(dense.join(centres, "key").where("c != p").select("p", "c", "component").distinct())
+    members = members.join(texts.select(F.col("d").alias("c"), F.col("text").alias("s")), "c").join(texts.select(F.col("d").alias("p"), F.col("text").alias("t")), "p")
+    units = settle(members.select("p", "c", "component", "s", "t").mapInArrow(lean(_differences(shingle)), "p long, c long, component long, n long, m long, lacks array<long>, beside array<long>"))
+    # The centre's set becomes what most of its documents have: an edit of the centre's own is no difference of theirs.
+    count = units.groupBy("p").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"))
+    often = units.select("p", F.explode(F.concat(_tagged("lacks", 0), _tagged("beside", 1))).alias("e")).groupBy("p", "e.kind", "e.h").agg(F.count(F.lit(1)).alias("times"))
+    often = often.join(count, "p").where("2 * times > members").groupBy("p").agg(*(F.collect_list(F.when(F.col("kind") == i, F.col("h"))).alias(x) for i, x in enumerate(("out", "into"))))
+    none = F.array().cast("array<long>")
+    turned = count.join(often, "p", "left").select("p", "low", F.coalesce("out", none).alias("out"), F.coalesce("into", none).alias("into"))
+    units = units.join(turned, "p").select(
+        "p", "c", "component", "low", "n", (F.col("m") - F.size("out") + F.size("into")).cast("long").alias("m"), (F.col("n") - F.size("beside")).alias("to_p"), F.col("m").alias("n_p"),
+        F.concat(F.array_except("lacks", "out"), F.array_except("into", "beside")).alias("lacks"), F.concat(F.array_except("beside", "into"), F.array_except("out", "lacks")).alias("beside"),
+    )
+    units = settle(units.withColumn("o", F.col("n") - F.size("beside")))
+    # A partner of size b or more shares need(n + b) shingles, of which at most the overlap lie in
+    # the centre.  Of r shingles that two must share, one is among all but r - 1 of either's, rarest first.
+    least = F.greatest("low", F.ceil(percent * F.col("n") / 100))
+    need = F.ceil(percent * (F.col("n") + least) / (100 + percent))
+    first = F.size("beside") - F.greatest(F.lit(1), need - F.col("o")) + 1
+    # Two without such a shingle lie in the centre each but for a share of the threshold, and in one
+    # or two neighbouring steps of size.
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.1)))
+    steps = F.when(100 * F.col("o") >= percent * F.col("n"), F.array(step, step + 1)).otherwise(none)
+    entries = F.concat(_tagged("beside", 1), _tagged(steps, 0))
+    index = units.select("p", "c", "component", "n", "o", (first + F.size(steps)).alias("first"), F.explode(entries).alias("e")).select("p", "c", "component", "n", "o", "first", "e.*")
+    per = index.groupBy("p", "kind", "h", "component").agg(F.count(F.lit(1)).alias("k"))
+    runs = per.groupBy("p", "kind", "h").agg(F.sum("k").alias("times"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("p", "c").orderBy("kind", "times", "h"))
+    rare = settle(index.join(runs, ["p", "kind", "h"]).withColumn("rank", rank).where("rank <= first and held > 1").select("p", "kind", "h", "c", "component", "n", "o", "main"))
+    mates = rare.select("p", "kind", "h", F.col("c").alias("c2"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("o").alias("o2"))
+    met = rare.where("component != main").join(mates, ["p", "kind", "h"]).where("component != other").where(alike)
+    met = met.where(f"kind = 1 or least(o, o2) * {100 + percent} >= {percent} * (n + m)").select("p", "c", "c2").distinct()
+    known = units.select("p", "c", "n", "m", "lacks", "beside")
+    both = met.join(known, ["p", "c"]).join(known.select("p", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "lacks", "beside")]), ["p", "c2"])
+    common = F.col("m") - F.size(F.array_union("lacks", "lacks2")) + F.size(F.array_intersect("beside", "beside2"))
+    exact = both.withColumn("o", common).where(f"o > 0 and 100 * o >= {percent} * (n + n2 - o)").select("c", F.col("c2").alias("p"))
+    central = units.where(f"to_p > 0 and 100 * to_p >= {percent} * (n + n_p - to_p)").select("c", "p")
+
+    links = settle(links.union(confirmed(pairs)).union(ordered(exact.union(central))))
     found = components(links, links.count())
 
     rows = signed_.drop("sig").join(nodes.select("f", "g", F.col("n").alias("m"), "c"), ["f", "g"], "left").where("m is null or m = n")

@@ -134,11 +134,11 @@ def test_near_dedup(docs, texts, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("dense", [24, 1])
+@pytest.mark.parametrize("leaf", [24, 1])
 @pytest.mark.parametrize("seed", [0, 1])
-def test_near_dedup_around_the_threshold(spark, monkeypatch, dense, seed):
+def test_near_dedup_around_the_threshold(spark, monkeypatch, leaf, seed):
     """Near copies of a text that is not there itself, most a little too far apart, some shorter."""
-    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)
     rng = random.Random(seed)
     base = [f"w{rng.randrange(500)}" for _ in range(110)]
     docs = []
@@ -159,7 +159,8 @@ def test_forest_neighbours_have_the_longest_prefix():
     zero = np.zeros(4, np.int64)
     batch = pa.RecordBatch.from_arrays([pa.array(a) for a in (keys, x, zero, np.arange(4), zero + 5)], ["key", "x", "y", "c", "n"])
     got = pa.Table.from_batches(list(near_dedup._regions(iter([batch])))).to_pydict()
-    assert dict(zip(got["c"], got["prev"])) == {0: None, 1: 0, 2: 1, 3: None} and got["depth"][1] > got["depth"][2]
+    assert dict(zip(got["c"], got["prev"])) == {0: None, 1: 0, 2: 1, 3: None} and got["prev_n"] == [None, 5, 5, None] and got["mates"] == [3, 3, 3, 1]
+    assert got["parts"][0] == got["parts"][1] and not set(got["parts"][1]) & set(got["parts"][2]) and len(set(got["parts"][0])) == 4
 
 
 @pytest.mark.parametrize("edges", [250_000, 7])
@@ -179,10 +180,7 @@ def benchmark(spark, texts):
     return spark.createDataFrame(items, "item_id long, text string"), items
 
 
-@pytest.mark.parametrize("block", [16 << 20, 300])
-def test_decontamination(docs, texts, empty, benchmark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-    frame, items = benchmark
+def brute_hits(texts, items):
     windows = defaultdict(set)
     for i, t in items:
         w = ALPHA.findall(low(t or ""))
@@ -200,13 +198,36 @@ def test_decontamination(docs, texts, empty, benchmark, monkeypatch, block):
                     found |= names
                     hit[i : i + n] = [True] * n
         want.append((str(d), len(w), sum(hit), ",".join(sorted(found))))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("bound", [1 << 24, 1 << 12])
+def test_decontamination(docs, texts, empty, benchmark, monkeypatch, bound):
+    """Also with a filter that lets nearly all through and with hits joined by a shuffle."""
+    monkeypatch.setattr(decontamination, "FILTER_BITS", bound)
+    monkeypatch.setattr(decontamination, "HITS_BYTES", bound if bound > 1 << 12 else -1)
+    frame, items = benchmark
+    want = brute_hits(texts, items)
     out = decontamination.decontaminate(docs, frame)
-    assert sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r.hit_items)) for r in out.collect()) == sorted(want)
-    assert out.where("contaminated <> (n_hit > 0)").count() == 0
+    rows = out.collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r.hit_items)) for r in rows) == want
+    assert all(r.contaminated == (r.n_hit > 0) and sum(s.stop - s.start for s in r.hit_spans) == r.n_hit for r in rows)
     assert decontamination.decontaminate(docs, frame.limit(0)).where("contaminated").count() == 0
     assert decontamination.decontaminate(empty, frame).count() == 0
 
 
+def test_decontamination_of_a_gram_that_all_share(spark):
+    """One 5-gram, one window and one word run stand in all items and all documents."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    gram, shared = "the same five words here", "ten words that every single item and document has inside"
+    items = [(i, f"{say(12)} {gram} {say(8)}" + (f" {shared}" if i % 2 else "")) for i in range(40)] + [(99, "na na na na na na na na na na na na")]
+    texts = [(d, f"{say(9)} {gram} {say(9)} {shared if d % 3 else ''} {'na ' * (d % 40)}") for d in range(120)]
+    docs, frame = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.decontaminate(docs, frame).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r.hit_items)) for r in out) == brute_hits(texts, items)
+
+
 def test_tokens_and_packing(spark, docs, texts, empty):
     library = tokens.Encoder(queries.tokenizer()).library
     ids = [(d, np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for d, t in texts]
@@ -253,6 +274,20 @@ def test_odd_white_space_gives_the_library_s_tokens():
     assert list(encoder.count(pa.array(odd))) == list(lengths)
 
 
+def test_long_texts_are_cut_without_a_change_of_tokens(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", 300)
+    monkeypatch.setattr(tokens, "PART_BYTES", 1000)
+    rng = random.Random(4)
+    parts = ["word", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "12", "x9y8", "'s", "'S", "<|endoftext|>", " <|endoftext|> ", "the", "!", "...", "日本", "\u3000", "\u2009", "\x85", "\xa0", "\x1c", "_", "²", "привет"]
+    long_ = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 900))) for _ in range(120)] + ["ab12" * 900, "x" * 3000, "  " * 2000, "日本語" * 700, "", "short"]
+    encoder = tokens.Encoder(queries.tokenizer())
+    assert encoder.cuts and max(len(p) for t in long_[:120] for p in tokens.parts_of(t.encode())) < 900
+    want = [e.ids for e in encoder.library.encode_batch(long_, add_special_tokens=False)]
+    ids, lengths = encoder.encode(pa.array(long_))
+    assert list(lengths) == [len(w) for w in want] and list(ids) == [i for w in want for i in w]
+    assert list(encoder.count(pa.array(long_))) == list(lengths)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_packing_plan(seed):
     rng = random.Random(seed)
@@ -311,6 +346,35 @@ def test_quality(spark, sf_dir, docs, empty):
     assert quality.fit_quality(empty, labels).flat == 0.5
 
 
+def test_quality_is_the_plain_discriminant(spark, docs):
+    """Scores against Gaussian densities written out, with covariances shrunk as documented."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    quality_of = {r.doc_id: r.quality for r in labels.collect()}
+    rows = table.select("doc_id", "text").collect()
+    x = np.concatenate([quality.features(pa.array([r.text], pa.string())) for r in rows])
+    learn = np.array([r.doc_id in quality_of and zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in rows])
+    y = np.array([quality_of.get(r.doc_id, -1) for r in rows])
+    z = (x - x[learn].mean(0)) / x[learn].std(0)
+    own = [np.cov(z[learn & (y == k)].T, bias=True) for k in (0, 1)]
+    share = [(learn & (y == k)).sum() / learn.sum() for k in (0, 1)]
+    logs = []
+    for k in (0, 1):
+        c = 0.2 * own[k] + 0.8 * (share[0] * own[0] + share[1] * own[1])
+        c = 0.98 * c + 0.02 * np.eye(len(c)) * np.trace(c) / len(c)
+        gap = z - z[learn & (y == k)].mean(0)
+        logs.append(np.log(share[k]) - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(c), gap) - 0.5 * np.linalg.slogdet(c)[1])
+    want = {r.doc_id: 1 / (1 + np.exp(min(700, a - b))) for r, a, b in zip(rows, *logs)}
+    out = quality.classify(table, labels)
+    assert out.columns == [*table.columns, "score", "predicted"]
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+    apart = quality.score_quality(table, quality.fit_quality(table, labels)).collect()
+    assert all(abs(r.score - got[r.doc_id]) < 1e-9 for r in apart)
+    short = quality.classify(docs.withColumn("score", F.lit("clash")).withColumn("predicted", F.lit("clash")), labels, with_text=False)
+    assert "text" not in short.columns and short.columns.count("score") == 1 and short.where("score between 0 and 1").count() == docs.count()
+
+
 def test_discriminant_separates_by_covariance_alone():
     rng = np.random.default_rng(0)
     x = [rng.normal(0, 1, (4000, 2)), rng.normal(0, 1, (4000, 2)) * [4, 0.25]]
@@ -318,33 +382,111 @@ def test_discriminant_separates_by_covariance_alone():
     assert ((model.score(x[1]) > 0.5).mean() + (model.score(x[0]) < 0.5).mean()) / 2 > 0.85
 
 
-def test_fingerprints(docs, texts, empty, spark):
+def plain_digest(data):
+    """The digest byte by byte."""
+    counts = [0] * 256
+    for i in range(len(data) - 3):
+        a, b, c, d = data[i : i + 4]
+        for salt, (x, y, z) in ((0x9E3779B1, (a, b, c)), (0x85EBCA77, (a, b, d)), (0xC2B2AE3D, (a, c, d))):
+            h = (x << 16 | y << 8 | z) * (salt | 1) % 2**32
+            counts[((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    size = min(255, int(np.log1p(len(data)) / np.log(1.1)))
+    ratio = int(15 * q1 / q3) << 4 | int(15 * q2 / q3) if q3 else 0
+    return bytes([size, ratio]) + bytes(sum(codes[4 * k + j] << 2 * j for j in range(4)) for k in range(64))
+
+
+def plain_likeness(a, b):
+    apart = min(64, abs(a[0] - b[0]))
+    for x, y in zip(a[2:], b[2:]):
+        for j in range(0, 8, 2):
+            gap = abs((x >> j & 3) - (y >> j & 3))
+            apart += gap + (gap == 3)
+    return 1 - min(1088, apart) / 1088
+
+
+@pytest.mark.parametrize("per", [4, 40])
+def test_fingerprints(docs, texts, empty, spark, monkeypatch, per):
+    """Every row against brute force, equal ids and rows without one included."""
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(fingerprints, "RANGES_PER_PARTITION", per)
+    hashes = {r.t: r.h for r in spark.createDataFrame([Row(t=t or "") for _, t in texts]).select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((d is not None, d or 0, hashes[t or ""], d, t or "") for d, t in texts), reverse=True)
+    want = []
+    for i, (*_, d, t) in enumerate(order):
+        follows = order[(i + 1) % len(order)][4]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + follows[:half]
+        a, b, c = (plain_digest(x.encode()) for x in (t, edited, follows))
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), a.hex(), b.hex(), plain_likeness(a, b), plain_likeness(a, c)))
     rows = fingerprints.with_neighbours(docs).collect()
-    assert len(rows) == len(texts)
-    unique = [(d, t or "") for d, t in texts if d is not None and d < 500]
-    order = sorted(unique, reverse=True)
+    assert sorted((str(r.doc_id), *r[1:]) for r in rows) == sorted(want)
     by = {r.doc_id: r for r in rows}
-    for (d, t), (_, n) in zip(order[:-1], order[1:]):
-        half = len(t) // 2
-        assert by[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
-        assert by[d].n_chars == len(t) and 0 <= by[d].near_next <= 1 and 0 <= by[d].near_edited <= 1
     assert len({by[200 + i].fingerprint for i in range(8)}) == 1
     assert fingerprints.with_neighbours(empty).count() == 0
     alone = fingerprints.with_neighbours(spark.createDataFrame([(1, "abcd efgh")], "doc_id long, text string")).head()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abcd abcd").hexdigest()
 
 
-def test_sharding(docs, texts, empty):
+def test_fingerprints_of_an_id_that_most_rows_have(spark):
+    texts = [(7 if i % 3 else None if i % 2 else i, f"text number {i} of many " * (i % 4)) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_chars, r.fingerprint, r.edited_sha256) for r in fingerprints.with_neighbours(docs).collect())
+    hashes = {r.t: r.h for r in docs.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((d is not None, d or 0, hashes[t], d, t) for d, t in texts), reverse=True)
+    want = []
+    for i, (*_, d, t) in enumerate(order):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + order[(i + 1) % len(order)][4][:half]
+        want.append((str(d), len(t), plain_digest(t.encode()).hex(), hashlib.sha256(edited.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def plain_lpt(sizes, shards):
+    """Every group for itself: largest first, to the least-loaded shard."""
+    loads, taken = [0] * shards, defaultdict(lambda: [0] * shards)
+    for n in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda k: (loads[k], k))
+        loads[s] += n
+        taken[n][s] += 1
+    return dict(taken), loads
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_deal_is_longest_processing_time(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, rng.choice([3, 40, 5000])) for _ in range(rng.randint(0, 3000))] + [10**6] * (seed % 3) + [7] * rng.choice([0, 500])
+    histogram = {n: sizes.count(n) for n in set(sizes)}
+    assert sharding.deal(histogram, 16) == plain_lpt(sizes, 16)[0]
+    assert sum(sum(t) for t in sharding.deal({5: 10**9, 900: 3}, 16).values()) == 10**9 + 3
+
+
+def test_sharding(docs, texts, empty, spark):
     rows = sharding.shard(docs).collect()
-    assert len(rows) == len(texts) and sum(r["size"] for r in rows) == sum(len((t or "").encode()) + 1 for _, t in texts)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in rows) == sorted((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in texts)
+    groups, homes, loads = defaultdict(int), defaultdict(set), [0] * 16
+    for _, t in texts:
+        groups[t or ""] += len((t or "").encode()) + 1
+    for r in rows:
+        homes[r.text_crc32].add(r.shard)
+        loads[r.shard] += r["size"]
+    assert sorted(loads) == sorted(plain_lpt(groups.values(), 16)[1])
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    groups = defaultdict(set)
-    for r in rows:
-        groups[r.text_crc32].add(r.shard)
-    assert all(len(v) == 1 for v in groups.values()) and {r.law for r in rows} == {"bytes"}
+    assert all(len(v) == 1 for v in homes.values()) and {r.law for r in rows} == {"bytes"}
     assert sharding.shard(empty).count() == 0
-    assert sharding.longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    many = [(i, f"{i % 700:03d}" * (i % 5)) for i in range(3000)] + [(None, None)] * 50 + [(9, "same row")] * 400
+    out = sharding.shard(spark.createDataFrame(many, "doc_id long, text string").repartition(4)).collect()
+    groups, loads = defaultdict(int), [0] * 16
+    for _, t in many:
+        groups[t or ""] += len(t or "") + 1
+    for r in out:
+        loads[r.shard] += r["size"]
+    assert sorted(loads) == sorted(plain_lpt(groups.values(), 16)[1]) and max(loads) - min(loads) <= max(groups.values())
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
 def test_chat(spark):
