@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each as Parquet in the shared folder and rereads it as the next stage's input,
-so a lost executor costs a stage at most.  All but the last return the columns
-of ``documents``.
+so a lost executor costs a stage at most.  A stage's files go when the next one
+is written.  All but the last return the columns of ``documents`` (other columns
+of the input are left out); the last returns the pieces with their token ids.
+
+Null ids, null and empty texts, repeated rows and empty tables: each stage's
+docstring says what becomes of them; none is lost but by a stage's decision.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from ledgerlake.llm.decontamination import decontaminate
 from ledgerlake.llm.frames import shared_folder, table
 from ledgerlake.llm.near_dedup import near_dedup
 from ledgerlake.llm.packing import pack
-from ledgerlake.llm.quality import fit_quality, score_quality
+from ledgerlake.llm.quality import classify
 from ledgerlake.llm.queries import tokenizer
 from ledgerlake.llm.substring_dedup import substring_dedup
 
@@ -25,9 +29,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(*COLUMNS)
+    """Documents that the quality classifier rejects go; a null text is judged as an empty one,
+    rows of one id and rows without an id each for themselves."""
+    return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has are cut out."""
+    """Passages of 50 words or more that a document with a smaller id has are cut out; a document
+    of nothing else goes.  Rows of one id keep each other's passages, rows without an id lose none."""
     out = substring_dedup(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
@@ -49,14 +54,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; a null text holds none."""
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.where("not contaminated").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of at most 2048 tokens."""
-    return pack(docs, tokenizer()).drop("ids")
+    """What is left is packed into sequences of at most 2048 tokens, each row by itself; a null
+    text is the separator alone."""
+    return pack(docs, tokenizer(), with_ids=True)
 
 
 STAGES = [
@@ -74,8 +80,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
         docs = spark.read.parquet(f"{where}/{k}")
+        if k:
+            done = hadoop.Path(f"{where}/{k - 1}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs
