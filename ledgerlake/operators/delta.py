@@ -1,30 +1,59 @@
 """Block signatures, duplicate blocks, and delta plans between two versions of a file.
 
-Texts are cut into fixed blocks by their characters; the strong hash is SHA-256.
-Aligned and moved blocks are found by equi joins on hashes, positions in the new
-text at any offset by a per-row function that is bounded by one file pair."""
+Files are cut into fixed blocks of their bytes; the weak hash is the rolling
+checksum, the strong one SHA-256.  Aligned and moved blocks are found by equi
+joins on hashes, blocks at any offset by a vectorised function of one file pair."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..shipping import ship
+
+MOD = 65521
+"""Fixed value: the modulus of both halves of the weak hash."""
 
 
 def blocks(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """One row per block: index, its text, weak and strong hash."""
-    size = fn.block_size(F.length(content))
-    n = F.ceil(F.length(content) / size)
-    rows = files.withColumn("block_size", size).withColumn("index", F.explode(F.when(F.length(content) > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))))
-    block = F.substring(F.col(content), (F.col("index") * F.col("block_size") + 1).cast("int"), F.col("block_size").cast("int"))
+    """One row per block: index, its bytes and strong hash.  A slice of bytes costs its own length."""
+    rows = files.select(*keys, F.encode(content, "UTF-8").alias("_data"))
+    rows = rows.withColumn("block_size", fn.block_size(F.octet_length("_data")))
+    n = F.ceil(F.octet_length("_data") / F.col("block_size"))
+    rows = rows.withColumn("index", F.explode(F.when(F.octet_length("_data") > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))))
+    block = F.substring(F.col("_data"), (F.col("index") * F.col("block_size") + 1).cast("int"), F.col("block_size").cast("int"))
     return rows.select(*keys, "index", "block_size", block.alias("block")).withColumn("strong", F.sha2("block", 256))
 
 
+def weak_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The weak hash of every window of ``width`` bytes, from prefix sums."""
+    x = data.astype(np.int64)
+    s, t = (np.concatenate([[0], np.cumsum(v)]) for v in (x, x * np.arange(len(x))))
+    at = np.arange(len(x) - width + 1)
+    a = s[width:] - s[: len(at)]
+    b = (at + width) * a - (t[width:] - t[: len(at)])
+    return (b % MOD) << 16 | a % MOD
+
+
+def signatures(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Per block its index, weak and strong hash."""
+    rows = blocks(files, keys, content).select("block", F.struct(*keys, "index", "strong").alias("rest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weak = [int(weak_hashes(np.frombuffer(b.as_py(), np.uint8), len(b.as_py()))[0]) for b in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(weak, pa.int64())], ["rest", "weak"])
+
+    ship(files.sparkSession)
+    return rows.mapInArrow(run, f"rest {rows.schema['rest'].dataType.simpleString()}, weak long").select("rest.*", "weak")
+
+
 def block_dedup(files: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct blocks by how often they occur, and what duplicates would save."""
     per = blocks(files, keys).groupBy("strong").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("block")).alias("bytes"))
@@ -46,53 +75,44 @@ def plan_totals(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.groupBy(key).agg(F.count_if(hit).alias("matched_blocks"), F.coalesce(F.sum(F.when(~hit, F.col("bytes"))), F.lit(0)).cast("long").alias("literal_bytes"), F.sum("bytes").cast("long").alias("total_bytes"))
 
 
-MOD = 65521
-
-
 def tokens_of(old: bytes, new: bytes, size: int) -> list[tuple[int, bytes | None]]:
-    """Match tokens (block, None) and data tokens (-1, bytes); the rolling window finds blocks at any offset."""
-    table: dict[int, list[int]] = {}
-    strong = []
-    for i in range(0, len(old), size):
-        part = old[i : i + size]
-        table.setdefault(_weak(part), []).append(len(strong))
-        strong.append(hashlib.sha256(part).digest())
+    """Match tokens (block, None) and data tokens (-1, bytes); blocks are found at any offset.
+
+    Windows whose weak hash no block has are passed over at once; the others are compared."""
+    whole = len(old) // size
+    tail = old[whole * size :]
+    where: dict[int, list[int]] = {}
+    if whole:
+        every = weak_hashes(np.frombuffer(old, np.uint8), size)[::size][:whole]
+        for k, h in enumerate(every.tolist()):
+            where.setdefault(h, []).append(k)
+    found: list[tuple[int, int, int]] = []
+    at = 0
+    if whole and len(new) >= size:
+        weak = weak_hashes(np.frombuffer(new, np.uint8), size)
+        hits = np.flatnonzero(np.isin(weak, list(where)))
+        i = 0
+        while i < len(hits):
+            here = int(hits[i])
+            part = new[here : here + size]
+            same = [k for k in where[int(weak[here])] if old[k * size : (k + 1) * size] == part]
+            if same:
+                # A block at its own place is preferred to a moved one.
+                found.append((here, size, here // size if here % size == 0 and here // size in same else same[0]))
+                at = here + size
+                i = int(np.searchsorted(hits, at))
+            else:
+                i += 1
+    if tail and len(new) - len(tail) >= at and new.endswith(tail):
+        found.append((len(new) - len(tail), len(tail), whole))
     out: list[tuple[int, bytes | None]] = []
-    at = literal = 0
-    a = b = width = None
-    while at < len(new):
-        if width is None:
-            width = min(size, len(new) - at)
-            value = _weak(new[at : at + width])
-            a, b = value & 0xFFFF, value >> 16
-        found = None
-        for k in table.get(b << 16 | a, ()):
-            if strong[k] == hashlib.sha256(new[at : at + width]).digest():
-                found = k if found is None or k * size == at else found
-        if found is not None:
-            if literal < at:
-                out.append((-1, new[literal:at]))
-            out.append((found, None))
-            at = literal = at + width
-            width = None
-            continue
-        first = new[at]
-        a = (a - first) % MOD
-        b = (b - width * first) % MOD
-        if at + width < len(new):
-            a = (a + new[at + width]) % MOD
-            b = (b + a) % MOD
-        else:
-            width -= 1
-        at += 1
-    if literal < at:
-        out.append((-1, new[literal:at]))
-    return out
-
-
-def _weak(block: bytes) -> int:
-    n = len(block)
-    return (sum((n - i) * x for i, x in enumerate(block)) % MOD) << 16 | sum(block) % MOD
+    at = 0
+    for here, width, k in found:
+        if at < here:
+            out.append((-1, new[at:here]))
+        out.append((k, None))
+        at = here + width
+    return [*out, (-1, new[at:])] if at < len(new) else out
 
 
 def shifted_plan(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:
@@ -101,7 +121,8 @@ def shifted_plan(pairs: DataFrame, key: str, old: str = "old", new: str = "new")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, o, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row in range(batch.num_rows):
+                k, o, n = (batch.column(i)[row].as_py() for i in range(3))
                 o, n = (o or "").encode(), (n or "").encode()
                 size = max(700, min(131072, int(len(o) ** 0.5)))
                 plan = tokens_of(o, n, size)
@@ -119,5 +140,5 @@ def rebuild(tokens: DataFrame, old: DataFrame, new: DataFrame, key: str) -> Data
     literal = blocks(new, [key]).select(key, "index", F.col("block").alias("_new"))
     parts = tokens.join(basis, [key, "from_block"], "left").join(literal, [key, "index"])
     part = F.when(F.col("token") == "literal", F.col("_new")).otherwise(F.col("_old"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", part.alias("x")))), lambda p: p["x"]), "")
-    return parts.groupBy(key).agg(F.sha2(text, 256).alias("_h")).join(new.select(key, F.sha2("content", 256).alias("_w")), key).select(key, (F.col("_h") == F.col("_w")).alias("verified"))
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", F.hex(part).alias("x")))), lambda p: p["x"]), "")
+    return parts.groupBy(key).agg(F.sha2(F.unhex(data), 256).alias("_h")).join(new.select(key, F.sha2("content", 256).alias("_w")), key).select(key, (F.col("_h") == F.col("_w")).alias("verified"))

@@ -80,18 +80,28 @@ def target_prune_plan(renames: DataFrame, deletions: DataFrame) -> DataFrame:
     return moves.unionByName(drops)
 
 
-def source_cleanup(entries: DataFrame, target: DataFrame, source_now: DataFrame) -> DataFrame:
-    """Whether an entry's source may be removed, or the reason it is kept."""
-    t = target.select("relative_path", F.col("entry_kind").alias("_tk"), F.col("size").alias("_ts"), F.lit(True).alias("_t"))
-    s = source_now.select("relative_path", F.col("size").alias("_ss"), F.col("mtime_ns").alias("_sm"), F.lit(True).alias("_s"))
+def source_cleanup(entries: DataFrame, target: DataFrame, source_now: DataFrame, execution: str) -> DataFrame:
+    """Whether an entry's source may be removed, or the reason it is kept: the storage root and
+    virtual entries are no one's; the entry was confirmed by this execution; a history is complete
+    and has nothing but its latest version; no directory marker; the target has the same kind,
+    size (files) and link target (links); the source is still there with the metadata it had."""
+    t = target.select("relative_path", F.col("entry_kind").alias("_tk"), F.col("size").alias("_ts"), F.col("symlink_target").alias("_tl"), F.lit(True).alias("_t"))
+    facts = ("size", "mtime_ns", "mode", "uid")
+    s = source_now.select("relative_path", *[F.col(x).alias(f"_s_{x}") for x in facts], F.lit(True).alias("_s"))
     j = entries.join(t, "relative_path", "left").join(s, "relative_path", "left")
+    kept = F.lit(True)
+    for x in facts:
+        kept = kept & F.col(x).eqNullSafe(F.col(f"_s_{x}"))
+    link = (F.col("entry_kind") == "symlink") & ~F.col("symlink_target").eqNullSafe(F.col("_tl"))
     verdict = (
-        F.when(F.col("relative_path") == "", "source_cleanup_policy")
-        .when(~F.col("confirmed"), "stale_evidence")
+        F.when((F.col("relative_path") == "") | F.col("is_virtual"), "source_cleanup_policy")
+        .when(~F.col("confirmed") | ~F.col("confirmed_by").eqNullSafe(F.lit(execution)), "stale_evidence")
+        .when((F.col("history_records") > 0) & ~F.col("history_complete"), "incomplete_enumeration")
+        .when(F.col("history_records") > 1, "source_cleanup_policy")
         .when(F.col("marker_state").isNotNull(), "source_deletion_unconfirmed")
-        .when(F.col("_t").isNull() | (F.col("_tk") != F.col("entry_kind")) | ((F.col("entry_kind") == "file") & (F.col("_ts") != F.col("size"))), "target_persistence_unconfirmed")
+        .when(F.col("_t").isNull() | (F.col("_tk") != F.col("entry_kind")) | ((F.col("entry_kind") == "file") & (F.col("_ts") != F.col("size"))) | link, "target_persistence_unconfirmed")
         .when(F.col("_s").isNull(), "already_absent")
-        .when((F.col("_ss") != F.col("size")) | (F.col("_sm") != F.col("mtime_ns")), "source_deletion_unconfirmed")
+        .when(~kept, "source_deletion_unconfirmed")
         .otherwise("eligible")
     )
     return j.select("relative_path", verdict.alias("verdict"))

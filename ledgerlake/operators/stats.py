@@ -45,8 +45,11 @@ def by_size(df: DataFrame) -> DataFrame:
     return df.where("is_regular_file").groupBy(fn.size_bucket("size").alias("bucket")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("entries"))
 
 
-def single_pass(df: DataFrame, as_of_ns: int) -> DataFrame:
-    """Totals and all three distributions in one scan by grouping sets."""
+def single_pass(df: DataFrame, as_of_ns: int, keys: list[str] | None = None, version: str = "copy_sequence") -> DataFrame:
+    """Totals and all three distributions in one scan by grouping sets; with ``keys``, over the
+    newest row of each."""
+    if keys:
+        df = latest_by_key(df.select(*keys, version, "size", "ext", "mtime_ns", "is_regular_file"), keys, version)
     regular = F.col("is_regular_file")
     rows = df.select("size", F.when(regular, F.lower("ext")).alias("e"), fn.age_bucket("mtime_ns", as_of_ns).cast("string").alias("a"), F.when(regular, fn.size_bucket("size")).cast("string").alias("s"))
     sets = rows.groupingSets([[], ["e"], ["a"], ["s"]], "e", "a", "s").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("entries"), F.grouping_id().alias("g"))

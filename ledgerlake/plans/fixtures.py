@@ -39,6 +39,10 @@ FROM {{base}} b""",
  CASE WHEN k%46=0 AND k%92<>0 THEN concat('m',CAST(k%5 AS STRING)) END AS marker_state, CAST((CASE WHEN k%59=0 THEN k+1 ELSE k END)%7 AS STRING) AS identity_key, '' AS source_version_id,
  concat('d',CAST((CASE WHEN k%53=0 THEN k+1 ELSE k END)%6 AS STRING)) AS metadata_digest, TRUE AS confirmed, TRUE AS copy_path_confirmed, TRUE AS copy_data_confirmed, CAST(3 AS BIGINT) AS generation, CAST(2 AS BIGINT) AS copy_sequence
 FROM {{work}} w""",
+    "copied": """SELECT *, k%113=0 AS is_virtual, CASE WHEN k%33=0 THEN 'e1' ELSE 'e2' END AS confirmed_by, CASE WHEN k%20=0 THEN 1+k%3 ELSE 0 END AS history_records, k%40<>0 AS history_complete,
+ CASE WHEN is_symlink THEN concat('to/',CAST(k%3 AS STRING)) END AS symlink_target FROM {work_x}""",
+    "copied_to": """SELECT k, relative_path, CASE WHEN k%71=0 THEN 'special' ELSE entry_kind END AS entry_kind, CASE WHEN k%47=0 THEN size+1 ELSE size END AS size, CASE WHEN k%62=0 THEN concat(symlink_target,'x') ELSE symlink_target END AS symlink_target FROM {copied} WHERE k%41<>0""",
+    "source_now": """SELECT k, relative_path, CASE WHEN k%43=0 THEN size+1 ELSE size END AS size, mtime_ns, CASE WHEN k%67=0 THEN 511 ELSE mode END AS mode, uid FROM {copied} WHERE k%19<>0""",
     "base_v": """SELECT k, relative_path, 'v1' AS version_id, file_handle FROM {base_x} UNION ALL SELECT k, relative_path, 'v2', file_handle || 'b' FROM {base_x} WHERE k%3=0
  UNION ALL SELECT k, relative_path, 'v3', file_handle FROM {base_x} WHERE k%15=0""",
     "work_v": """SELECT k, relative_path, 'v1' AS version_id, file_handle FROM {work_x} UNION ALL SELECT k, relative_path, 'v2', file_handle || 'b' FROM {work_x} WHERE k%3=0 AND k%4<>0
@@ -71,6 +75,8 @@ FROM {{work}} w""",
     "notifications": """SELECT concat('n',CAST(event_id AS STRING)) AS id, CAST(user_id AS STRING) AS round_id, CAST(event_id%2 AS STRING) AS attempt_id, event_id+1 AS sequence, CASE WHEN event_id%7=0 THEN 2 ELSE 1 END AS kind,
  props AS payload_json, CASE WHEN event_id%3=0 THEN 1 ELSE 0 END AS delivery_revision FROM {events}""",
     "progress": """SELECT user_id AS task, event_id AS sequence, US(ts)/1000000.0 AS at_s, sum(CAST(floor(value*1000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS bytes FROM {events}""",
+    "reports": """SELECT task, rn, arrival, r0*1000 AS round_at, concat('r',CAST(r0 AS STRING)) AS round_id, a0*10 AS attempt_at, concat('a',CAST(r0 AS STRING),'-',CAST(a0 AS STRING),CASE WHEN rn%17=5 THEN 'x' ELSE '' END) AS attempt_id, CAST(rn%4+1 AS BIGINT) AS sequence, rn%12=10 AS final FROM (
+ SELECT task, rn, arrival, CAST(floor((CASE WHEN rn%7=6 AND rn>=12 THEN rn-12 ELSE rn END)/12) AS BIGINT) AS r0, CAST(floor((rn%12)/4) AS BIGINT) AS a0 FROM (SELECT user_id AS task, event_id AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY event_id)-1 AS rn FROM {events}) e) f""",
     "feed": """SELECT conv_id AS session, CASE WHEN conv_id%7=0 AND turn>=1 THEN turn+1 ELSE turn END AS page, CAST(length(text)%50+1 AS BIGINT) AS entries, turn=max(turn) OVER (PARTITION BY conv_id) OR (conv_id%13=0 AND turn=max(turn) OVER (PARTITION BY conv_id)-1) AS terminal,
  CAST(sum(length(text)%50+1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - (length(text)%50+1) + CASE WHEN conv_id%11=0 AND turn=1 THEN 1 ELSE 0 END AS BIGINT) AS first_id,
  CASE WHEN turn=max(turn) OVER (PARTITION BY conv_id) THEN sum(CAST(length(text)%50+1 AS BIGINT)) OVER (PARTITION BY conv_id) + CASE WHEN conv_id%9=0 THEN 1 ELSE 0 END END AS declared FROM {conversations}""",

@@ -212,9 +212,11 @@ def cmp_target_prune_plan(t: Tables):
     return integrity.target_prune_plan(files.unionByName(dirs), t("base").where("k%29=0"))
 
 
-@query("work_x", "dest", "source", sql="SELECT e.relative_path, CASE WHEN e.relative_path='' THEN 'source_cleanup_policy' WHEN NOT e.confirmed THEN 'stale_evidence' WHEN e.marker_state IS NOT NULL THEN 'source_deletion_unconfirmed' WHEN d.k IS NULL OR d.entry_kind<>e.entry_kind OR (e.entry_kind='file' AND d.size<>e.size) THEN 'target_persistence_unconfirmed' WHEN s.k IS NULL THEN 'already_absent' WHEN s.size<>e.size OR s.mtime_ns<>e.mtime_ns THEN 'source_deletion_unconfirmed' ELSE 'eligible' END AS verdict FROM work_x e LEFT JOIN dest d ON d.relative_path=e.relative_path LEFT JOIN source s ON s.relative_path=e.relative_path")
+@query("copied", "copied_to", "source_now", sql="""SELECT e.relative_path, CASE WHEN e.relative_path='' OR e.is_virtual THEN 'source_cleanup_policy' WHEN NOT e.confirmed OR e.confirmed_by<>'e2' THEN 'stale_evidence' WHEN e.history_records>0 AND NOT e.history_complete THEN 'incomplete_enumeration' WHEN e.history_records>1 THEN 'source_cleanup_policy' WHEN e.marker_state IS NOT NULL THEN 'source_deletion_unconfirmed'
+ WHEN d.k IS NULL OR d.entry_kind<>e.entry_kind OR (e.entry_kind='file' AND d.size<>e.size) OR (e.entry_kind='symlink' AND e.symlink_target IS DISTINCT FROM d.symlink_target) THEN 'target_persistence_unconfirmed' WHEN s.k IS NULL THEN 'already_absent'
+ WHEN s.size<>e.size OR s.mtime_ns<>e.mtime_ns OR s.mode IS DISTINCT FROM e.mode OR s.uid IS DISTINCT FROM e.uid THEN 'source_deletion_unconfirmed' ELSE 'eligible' END AS verdict FROM copied e LEFT JOIN copied_to d ON d.relative_path=e.relative_path LEFT JOIN source_now s ON s.relative_path=e.relative_path""")
 def cmp_source_cleanup_eligible(t: Tables):
-    return integrity.source_cleanup(t("work_x"), t("dest"), t("source"))
+    return integrity.source_cleanup(t("copied"), t("copied_to"), t("source_now"), "e2")
 
 
 @query("base_x", "work_x", sql="SELECT k, relative_path FROM base_x WHERE file_handle IN (SELECT file_handle FROM work_x WHERE k%29=0 AND file_handle IS NOT NULL)")

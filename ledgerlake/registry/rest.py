@@ -232,10 +232,28 @@ def str_stats(t: Tables):
     return streams.running_stats(stream, shared_folder(t.spark, "stats"))
 
 
-@query("events_log", sql="SELECT DISTINCT user_id AS task, event_id AS sequence FROM events_log")
+_FOLLOWS = """CASE WHEN r.round_at<>c.round_at THEN r.round_at>c.round_at AND r.round_id<>c.round_id WHEN r.round_id<>c.round_id THEN FALSE WHEN r.attempt_at<>c.attempt_at THEN r.attempt_at>c.attempt_at AND r.attempt_id<>c.attempt_id
+ WHEN r.attempt_id<>c.attempt_id THEN FALSE ELSE r.sequence>c.sequence AND (r.final OR NOT c.final) END"""
+_CURSOR = ", ".join(f"CASE WHEN {_FOLLOWS} THEN r.{x} ELSE c.{x} END" for x in ("round_at", "round_id", "attempt_at", "attempt_id", "sequence", "final"))
+
+
+@query("reports", sql=f"""SELECT task, arrival FROM (WITH RECURSIVE c AS (SELECT task, rn, arrival, TRUE AS ok, round_at, round_id, attempt_at, attempt_id, sequence, final FROM reports WHERE rn=0
+ UNION ALL SELECT r.task, r.rn, r.arrival, {_FOLLOWS}, {_CURSOR} FROM c JOIN reports r ON r.task=c.task AND r.rn=c.rn+1) SELECT * FROM c) WHERE ok""")
 def str_cursor_latest(t: Tables):
-    reports = _events(t).select(F.col("user_id").alias("task"), F.col("event_id").alias("sequence"))
-    return streams.cursor_latest(reports.unionAll(reports.where("sequence%5=0")), shared_folder(t.spark, "cursor"))
+    """The reports come in three parts; after each the stream is stopped and started again."""
+    where, out = shared_folder(t.spark, "reports"), shared_folder(t.spark, "cursor")
+    rows = t("reports").withColumn("part", F.least(F.floor(F.col("rn") / 30), F.lit(2)))
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part", "rn").write.mode("append").parquet(where)
+        accepted = streams.cursor_latest(t.spark.readStream.schema(t.spark.read.parquet(where).schema).parquet(where), out)
+    return accepted
+
+
+@query("events_log", sql="SELECT task, batch_id, CASE WHEN min(content)=max(content) THEN 'stored' ELSE 'conflict' END AS status FROM (SELECT user_id AS task, concat('b',CAST(event_id%50 AS STRING)) AS batch_id, concat('c',CAST(CASE WHEN event_id%7=0 THEN event_id ELSE 0 END AS STRING)) AS content FROM events_log) GROUP BY 1,2")
+def str_diagnostic_batches(t: Tables):
+    content = F.concat(F.lit("c"), F.when(F.col("event_id") % 7 == 0, F.col("event_id")).otherwise(0).cast("string"))
+    batches = _events(t).select(F.col("user_id").alias("task"), F.concat(F.lit("b"), (F.col("event_id") % 50).cast("string")).alias("batch_id"), content.alias("content"))
+    return streams.diagnostic_batches(batches, shared_folder(t.spark, "batches"))
 
 
 @query("events_log", sql="SELECT id, max(r) AS revision FROM (SELECT concat('n',CAST(event_id%4000 AS STRING)) AS id, CASE WHEN event_id%3=0 THEN 1 ELSE 0 END AS r FROM events_log) GROUP BY 1")

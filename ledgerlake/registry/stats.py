@@ -40,7 +40,9 @@ def agg_size(t: Tables):
 
 @query("entries", sql=f"SELECT 'total' AS part, '' AS key, {SUMS} FROM entries UNION ALL SELECT 'extension', lower(ext), {SUMS} FROM entries WHERE is_regular_file AND ext IS NOT NULL GROUP BY 2 UNION ALL SELECT 'age', CAST({AGE_SQL} AS VARCHAR), {SUMS} FROM entries GROUP BY 2 UNION ALL SELECT 'size', CAST({SIZE_SQL} AS VARCHAR), {SUMS} FROM entries WHERE is_regular_file GROUP BY 2")
 def agg_single_pass(t: Tables):
-    return stats.single_pass(t("entries"), AS_OF_NS)
+    rows = t("entries").withColumn("copy_sequence", F.lit(2))
+    older = rows.where("k%3=0").withColumn("size", F.col("size") + 5).withColumn("copy_sequence", F.lit(1))
+    return stats.single_pass(rows.unionByName(older), AS_OF_NS, ["relative_path"], "copy_sequence")
 
 
 @query("events_log", sql="SELECT op, is_dir, is_symlink, count(*) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM events_log WHERE create_at>=1704500000000000 GROUP BY 1,2,3")
@@ -160,14 +162,21 @@ def agg_report_json(t: Tables):
     return stats.report_charts(stats.report_json(t("entries"), AS_OF_NS))
 
 
-_BLOCKS = "z AS (SELECT doc_id, content, greatest(700, least(131072, CAST(floor(sqrt(length(content))) AS BIGINT))) AS bs FROM files), b AS (SELECT doc_id, i, bs, substr(content, CAST(i*bs+1 AS BIGINT), bs) AS block FROM (SELECT *, unnest(range(0, CAST(ceil(length(content)/bs::DOUBLE) AS BIGINT))) AS i FROM z))"
+_CUT = "{z} AS (SELECT doc_id, encode(content) AS data, greatest(700, least(131072, CAST(floor(sqrt(strlen(content))) AS BIGINT))) AS bs FROM {t}), {b} AS (SELECT doc_id, i, bs, array_slice(data, CAST(i*bs+1 AS BIGINT), CAST(i*bs+bs AS BIGINT)) AS block FROM (SELECT *, unnest(range(0, CAST(ceil(octet_length(data)/bs::DOUBLE) AS BIGINT))) AS i FROM {z}))"
+_BLOCKS = _CUT.format(z="z", b="b", t="files")
 
 
-@query("files", sql=_BLOCKS + ", g AS (SELECT sha256(block) AS s, count(*) AS c, min(strlen(block)) AS n FROM b GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS blocks, count(*) AS distinct_blocks, CAST(sum(c*n) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS distinct_bytes FROM g")
+@query("files", sql=_BLOCKS + ", g AS (SELECT sha256(block) AS s, count(*) AS c, min(octet_length(block)) AS n FROM b GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS blocks, count(*) AS distinct_blocks, CAST(sum(c*n) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS distinct_bytes FROM g")
 def agg_block_dedup(t: Tables):
     return delta.block_dedup(t("files"), ["doc_id"])
 
 
+@query("files", sql=_BLOCKS + """, x AS (SELECT doc_id, i, octet_length(block) AS n, hex(block) AS h, sha256(block) AS strong FROM b), u AS (SELECT doc_id, i, n, strong, j, CAST('0x'||substr(h,2*j+1,2) AS BIGINT) AS v FROM (SELECT *, unnest(range(0,n)) AS j FROM x))
+SELECT doc_id, i AS index, strong, (CAST(sum((n-j)*v) AS BIGINT)%65521)*65536 + CAST(sum(v) AS BIGINT)%65521 AS weak FROM u GROUP BY 1,2,3""")
+def agg_block_signature(t: Tables):
+    return delta.signatures(t("files"), ["doc_id"])
+
+
 def pairs(t: Tables):
     """Each text and a copy edited by a fixed rule: a block swapped to the front, and a tail."""
     old = t("files").select("doc_id", "content")
@@ -176,8 +185,8 @@ def pairs(t: Tables):
 
 
 _NEW = "nf AS (SELECT doc_id, CASE doc_id%3 WHEN 0 THEN substr(content,701,700)||substr(content,1,700)||substr(content,1401) WHEN 1 THEN content||'tail' ELSE 'head '||content END AS content FROM files), "
-_PLAN = _NEW + _BLOCKS + """, y AS (SELECT doc_id, content, greatest(700, least(131072, CAST(floor(sqrt(length(content))) AS BIGINT))) AS bs FROM nf), nb AS (SELECT doc_id, i, substr(content, CAST(i*bs+1 AS BIGINT), bs) AS block FROM (SELECT *, unnest(range(0, CAST(ceil(length(content)/bs::DOUBLE) AS BIGINT))) AS i FROM y)),
-tk AS (SELECT n.doc_id, n.i, strlen(n.block) AS bytes, CASE WHEN h.block=n.block THEN 'aligned' WHEN w.block IS NOT NULL THEN 'moved' ELSE 'literal' END AS token FROM nb n LEFT JOIN b h ON h.doc_id=n.doc_id AND h.i=n.i LEFT JOIN (SELECT DISTINCT doc_id, block FROM b) w ON w.doc_id=n.doc_id AND w.block=n.block)"""
+_PLAN = _NEW + _BLOCKS + """, """ + _CUT.format(z="y", b="nb", t="nf") + """,
+tk AS (SELECT n.doc_id, n.i, octet_length(n.block) AS bytes, CASE WHEN h.block=n.block THEN 'aligned' WHEN w.block IS NOT NULL THEN 'moved' ELSE 'literal' END AS token FROM nb n LEFT JOIN b h ON h.doc_id=n.doc_id AND h.i=n.i LEFT JOIN (SELECT DISTINCT doc_id, block FROM b) w ON w.doc_id=n.doc_id AND w.block=n.block)"""
 
 
 @query("files", sql=_PLAN + " SELECT doc_id, count(*) FILTER (WHERE token<>'literal') AS matched_blocks, CAST(coalesce(sum(bytes) FILTER (WHERE token='literal'),0) AS BIGINT) AS literal_bytes, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM tk GROUP BY 1")

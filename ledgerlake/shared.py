@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _root(spark: SparkSession) -> str:
+def root(spark: SparkSession) -> str:
     """Only a local master, as in tests, may do without the setting: elsewhere the warehouse may
     be a folder of one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -25,5 +25,5 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_root(df.sparkSession))
+        context.setCheckpointDir(root(df.sparkSession))
     return df.checkpoint()

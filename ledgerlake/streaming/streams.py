@@ -106,25 +106,52 @@ def running_stats(contributions: DataFrame, where: str) -> DataFrame:
     return collected(changes, where, "update").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
 
 
+CURSOR = "round_at long, round_id string, attempt_at long, attempt_id string, sequence long, final boolean"
+
+
+def follows(report: tuple, last: tuple | None) -> bool:
+    """Whether a report (round's start and id, attempt's start and id, sequence, final) advances the
+    cursor: a later round or attempt under another id, or in the same attempt a later sequence,
+    where nothing but a final report follows a final one."""
+    if last is None:
+        return True
+    for k in (0, 2):
+        if report[k] != last[k]:
+            return report[k] > last[k] and report[k + 1] != last[k + 1]
+        if report[k + 1] != last[k + 1]:
+            return False
+    return report[4] > last[4] and (report[5] or not last[5])
+
+
 def cursor_latest(reports: DataFrame, where: str) -> DataFrame:
-    """Progress reports that advance their task's cursor; repeated or late ones are refused."""
+    """Progress reports (task, arrival, and what ``follows`` reads) that advance their task's cursor,
+    in order of arrival; the state is the cursor.  Called again, it goes on from its checkpoint."""
+    names = [x.split()[0] for x in CURSOR.split(", ")]
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1
+        last = state.get if state.exists else None
         kept = []
-        for part in rows:
-            for r in part.sort_values("sequence").itertuples():
-                if r.sequence > last:
-                    last = int(r.sequence)
-                    kept.append((int(key[0]), last))
-        state.update((last,))
+        for r in pd.concat(rows).sort_values("arrival")[["arrival", *names]].itertuples(index=False):
+            report = (int(r[1]), r[2], int(r[3]), r[4], int(r[5]), bool(r[6]))
+            if follows(report, last):
+                last = report
+                kept.append((int(key[0]), int(r[0])))
+        if last is not None:
+            state.update(last)
         if kept:
-            yield pd.DataFrame(kept, columns=["task", "sequence"])
+            yield pd.DataFrame(kept, columns=["task", "arrival"])
 
-    accepted = reports.groupBy("task").applyInPandasWithState(step, "task long, sequence long", "sequence long", "append", GroupStateTimeout.NoTimeout)
+    accepted = reports.groupBy("task").applyInPandasWithState(step, "task long, arrival long", CURSOR, "append", GroupStateTimeout.NoTimeout)
     return collected(accepted, where).drop("batch")
 
 
+def diagnostic_batches(batches: DataFrame, where: str) -> DataFrame:
+    """Batches (task, batch_id, content) by id: repeated ones are one, other content is a conflict."""
+    seen = batches.groupBy("task", "batch_id").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+    rows = collected(seen, where, "update").groupBy("task", "batch_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return rows.select("task", "batch_id", F.when(F.col("low") == F.col("high"), "stored").otherwise("conflict").alias("status"))
+
+
 def pending(notes: DataFrame, where: str) -> DataFrame:
     """The highest revision seen per id: an acknowledgement holds though an older row comes late."""
     best = notes.groupBy("id").agg(F.max("delivery_revision").alias("revision"))
