@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..shared import root
 from ..shipping import ship
 
 
@@ -17,17 +19,14 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests) one under the warehouse."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """The folder the cluster names in ``spark.checkpoint.dir``; see ``shared.root``."""
+    return root(spark)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
-    context = ship(df.sparkSession).sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    ship(df.sparkSession)
+    return shared.settle(df)
 
 
 def carried(df: DataFrame, *used: str) -> Column:
