@@ -49,6 +49,11 @@ def retire(base: DataFrame, run: int) -> DataFrame:
     return base.where(~((F.col("copy_sequence") > 0) & (F.col("copy_sequence") <= run)))
 
 
+def leftovers(base: DataFrame, run: int) -> DataFrame:
+    """How many rows a retirement of ``run`` has left behind; any is an error."""
+    return base.agg(F.count_if((F.col("copy_sequence") > 0) & (F.col("copy_sequence") <= run)).alias("leftovers"))
+
+
 def event_epoch(events: DataFrame, now: int) -> DataFrame:
     """The next epoch per round; the clock may have stepped back."""
     return events.groupBy("round").agg(F.greatest(F.lit(now), F.max("create_at") + 1).alias("epoch"))

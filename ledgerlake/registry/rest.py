@@ -23,6 +23,17 @@ def gen_commit(t: Tables):
     return policy.commit(t("copy_runs"), t("copy_runs").where("sequence%2=0"))
 
 
+@query("entries", sql="SELECT job_id, count(*) AS rows, CAST(1 AS BIGINT) AS runs, CAST(2 AS BIGINT) AS committed FROM entries GROUP BY 1")
+def gen_commit_round(t: Tables):
+    """A round is published and then recorded; its replay changes nothing."""
+    where, runs = shared_folder(t.spark, "round"), shared_folder(t.spark, "runs")
+    done = t("entries").select("job_id", F.lit(2).cast("long").alias("sequence")).distinct()
+    for _ in range(2):
+        io.commit_round(t("entries"), where, done, runs)
+    rows = t.spark.read.parquet(where).groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(t.spark.read.parquet(runs).groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"), F.max("sequence").alias("committed")), "job_id")
+
+
 @query("copy_runs", sql="SELECT job_id, baseline_prepared AND phase='completed' AS baseline FROM copy_runs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC)=1")
 def gen_baseline(t: Tables):
     return policy.has_baseline(t("copy_runs"))
@@ -50,6 +61,13 @@ def gen_retire(t: Tables):
     return policy.retire(u, 1)
 
 
+@query("base_x", "work_x", sql="SELECT count(*) AS leftovers FROM base_x WHERE k%10=0")
+def gen_retire_leftovers(t: Tables):
+    """After a retirement that missed some rows of the run."""
+    u = t("base_x").where("k%10=0").select("k", "copy_sequence").unionAll(t("work_x").select("k", "copy_sequence"))
+    return policy.leftovers(u, 1)
+
+
 @query("events_log", sql="SELECT round, greatest(1704700000000000, max(create_at)+1) AS epoch FROM events_log GROUP BY 1")
 def gen_event_epoch(t: Tables):
     return policy.event_epoch(t("events_log"), 1704700000000000)
@@ -262,10 +280,23 @@ def str_pending(t: Tables):
     return streams.pending(notes, shared_folder(t.spark, "pending"))
 
 
+def _twice(t: Tables, name: str, again, run):
+    """All events as a stream that runs to its end, then ``again`` (events, newest time) as a second
+    part of it, read from the checkpoint of the first."""
+    where, out = shared_folder(t.spark, name), shared_folder(t.spark, f"{name}-out")
+    events = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = events.agg(F.max("ts").alias("t")).head()["t"]
+    for part in (events, again(events, F.lit(newest))):
+        part.write.mode("append").parquet(where)
+        result = run(t.spark.readStream.schema(t.spark.read.parquet(where).schema).parquet(where), out)
+    return result
+
+
 @query("events_log", sql="SELECT event_id, user_id FROM events_log")
 def str_dedup_events(t: Tables):
-    e = _events(t).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts")
-    return streams.dedup_events(e.unionAll(e.where("event_id%5=0")), ["event_id"], "ts", "400 days", shared_folder(t.spark, "dedup")).select("event_id", "user_id")
+    """Replays of the last days are known, those of older events are late; neither comes twice."""
+    again = lambda e, newest: e.where((F.col("event_id") % 5 == 0) & ((F.col("ts") > newest - F.expr("interval 5 days")) | (F.col("ts") < newest - F.expr("interval 8 days"))))
+    return _twice(t, "dedup", again, lambda s, out: streams.dedup_events(s.select("event_id", "user_id", "ts"), ["event_id"], "ts", "7 days", out)).select("event_id", "user_id")
 
 
 @query("events_log", sql="SELECT user_id, max(event_id) AS event_id, max_by(bytes, event_id) AS bytes FROM events_log GROUP BY 1")
@@ -276,5 +307,6 @@ def str_last_wins(t: Tables):
 
 @query("events", sql="SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS entries FROM events GROUP BY 1,2")
 def str_window_activity(t: Tables):
-    e = _events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.window_activity(e, shared_folder(t.spark, "activity"))
+    """Events that come again after a day are later than the watermark and are not counted."""
+    again = lambda e, newest: e.where((F.col("event_id") % 5 == 0) & (F.col("ts") < newest - F.expr("interval 1 day")))
+    return _twice(t, "activity", again, streams.window_activity)

@@ -267,19 +267,24 @@ def win_interval_covers(t: Tables):
 
 _LW = """sp AS (SELECT path, min(at_us)-60000000 AS a, max(at_us)+60000000 AS z FROM lg WHERE path IN (SELECT path FROM lg WHERE level='ERROR') GROUP BY 1), w1 AS (SELECT *, max(z) OVER (ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM sp),
 w2 AS (SELECT *, sum(CASE WHEN t IS NULL OR a>t THEN 1 ELSE 0 END) OVER (ORDER BY a,z ROWS UNBOUNDED PRECEDING) AS isl FROM w1), wn AS (SELECT min(a) AS start_off, max(z) AS end_off FROM w2 GROUP BY isl)"""
-_LG = "lg AS (SELECT line, at_us, level, path FROM logs), "
+_LG = "lg AS (SELECT line, at_us, level, concat('q/',CAST(line//4 AS VARCHAR)) AS path FROM logs), "
+
+
+def _traced(t: Tables):
+    """All lines, four to a path, so that paths are short spans of time."""
+    return t("logs").select("line", "at_us", "level", F.concat(F.lit("q/"), F.floor(F.col("line") / 4).cast("string")).alias("path"))
 
 
 @query("logs", sql=_LG + _LW + " SELECT l.line, w.start_off, w.end_off FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off")
 def win_log_windows(t: Tables):
-    lg = t("logs").select("line", "at_us", "level", "path")
+    lg = _traced(t)
     found = windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 86_400_000_000)
     return found.select("line", "start_off", "end_off")
 
 
 @query("logs", sql=_LG + _LW + ", v AS (SELECT DISTINCT l.line FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off) SELECT (SELECT count(*) FROM lg) AS lines, (SELECT count(*) FROM v) AS shown, 1-(SELECT count(*) FROM v)/(SELECT count(*) FROM lg)::DOUBLE AS left_out")
 def win_log_compression(t: Tables):
-    lg = t("logs").select("line", "at_us", "level", "path")
+    lg = _traced(t)
     return windows.compression(lg, windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 86_400_000_000))
 
 

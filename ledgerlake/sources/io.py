@@ -114,6 +114,20 @@ def append_events(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     new_events(existing, incoming).write.mode("append").parquet(path)
 
 
+def commit_round(df: DataFrame, path: str, runs: DataFrame, runs_path: str) -> None:
+    """Publish a whole round, then record its runs (job_id, sequence): a crash in between leaves no
+    run that was not published, and a replay overwrites the same jobs and records nothing twice."""
+    spark = df.sparkSession
+    publish(df, path)
+    try:
+        known = spark.read.schema(runs.schema).parquet(runs_path)
+    except Exception as error:  # the table's first write
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        known = runs.limit(0)
+    runs.join(known.select("job_id", "sequence"), ["job_id", "sequence"], "left_anti").write.mode("append").parquet(runs_path)
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Archive manifest rows: archive, entry, kind, size."""
     return df.select(F.concat(fn.parent("relative_path"), F.lit(".tar")).alias("tar_path"), F.col("relative_path").alias("entry_path"), "entry_kind", "size", "mtime_ns")

@@ -172,7 +172,7 @@ def last_wins(stage: DataFrame, keys: list[str], sequence: str, where: str) -> D
 def window_activity(events: DataFrame, where: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Events per tumbling window; rows later than the watermark are dropped."""
     counts = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("entries"))
-    rows = collected(counts.select(F.unix_micros("window.start").alias("start_us"), "event_type", "entries"), where, "update")
+    rows = collected(counts.select(F.unix_micros("window.start").alias("start_us"), "event_type", "entries"), where, "update")  # a row per window and batch
     return rows.groupBy("start_us", "event_type").agg(F.max_by("entries", "batch").alias("entries"))
 
 
