@@ -14,8 +14,9 @@
    powers of two, which need no padding.  Each step uses up a length or cuts
    the number of items by a factor, so the plan stays small.
 4. Tails of one length are interchangeable: each gets a rank among them
-   (per length and hash bucket, so a length that a third of all rows share is
-   ranked in many tasks) and looks its place up in the plan.
+   (per length and bucket of rows by their place in the input, so neither a
+   length nor a row that a third of all rows share is ranked in one task) and
+   looks its place up in the plan.
 
 The broadcast plan is bounded by the window, not by the data: at most ``window``
 patterns of distinct lengths that sum to the window.
@@ -228,8 +229,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     on request, the ids themselves (little-endian, as narrow as the vocabulary allows)."""
     base = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("text"))
     kind = base.schema["d"].dataType.simpleString()
-    tokens = settle(base.mapInArrow(lean(_tokenise(tokenizer_path, window, separator, with_ids), tokens=True), f"d {kind}, n long, tail long, crc long, full array<long>, ids binary, width long"))
-    bucket = tokens.withColumn("sub", F.pmod(F.xxhash64("d", "crc", "n"), F.lit(shuffle_width(docs.sparkSession))))
+    tokens = base.mapInArrow(lean(_tokenise(tokenizer_path, window, separator, with_ids), tokens=True), f"d {kind}, n long, tail long, crc long, full array<long>, ids binary, width long")
+    # The bucket is set by the place in the input, and kept: ranks and offsets read the same rows.
+    bucket = settle(tokens.withColumn("sub", F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_width(docs.sparkSession)))))
     per = bucket.where("tail > 0").groupBy("tail", "sub").agg(F.count(F.lit(1)).alias("c"))
     rows, sequences = plan({r["tail"]: r["n"] for r in per.groupBy("tail").agg(F.sum("c").alias("n")).collect()}, window)
     lookup = docs.sparkSession.sparkContext.broadcast(_lookup(rows))
