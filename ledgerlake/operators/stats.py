@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,17 +141,17 @@ def count_latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return latest_by_key(df, keys, version).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def archive_plan(df: DataFrame, allowed: Column, extra_depth: int = 0, max_depth: int = 0) -> DataFrame:
-    """Archive units: files by their first date-named ancestor that passes the filter, that many levels
-    deeper; per unit its tar path, entries and bytes.  Units deeper than ``max_depth`` are dropped."""
+def archive_plan(df: DataFrame, allowed: Callable[[Column], Column], extra_depth: int = 0, max_depth: int = 0) -> DataFrame:
+    """Archive units: files by their first date-named ancestor that passes ``allowed``, that many
+    levels deeper; per unit its tar path, entries and bytes.  Units deeper than ``max_depth`` are dropped."""
     from .filters import has_date
 
-    files = df.where("is_regular_file").select("relative_path", "size", F.posexplode(fn.ancestors("relative_path")).alias("level", "dir"))
-    dated = files.where(has_date(fn.name("dir")) & allowed).groupBy("relative_path").agg(F.min("level").alias("at"), F.first("size").alias("size"))
     parts = F.split("relative_path", "/")
-    units = dated.withColumn("unit_depth", F.least(F.col("at") + 1 + extra_depth, F.size(parts) - 1)).withColumn("unit", F.array_join(F.slice(parts, F.lit(1), F.col("unit_depth")), "/"))
+    at = F.array_position(F.transform(fn.ancestors("relative_path"), lambda d: F.coalesce(has_date(fn.name(d)) & allowed(d), F.lit(False))), F.lit(True))
+    units = df.where("is_regular_file").select("size", parts.alias("parts"), F.least(at + extra_depth, F.size(parts) - 1).cast("int").alias("unit_depth"), at.alias("at")).where("at > 0")
     units = units.where(F.col("unit_depth") <= max_depth) if max_depth else units
-    return units.groupBy(F.concat("unit", F.lit(".tar")).alias("tar_path")).agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
+    unit = F.array_join(F.slice("parts", F.lit(1), F.col("unit_depth")), "/")
+    return units.groupBy(F.concat(unit, F.lit(".tar")).alias("tar_path")).agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
 
 
 def execution_pick(runs: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ FROM {{work}} w""",
  UNION ALL SELECT k, relative_path, 'v4', file_handle FROM {work_x} WHERE k%58=0""",
     "round_log": """SELECT 'deleted' AS operation_type, concat('gone/',relative_path) AS relative_path, 'v1' AS version_id, file_handle, NULL AS comment FROM {work_x} WHERE k%50=0 AND k%3=0
  UNION ALL SELECT 'rename', relative_path, 'v1', file_handle, concat('earlier/',relative_path) FROM {work_x} WHERE k%50=0 AND k%7=0
- UNION ALL SELECT 'new', relative_path, 'v1', file_handle, NULL FROM {work_x} WHERE k%29=0 AND k%5=0""",
+ UNION ALL SELECT 'new', relative_path, 'v1', file_handle, NULL FROM {work_x} WHERE k%29=0 AND k%5=0 AND k%50<>0""",
     "entries": f"""SELECT w.*, '' AS version_id, {_KIND}, CASE k%3 WHEN 0 THEN 's3' WHEN 1 THEN 'hdfs' ELSE 'nas' END AS storage_type,
  CAST(k%4 AS BIGINT) AS job_id, k%71<>0 AS confirmed, k%79=0 AS is_deleted, CAST(k%2 AS BIGINT) AS generation, k%17<>0 AS size_observed
 FROM {{work}} w""",

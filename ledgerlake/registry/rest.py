@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import logs, policy
+from ..operators import logs, policy, windows
 from ..plans.fixtures import Tables
 from ..shared import shared_folder
 from ..sources import io
@@ -139,9 +139,9 @@ def log_trace_chain(t: Tables):
     return logs.trace_chain(rows).select("line", "error_path", "why")
 
 
-@query("logs", sql="SELECT line, message FROM logs WHERE execution=2 ORDER BY at_us, line LIMIT 10")
+@query("logs", sql="SELECT line, message FROM logs WHERE execution=2 AND level='INFO' ORDER BY at_us, line LIMIT 10 OFFSET 30")
 def log_page(t: Tables):
-    return t("logs").where("execution=2").orderBy("at_us", "line").limit(10).select("line", "message")
+    return windows.page(t("logs").where("execution=2 and level='INFO'"), ["at_us", "line"], 30, 10).select("line", "message")
 
 
 @query("entries", sql="SELECT k, relative_path, size, entry_kind FROM entries WHERE job_id=1")

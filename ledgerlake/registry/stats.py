@@ -121,10 +121,18 @@ def agg_tree_all(t: Tables):
     return tree.all_directories(t("entries"))
 
 
-@query("entries", sql=_NORMAL + ", " + _children("") + ", s AS (SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(file_count) AS BIGINT) AS file_count FROM c) SELECT bytes, file_count, file_count<>(SELECT count(*) FROM entries WHERE is_regular_file) AS is_partial FROM s")
+@query("entries", "events_log", sql=_NORMAL + ", " + _children("") + """, s AS (SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(file_count) AS BIGINT) AS file_count FROM c), f AS (SELECT count(*) AS n FROM entries WHERE is_regular_file),
+e AS (SELECT n AS expected, TRUE AS completed, 0 AS errors FROM f UNION ALL SELECT n, FALSE, 0 FROM f UNION ALL SELECT n+1, TRUE, 0 FROM f UNION ALL SELECT n, TRUE, (SELECT count(*) FROM events_log WHERE op='error') FROM f)
+SELECT bytes, file_count, NOT completed OR errors>0 OR file_count<>expected AS is_partial FROM s, e""")
 def agg_tree_totals_partial(t: Tables):
-    expected = t("entries").agg(F.count_if("is_regular_file").alias("expected")).select("expected", F.lit(True).alias("completed"), F.lit(0).alias("errors"))
-    return tree.totals_partial(tree.children(t("entries")), expected)
+    """A whole report, one not completed, one of another file count, one with errors."""
+    files = t("entries").agg(F.count_if("is_regular_file").alias("n"))
+    failed = t("events_log").agg(F.count_if(F.col("op") == "error").alias("n"))
+    report = lambda df, n, completed, errors: df.select(n.alias("expected"), F.lit(completed).alias("completed"), errors.cast("long").alias("errors"))
+    n, none = F.col("n"), F.lit(0)
+    reports = report(files, n, True, none).union(report(files, n, False, none)).union(report(files, n + 1, True, none))
+    reports = reports.union(report(files.withColumnRenamed("n", "files").join(failed), F.col("files"), True, n))
+    return tree.totals_partial(tree.children(t("entries")), reports)
 
 
 @query("work_x", sql="SELECT h AS file_handle, count(DISTINCT relative_path) AS aliases FROM (SELECT relative_path, CASE WHEN k%58=0 THEN '5453493400' ELSE file_handle END AS h FROM work_x) WHERE h IS NOT NULL GROUP BY 1")
@@ -149,7 +157,7 @@ _ARCH = "CASE k%4 WHEN 0 THEN concat('a/1995-0',CAST(1+k%9 AS STRING),'-11/b/c/'
 @query("entries", sql=f"p AS (SELECT q, string_split(q,'/') AS s, size FROM (SELECT {_ARCH} AS q, size, is_regular_file FROM entries) WHERE is_regular_file AND NOT starts_with(q,'skip')), u AS (SELECT CASE WHEN starts_with(q,'a/') OR starts_with(q,'x/') THEN array_to_string(list_slice(s,1,3),'/') END AS unit, size FROM p) SELECT concat(unit,'.tar') AS tar_path, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM u WHERE unit IS NOT NULL GROUP BY 1")
 def agg_archive_plan(t: Tables):
     # Under a/ the unit lies one level deeper than its date; under x/ the file's own directory bounds it.
-    return stats.archive_plan(t("entries").withColumn("relative_path", F.expr(_ARCH)), ~F.col("dir").startswith("skip"), extra_depth=1)
+    return stats.archive_plan(t("entries").withColumn("relative_path", F.expr(_ARCH)), lambda d: ~d.startswith("skip"), extra_depth=1)
 
 
 @query("copy_runs", sql="SELECT job_id, coalesce(max_by(execution_id, sequence) FILTER (WHERE phase='completed'), min_by(execution_id, sequence)) AS execution_id FROM copy_runs GROUP BY 1")
