@@ -559,6 +559,15 @@ def test_html(spark):
     assert exact >= 0.9 * total
 
 
+def test_html_clashing_columns_and_repeated_rows(spark):
+    page = '<html><nav><a href="#">Home</a></nav><article><p>A story with enough words, told slowly and to its end.</p></article></html>'
+    pages = spark.createDataFrame([(1, page, "old", 7, "r"), (1, page, "old", 7, "r"), (None, page, None, None, None), (2, None, "x", 1, "r")], "page_id long, html string, text string, n_chars long, rest string")
+    out = html_text.extract(pages, html_text.fit_extractor(pages))
+    assert out.columns == ["page_id", "text", "n_chars", "rest"]
+    story = "A story with enough words, told slowly and to its end."
+    assert sorted((str(r.page_id), r.text, r.n_chars, str(r.rest)) for r in out.collect()) == sorted([("1", story, len(story), "r")] * 2 + [("None", story, len(story), "None"), ("2", "", 0, "r")])
+
+
 def test_html_few_short_long_and_repeated_pages(spark):
     """A page gives its article in a table of its own, with copies, short ones or only long ones."""
     story = "The harbour was quiet that morning, and nobody on the quay had seen the boat leave. "
