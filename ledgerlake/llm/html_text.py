@@ -346,7 +346,7 @@ def _exported(model) -> Forest:
 
 
 def built_in(seed: int, whole: bool) -> list[str]:
-    """Fixed labelled pages: bare ones, all article; with ``whole`` also layouts of made-up blocks."""
+    """Fixed labelled pages: bare ones, article alone or over a footer; with ``whole`` also layouts of made-up blocks."""
     rng = random.Random(seed)
     words = ["".join(rng.choice(("ka", "le", "mi", "on", "ter", "sa", "du", "ri", "st", "e")) for _ in range(rng.randint(1, 4))) for _ in range(300)]
     say = lambda n: " ".join(rng.choice(words) + rng.choice(("", "", "", "", "", "", ",", ".")) for _ in range(n)).capitalize() + "."
@@ -355,6 +355,9 @@ def built_in(seed: int, whole: bool) -> list[str]:
         tag = rng.choice(("p", "p", "p", "div"))
         head = f'<h1 data-is-article="1">{say(rng.randint(1, 5))}</h1>' * (rng.random() < 0.3)
         body = head + "".join(f'<{tag} data-is-article="1">{say(rng.choice((1, 2, 4, 8, 40)))}</{tag}>' for _ in range(rng.choice((1, 1, 2, 3, 6))))
+        if rng.random() < 0.5:  # a short article over a footer that may be longer
+            body = rng.choice(("{}", "<article>{}</article>", "<main>{}</main>", "<div>{}</div>")).format(body)
+            body += rng.choice(("<footer>{}</footer>", "<footer><p>{}</p></footer>", '<div class="footer">{}</div>')).format("&copy; " + say(rng.choice((2, 6, 12, 20))))
         out.append(rng.choice((body, f"<body>{body}</body>", f"<html><body>{body}</body></html>")))
     if whole:
         blocks = [say(rng.randint(1, 6)) for _ in range(rng.randint(3, 12))] + [say(rng.randint(8, 120)) for _ in range(rng.randint(3, 15))]

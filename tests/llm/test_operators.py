@@ -650,7 +650,8 @@ def test_stages_keep_odd_rows(spark, sf_dir, odd_docs, stage):
     if stage == 0:
         assert not Counter(got) - Counter(plain)
     elif stage == 1:
-        assert got == sorted(set(plain))
+        # 4 and 5 are near copies of 3; without an id nothing is a copy.
+        assert got == sorted(x for x in set(plain) if x[0] not in ("4", "5"))
     elif stage == 2:
         texts = [(r.doc_id, r.text) for r in odd_docs.collect()]
         passage = next(t for d, t in texts if d == 5)
