@@ -97,8 +97,9 @@ class Encoder:
 
     def _add(self, fresh: list[str], spaced: bool) -> None:
         """Encode new chunks: in long runs where they may stand side by side, else alone."""
-        run = [c for c in fresh if not c[-1:].isspace() and c] if spaced else []
-        alone = [c for c in fresh if c[-1:].isspace() or not c] if spaced else fresh
+        run, alone = [], [] if spaced else fresh
+        for c in fresh if spaced else ():
+            (alone if c[-1:].isspace() or not c else run).append(c)
         sizes, flats = [], []
         for lo in range(0, len(run), RUN_CHUNKS):
             some = run[lo : lo + RUN_CHUNKS]
@@ -122,9 +123,11 @@ class Encoder:
 
     def _numbers(self, names: list[str], spaced: bool) -> np.ndarray:
         have = self.chunks if spaced else self.heads
-        if fresh := [n for n in names if n not in have]:
+        found = list(map(have.get, names))
+        if fresh := [n for n, k in zip(names, found) if k is None]:
             self._add(fresh, spaced)
-        return np.fromiter(map(have.__getitem__, names), np.int64, len(names))
+            found = [have[n] if k is None else k for n, k in zip(names, found)]
+        return np.array(found, np.int64)
 
     def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunk numbers of safe texts in a row, chunks per text, and the bounds of every chunk's ids."""
