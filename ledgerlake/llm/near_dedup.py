@@ -10,7 +10,8 @@ sets.  A component is what links connect; its smallest id is kept.
 2. The forest: each tree reads the minimum hashes in its own order.  Its rows
    are sorted by range; documents that share the first ``FIRST`` hashes form a
    region.  At similarity 0.8 a pair misses all 24 regions with probability
-   (1 - 0.8**5)**24 = 7e-5; nothing later loses a pair that shares a region.
+   (1 - 0.8**5)**24 = 7e-5; of pairs that share one, later steps lose 3e-7 at
+   that similarity (the estimate below) and none for any other reason.
 3. Candidates in three rounds; each leaves out what already is one component.
    (a) All longest-common-prefix neighbours of all sorted orders.  (b) Adaptive
    depth: a region that still holds several components is descended hash by
