@@ -82,6 +82,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer()).drop("text")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_text=False)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import corpus_words, variants
 
@@ -93,11 +109,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, oracles
+    from . import chat, lexical_search, oracles
 
     return {
         "op1_chat_rotation": chat.ORACLE,
         "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op6_near_dedup": oracles.NEAR_DEDUP,
         "op7_decontamination": oracles.DECONTAMINATION,
+        "op12_ranked_search": lexical_search.ORACLE,
     }
