@@ -31,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +51,7 @@ SAMPLE_PAGES, LEAST_PAGES, VARIANTS = 240, 40, 3
 TREES, TREE_DEPTH = 20, 4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)""", re.S)
+_OPEN = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,7 +90,7 @@ class Page:
     labels: list[int | None] = field(default_factory=list)
     segments: list[tuple[int, str | None]] = field(default_factory=list)
 
-    def add(self, tag: str, parent: int, attributes: str) -> int:
+    def add(self, tag: str, parent: int, attributes: str, labelled: bool = False) -> int:
         roles, hidden, label = set(), False, None
         if attributes and not attributes.isspace():
             for name, *values in _ATTR.findall(attributes):
@@ -97,7 +99,7 @@ class Page:
                     roles.update(_ROLE[t] for t in _WORD.findall(value.lower()) if t in _ROLE)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
-                elif name == "data-is-article":
+                elif labelled and name == "data-is-article":
                     label = int(value)
         self.tags.append(tag)
         self.parents.append(parent)
@@ -107,16 +109,28 @@ class Page:
         return len(self.tags) - 1
 
 
-def parse(text: str) -> Page:
+def parse(text: str, labelled: bool = False) -> Page:
+    """``labelled``: a layout of this module, whose marks tell the article; input pages have no marks.
+    A tag that the page's end cuts off goes with what follows it, as in browsers."""
     page = Page()
     page.add("#root", -1, "")
     stack, at = [0], 0
+    held: Counter[str] = Counter()  # open tags by name, so that a tag without a partner costs nothing
+    last = text.rfind(">")
+
+    def shut(k: int) -> None:
+        held.subtract(page.tags[i] for i in stack[k:])
+        del stack[k:]
 
     def say(lo: int, hi: int) -> None:
         if hi > lo:
             page.segments.append((stack[-1], text[lo:hi]))
 
     while True:
+        if at > last:
+            m = _OPEN.search(text, at)
+            say(at, m.start() if m else len(text))
+            return page
         m = _TAG.search(text, at)
         if not m:
             say(at, len(text))
@@ -127,24 +141,24 @@ def parse(text: str) -> Page:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if page.tags[stack[k]] == tag:
-                    del stack[k:]
+                    shut(k)
                     break
             if tag not in INLINE:
                 page.segments.append((stack[-1], None))
             continue
         attributes = m[3] or m[6] or ""
         closing = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        if closing:
+        if any(held[t] for t in closing):
             for k in range(len(stack) - 1, 0, -1):
                 open_ = page.tags[stack[k]]
                 if open_ in closing:
-                    del stack[k:]
+                    shut(k)
                     break
                 if open_ in SCOPES.get(tag, ()) or open_ not in INLINE and "p" in closing and tag not in SIBLINGS:
                     break
-        node = page.add(tag, stack[-1], attributes)
+        node = page.add(tag, stack[-1], attributes, labelled)
         if tag not in INLINE:
             page.segments.append((stack[-1], None))
         if tag in RAW:
@@ -154,6 +168,7 @@ def parse(text: str) -> Page:
             at = text.find(">", end.start()) + 1 or len(text)
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            held[tag] += 1
 
 
 def node_features(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +306,7 @@ def layouts(text: str, seed: int) -> list[str]:
 
 def labelled(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and labels of a rendered layout's nodes; containers go with most of their text."""
-    page = parse(text)
+    page = parse(text, labelled=True)
     x, own = node_features(page)
     n = len(page.tags)
     label = np.full(n, -1)

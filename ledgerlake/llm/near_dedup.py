@@ -5,8 +5,9 @@ their sets' Jaccard similarity reaches the threshold, confirmed on the full
 sets.  A component is what links connect; its smallest id is kept.
 
 1. One pass over the texts gives each document its set's size, a 128-bit digest
-   of the set and ``TREES`` * ``FIRST`` minimum hashes.  Documents of equal sets
-   are one class from here on, so exact copies cost one row.
+   of the set and ``TREES`` * ``FIRST`` minimum hashes.  Rows of equal sets are one
+   class with a number of its own from here on: exact copies cost one row, and two
+   texts of one id are two nodes.  Ids come back when the classes are linked.
 2. The forest: each tree reads the minimum hashes in its own order.  Its rows
    are sorted by range; documents that share the first ``FIRST`` hashes form a
    region.  At similarity 0.8 a pair misses all 24 regions with probability
@@ -42,8 +43,9 @@ shuffled; those of others are not read again.  Components are found by joins
 (``components``).
 
 Defined results: null or empty texts have an empty set and are linked with
-nothing; null ids get no component and are kept; rows of one id are one
-document; an empty table gives an empty table; other columns are dropped.
+nothing; null ids get no component and are kept; each row of a repeated id has
+the component of its own text; an empty table gives an empty table; other
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -206,21 +208,25 @@ def _tagged(column: Column | str, kind: int) -> Column:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, mark: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept; ``mark`` names a
-    long column that stays with its row, so that rows of one id can be told apart."""
-    width = shuffle_width(docs.sparkSession)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"))
-    own = [F.col(f"`{mark}`").cast("long").alias("mark")] if mark else []
-    marked = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"), *own)
-    signed_ = settle(marked.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig array<int>" + ", mark long" * len(own)))
-    classes = signed_.where("n > 0 and d is not null").groupBy("f", "g", "n").agg(F.min("d").alias("c"), F.first("sig").alias("sig"))
-    nodes = settle(classes)
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (it is the row's own);
+    ``mark`` names a long column that stays with its row, beside chosen: whether the row is the one
+    document that stays of its component, one text of the smallest id (its repetitions are alike)."""
+    spark = docs.sparkSession
+    width = shuffle_width(spark)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), *([F.col(f"`{mark}`").cast("long").alias("mark")] if mark else []))
+    signed_ = settle(base.mapInArrow(lean(_signatures(shingle)), "d long, n long, f long, g long, sig array<int>, h long" + ", mark long" * bool(mark)))
+    # A class is found again by one of its rows, named by id and text; settling fixes its number.
+    classes = signed_.where("n > 0 and d is not null").groupBy("f", "g", "n").agg(F.min(F.struct("d", "h")).alias("row"), F.first("sig").alias("sig"))
+    nodes = settle(classes.withColumn("c", F.monotonically_increasing_id()))
     forest = nodes.select("c", "n", "sig").mapInArrow(lean(_trees), "key long, x long, y long, c long, n long")
     regions = forest.repartitionByRange(width, "key", "x", "y", "c").sortWithinPartitions("key", "x", "y", "c")
     regions = regions.mapInArrow(lean(_regions), "key long, c long, n long, prev long, prev_n long, mates long, parts array<long>")
     # The weight of a document is how much of the forest it shares, over its at most TREES rows.
     regions = settle(regions.withColumn("weight", F.sum("mates").over(Window.partitionBy("c"))).drop("mates"))
-    texts = settle(base.join(regions.select(F.col("c").alias("d")).distinct().hint("shuffle_hash"), "d", "left_semi"))
+    wanted = nodes.select("c", "row.*").join(regions.select("c").distinct(), "c", "left_semi")
+    texts = settle(base.select("d", "h", "text").join(wanted.hint("shuffle_hash"), ["d", "h"]).select("c", "text"))
+    if texts.groupBy("c").count().where("count > 1").limit(1).count():  # repeated rows
+        texts = settle(texts.groupBy("c").agg(F.first("text").alias("text")))
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     j = percent / 100
     least_equal = HASHES * j - 5 * math.sqrt(HASHES * j * (1 - j))
@@ -229,12 +235,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pairs.where("c != p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sigs = nodes.groupBy("c").agg(F.first("sig").alias("sig"))
+        sigs = nodes.select("c", "sig")
         pairs = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("t")), "b")
         equal = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
         pairs = pairs.where(equal >= least_equal).select("a", "b")
-        with_b = pairs.join(texts.select(F.col("d").alias("b"), F.col("text").alias("t")), "b")
-        with_a = with_b.join(texts.select(F.col("d").alias("a"), F.col("text").alias("s")), "a")
+        with_b = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("t")), "b")
+        with_a = with_b.join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a")
         return with_a.select("a", "b", "s", "t").mapInArrow(lean(_confirm(shingle, percent)), "a long, b long")
 
     def open_rows(found: DataFrame, *columns: str) -> DataFrame:
@@ -275,7 +281,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     votes = dense.groupBy("key", "lead").agg(F.count(F.lit(1)).alias("k"))
     centres = votes.groupBy("key").agg(F.max(F.struct("k", "lead")).alias("v")).select("key", F.col("v.lead.c").alias("p"))
     members = settle(dense.join(centres, "key").where("c != p").select("p", "c", "component").distinct())
-    members = members.join(texts.select(F.col("d").alias("c"), F.col("text").alias("s")), "c").join(texts.select(F.col("d").alias("p"), F.col("text").alias("t")), "p")
+    members = members.join(texts.select("c", F.col("text").alias("s")), "c").join(texts.select(F.col("c").alias("p"), F.col("text").alias("t")), "p")
     units = settle(members.select("p", "c", "component", "s", "t").mapInArrow(lean(_differences(shingle)), "p long, c long, component long, n long, m long, lacks array<long>, beside array<long>"))
     # The centre's set becomes what most of its documents have: an edit of the centre's own is no difference of theirs.
     count = units.groupBy("p").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"))
@@ -315,8 +321,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = settle(links.union(confirmed(pairs)).union(ordered(exact.union(central))))
     found = components(links, links.count())
 
-    rows = signed_.drop("sig").join(nodes.select("f", "g", F.col("n").alias("m"), "c"), ["f", "g"], "left").where("m is null or m = n")
-    final = found.withColumnRenamed("node", "c").withColumnRenamed("component", "low")
-    ids = F.when(F.col("n") > 0, F.coalesce("low", "c")).otherwise(F.col("d"))
-    out = rows.join(final, "c", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), ids).alias("component_id"), *[F.col("mark").alias(m) for m in (mark,) if m])
+    # Classes back to ids: a component's head is the first row, by id and text, of all its classes.
+    rows = signed_.drop("sig").join(nodes.select("f", "g", F.col("n").alias("m"), "c", "row"), ["f", "g"], "left").where("m is null or m = n")
+    linked = settle(found.select(F.col("node").alias("c"), "component").union(found.select(F.col("component").alias("c"), "component").distinct()))
+    heads = linked.join(nodes.select("c", "row"), "c").groupBy("component").agg(F.min("row").alias("head"))
+    rows = rows.join(linked.join(heads, "component").select("c", "head"), "c", "left").withColumn("head", F.coalesce("head", "row"))
+    ids = F.when(F.col("n") > 0, F.col("head.d")).otherwise(F.col("d"))
+    out = rows.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), ids).alias("component_id"), *([F.col("mark").alias(mark), (F.col("d").isNull() | F.coalesce(F.col("head") == F.struct("d", "h"), F.lit(True))).alias("chosen")] if mark else []))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

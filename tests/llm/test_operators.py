@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -568,6 +569,22 @@ def test_html_clashing_columns_and_repeated_rows(spark):
     assert sorted((str(r.page_id), r.text, r.n_chars, str(r.rest)) for r in out.collect()) == sorted([("1", story, len(story), "r")] * 2 + [("None", story, len(story), "None"), ("2", "", 0, "r")])
 
 
+def test_html_marks_and_endless_tags(spark):
+    """Marks of the training layouts in an input page are attributes like others; pages of tags
+    without an end or a partner take time in step with their length and give their text."""
+    story = "The harbour was quiet that morning, and nobody on the quay had seen the boat leave. "
+    page = "<html><body><article><h1>Quiet</h1>" + f"<p data-is-article=yes>{story}</p><p data-is-article>{story}</p><p data-is-article='0'>{story}</p>" + "</article></body></html>"
+    rows = [page, "<a " * 350_000, "story <p>" + "<a x='" * 200_000, "<div>" * 100_000 + "x", "<div>" * 50_000 + "</i>" * 100_000 + "<li>y", "<b>" * 60_000 + "<p>" * 60_000, "</p>" * 200_000, "<" * 1_000_000, "a <b", "<p>a &lt; b <!-- <b> "]
+    began = time.perf_counter()
+    for html_ in rows:
+        html_text.node_features(html_text.parse(html_))
+    assert time.perf_counter() - began < 60
+    assert html_text.parse("a <b").segments == [(0, "a ")] and html_text.parse(rows[1]).segments == []
+    pages = spark.createDataFrame(list(enumerate(rows[:3] + rows[8:])), "page_id long, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages, html_text.fit_extractor(pages)).collect()}
+    assert got[0] == " ".join(["Quiet", *[story.strip()] * 3]) and got[1] == "" and set(got) == set(range(5))
+
+
 def test_html_few_short_long_and_repeated_pages(spark):
     """A page gives its article in a table of its own, with copies, short ones or only long ones."""
     story = "The harbour was quiet that morning, and nobody on the quay had seen the boat leave. "
@@ -621,10 +638,29 @@ def test_near_duplicates_keeps_null_ids_and_one_row_per_id_and_text(spark, sf_di
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
     assert out.columns == docs.columns
-    want = [(None, c), (None, c), (None, None), (1, a), (3, b), (4, None), (5, d), (5, d + " x y z")]
+    kept = min((5, d), (5, d + " x y z"), key=lambda r: int(spark.range(1).select(F.xxhash64(F.lit(r[1])).alias("h")).head().h))
+    want = [(None, c), (None, c), (None, None), (1, a), (3, b), (4, None), kept]
     assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted((str(i), str(t)) for i, t in want)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark, sf_dir):
+    """Texts are nodes, not ids: no link is lost where an id has a second text, and no text goes for another's sake."""
+    rng = random.Random(31)
+    say = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        a, other = say(120), say(120)
+        rows += [(i, a), (1000 + i, a + " extra"), (1000 + i, other)]
+        want |= {(i, a): i, (1000 + i, a + " extra"): i, (1000 + i, other): 1000 + i}
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    out = near_dedup.near_dedup(marked, shingle=4, mark="mark").join(marked.select("mark", "text").distinct(), "mark").collect()
+    assert {(r.doc_id, r.text): r.component_id for r in out} == want and len(out) == len(rows)
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert left == {k for k, c in want.items() if k[0] == c}
+
+
 @pytest.fixture(scope="module")
 def odd_docs(spark):
     rng = random.Random(21)
