@@ -35,10 +35,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five words, similarity 0.8): of equal
-    rows of an id and text one; rows without an id all stay, as they are in no group."""
+    """One document of each near-duplicate group stays (five words, similarity 0.8), whatever the
+    ids of the others: each text is judged by itself, of equal rows one stays, and texts of one id
+    are documents of their own.  Rows without an id all stay, as they are in no group."""
     named = docs.where("doc_id is not null").withColumn("mark", F.xxhash64("text"))
-    kept = near_dedup(named.select("doc_id", "text", "mark"), shingle=5, mark="mark").where("kept").select("doc_id", "mark").distinct()
+    kept = near_dedup(named.select("doc_id", "text", "mark"), shingle=5, mark="mark").where("chosen").select("doc_id", "mark").distinct()
     single = named.join(kept.hint("shuffle_hash"), ["doc_id", "mark"], "left_semi")
     single = single.groupBy("doc_id", "mark", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
     return single.select("doc_id", "text", "rest.*").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
