@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import settle
+from ..shipping import ship
+
 LOG_SCHEMA = "timestamp string, level string, fields struct<message:string>, target string, filename string, line_number long, spans array<struct<name:string,job_id:string,src:string,dest:string,recv_id:long,path:string>>"
 
 
@@ -42,20 +49,71 @@ def text_failed(lines: DataFrame, column: str = "message") -> DataFrame:
     return lines.where(F.col(column).rlike(pattern)).withColumn("failed_path", F.regexp_extract(column, pattern, 1))
 
 
-def trace_chain(logs: DataFrame, margin_us: int = 60_000_000, slot_us: int = 600_000_000) -> DataFrame:
-    """Records whose span path, or a path that their message names, is one that failed; for a failed
-    path that no record traces, those within ``margin_us`` of its error (``window``).
-
-    All joins are equi joins: messages are cut into path-like words first (quotes and other marks
-    around them go), times into slots."""
-    words = F.transform(F.split("message", r"[\s\"'`,;()<>\[\]{}]+"), lambda w: F.regexp_replace(w, r"[:.!?]+$", ""))
+PATTERN_BYTES, GRAM = 1 << 20, 6
+"""Patterns of more bytes are matched by their rarest grams of at most so many characters."""
+
+
+def _automaton_matches(patterns):
+    """Every pattern inside each text, found in one walk over its characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, pattern in enumerate(patterns.value):
+            machine.add_word(pattern, k)
+        machine.make_automaton()
+        every = pa.array(patterns.value, pa.string())
+        for batch in batches:
+            found = [sorted({k for _, k in machine.iter(text)}) if text else [] for text in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            which = pa.array([k for f in found for k in f], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), every.take(which)], ["id", "pattern"])
+
+    return run
+
+
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern) for every ``texts`` (id, text) that contains a pattern (pattern), once each.
+
+    Patterns whose counted size is at most ``PATTERN_BYTES`` are one Aho-Corasick automaton, sent to
+    every task.  More of them are joined: each on that one of its grams which the fewest texts have,
+    then verified; a pattern with a gram that no text has meets nothing."""
+    patterns = settle(patterns.select("pattern").where("pattern <> ''").distinct())
+    size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("n")).head()["n"]
+    if size <= PATTERN_BYTES:
+        words = texts.sparkSession.sparkContext.broadcast([r["pattern"] for r in patterns.collect()])
+        if not words.value:
+            return texts.select("id").join(patterns.limit(0))
+        ship(texts.sparkSession)
+        return texts.select("id", "text").mapInArrow(_automaton_matches(words), f"id {texts.schema['id'].dataType.simpleString()}, pattern string")
+    width = F.least(F.length("pattern"), F.lit(GRAM))
+    widths = [r["q"] for r in patterns.select(width.alias("q")).distinct().collect()]  # GRAM at most
+    cut = lambda text, q: F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(F.col(text), i, q))).otherwise(F.array().cast("array<string>"))
+    own = patterns.select("pattern", F.explode(F.array_distinct(F.flatten(F.array(*(F.when(width == q, cut("pattern", q)).otherwise(F.array().cast("array<string>")) for q in widths))))).alias("gram"))
+    grams = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(*(cut("text", q) for q in widths))))).alias("gram"))
+    grams = settle(grams.join(own.select("gram").distinct(), "gram", "left_semi"))
+    rare = own.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rare = rare.groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("pattern", "r.gram")
+    return grams.join(rare, "gram").select("id", "pattern").distinct().join(texts, "id").where(F.contains("text", "pattern")).select("id", "pattern").distinct()
+
+
+def trace_chain(logs: DataFrame, margin_us: int = 60_000_000) -> DataFrame:
+    """Records whose span path is one that failed, or whose message contains one (``trace``); for a
+    failed path that no other record traces, those within ``margin_us`` of its error (``window``).
+
+    Lines are numbered (``line``).  Spans meet the failed paths in an equi join, messages as
+    ``containing`` says; windows are dealt to slots of their own length, two each."""
     failed = errors(logs).select("at_us", F.explode(F.concat("spans.path", F.array(F.regexp_extract("message", r'failed "([^"]+)"', 1)))).alias("error_path")).where("error_path <> ''")
+    failed = settle(failed.distinct())
     bad = failed.select("error_path").distinct()
-    traced = logs.where("level <> 'ERROR'").select("line", F.explode(F.array_distinct(F.concat("spans.path", words))).alias("error_path"))
-    own = errors(logs).select("line", F.explode(F.array_distinct(F.concat("spans.path", words))).alias("error_path"))
-    found = traced.union(own).where("error_path <> ''").distinct().join(bad, "error_path", "left_semi")
-    alone = failed.join(traced.select("error_path").distinct(), "error_path", "left_anti").select("error_path", (F.col("at_us") - margin_us).alias("a"), (F.col("at_us") + margin_us).alias("z"))
-    alone = alone.withColumn("slot", F.explode(F.sequence(F.floor(F.col("a") / slot_us), F.floor(F.col("z") / slot_us))))
-    around = logs.select("line", "at_us", F.floor(F.col("at_us") / slot_us).alias("slot")).join(alone, "slot").where("at_us between a and z").select("line", "error_path").distinct()
+    by_span = logs.select("line", F.explode(F.array_distinct("spans.path")).alias("error_path")).join(bad, "error_path", "left_semi").select("line", "error_path")
+    by_text = containing(logs.select(F.col("line").alias("id"), F.col("message").alias("text")), bad.select(F.col("error_path").alias("pattern"))).toDF("line", "error_path")
+    found = settle(by_span.union(by_text).distinct())
+    traced = found.join(logs.where("level <> 'ERROR'").select("line"), "line", "left_semi").select("error_path").distinct()
+    slot = 2 * margin_us
+    alone = failed.join(traced, "error_path", "left_anti").select("error_path", (F.col("at_us") - margin_us).alias("a"), (F.col("at_us") + margin_us).alias("z"))
+    alone = alone.withColumn("slot", F.explode(F.sequence(F.floor(F.col("a") / slot), F.floor(F.col("z") / slot))))
+    around = logs.select("line", "at_us", F.floor(F.col("at_us") / slot).alias("slot")).join(alone, "slot").where("at_us between a and z").select("line", "error_path").distinct()
     around = around.join(found, ["line", "error_path"], "left_anti")
     return found.select("line", "error_path", F.lit("trace").alias("why")).unionByName(around.select("line", "error_path", F.lit("window").alias("why")))

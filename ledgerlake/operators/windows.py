@@ -75,51 +75,60 @@ def progress_rate(samples: DataFrame) -> DataFrame:
     return samples.withColumn("rate", F.when((dt > 0.1) & (db > 0), db / dt).otherwise(average))
 
 
-def interval_union(ranges: DataFrame, key: str = "file_id") -> DataFrame:
-    """Disjoint ranges: overlapping and adjacent ones merge, empty ones go."""
-    w = Window.partitionBy(key).orderBy("start_off", "end_off")
-    rows = ranges.where("end_off > start_off")
-    top = F.max("end_off").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.coalesce((F.col("start_off") > top).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "_island").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off")).drop("_island")
-
-
-def interval_missing(merged: DataFrame, totals: DataFrame, key: str = "file_id") -> DataFrame:
-    """Uncovered ranges of [0, total) per file."""
-    w = Window.partitionBy(key).orderBy("start_off")
-    ends = merged.select(key, F.col("start_off"), F.col("end_off")).unionByName(totals.select(key, F.col("total").alias("start_off"), F.col("total").alias("end_off")))
-    rows = ends.join(totals, key).withColumn("gap_start", F.coalesce(F.max("end_off").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def interval_union(ranges: DataFrame, key: str | None = "file_id", slot: int = 1 << 26) -> DataFrame:
+    """Disjoint ranges per key (of one long line without a key): overlapping and adjacent ones merge,
+    empty ones go.
+
+    A segmented prefix maximum: ranges are merged inside slots of their start first.  What reaches
+    beyond its slot is known from the furthest end of the key's earlier slots (a row a slot), so
+    every slot counts its own new ranges, and the ranges of one number, over all slots, are one.
+    No task holds a key."""
+    keys = [key] if key else []
+    at = [*keys, "_slot"]
+    inside = Window.partitionBy(*at).orderBy("start_off", "end_off")
+    until, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranges.where("end_off > start_off").withColumn("_slot", F.floor(F.col("start_off") / slot))
+    rows = rows.withColumn("_new", F.coalesce((F.col("start_off") > F.max("end_off").over(until)).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_island", F.sum("_new").over(so_far)).groupBy(*at, "_island").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off")).drop("_island")
+    # Ranges of a slot are disjoint now, so only an earlier slot's reach continues one.
+    rows = rows.join(slot_reach(rows, key), at).withColumn("_new", F.coalesce((F.col("start_off") > F.col("_reach")).cast("int"), F.lit(1)))
+    many = rows.groupBy(*at).agg(F.sum("_new").alias("_many"))
+    before = many.select(*at, F.coalesce(F.sum("_many").over(_earlier(key)), F.lit(0)).alias("_before"))
+    rows = rows.join(before, at).withColumn("_island", F.col("_before") + F.sum("_new").over(so_far))
+    return rows.groupBy(*keys, "_island").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off")).drop("_island")
+
+
+def _earlier(key: str | None):
+    """A key's slots before a slot; they are a row each."""
+    return (Window.partitionBy(key) if key else Window.partitionBy()).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def slot_reach(rows: DataFrame, key: str | None) -> DataFrame:
+    """Per slot the furthest end of its key's earlier slots."""
+    at = [*([key] if key else []), "_slot"]
+    return rows.groupBy(*at).agg(F.max("end_off").alias("_end")).select(*at, F.max("_end").over(_earlier(key)).alias("_reach"))
+
+
+def interval_missing(merged: DataFrame, totals: DataFrame, key: str = "file_id", slot: int = 1 << 26) -> DataFrame:
+    """Uncovered ranges of [0, total) per file, slot by slot as in ``interval_union``."""
+    ends = merged.select(key, "start_off", "end_off").unionByName(totals.select(key, F.col("total").alias("start_off"), F.col("total").alias("end_off")))
+    rows = ends.withColumn("_slot", F.floor(F.col("start_off") / slot))
+    until = Window.partitionBy(key, "_slot").orderBy("start_off", "end_off").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.max("end_off").over(until)).join(slot_reach(rows, key), [key, "_slot"]).join(totals, key)
+    rows = rows.withColumn("gap_start", F.coalesce(F.greatest("_near", "_reach"), F.lit(0)))
     return rows.withColumn("gap_end", F.least("start_off", "total")).where("gap_start < gap_end").select(key, "gap_start", "gap_end").distinct()
 
 
-def covers(merged: DataFrame, totals: DataFrame, key: str = "file_id") -> DataFrame:
-    missing = interval_missing(merged, totals, key).groupBy(key).agg(F.sum(F.col("gap_end") - F.col("gap_start")).alias("missing"))
+def covers(merged: DataFrame, totals: DataFrame, key: str = "file_id", slot: int = 1 << 26) -> DataFrame:
+    missing = interval_missing(merged, totals, key, slot).groupBy(key).agg(F.sum(F.col("gap_end") - F.col("gap_start")).alias("missing"))
     return totals.join(missing, key, "left").select(key, F.coalesce("missing", F.lit(0)).alias("missing"), F.col("missing").isNull().alias("covers"))
 
 
-def slotted_union(ranges: DataFrame, slot: int) -> DataFrame:
-    """Disjoint ranges of one long line: overlapping and adjacent ones merge.
-
-    Ranges are merged inside slots of their start first.  What reaches beyond its slot is known
-    from each slot's furthest end (a row a slot), so every slot counts its own new ranges, and the
-    ranges of one number, over all slots, are one."""
-    rows = interval_union(ranges.withColumn("_slot", F.floor(F.col("start_off") / slot)), "_slot")
-    earlier = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("_slot").orderBy("start_off").rowsBetween(Window.unboundedPreceding, 0)
-    reach = rows.groupBy("_slot").agg(F.max("end_off").alias("_end")).select("_slot", F.max("_end").over(earlier).alias("_reach"))
-    # Ranges of a slot are disjoint already, so only an earlier slot's reach continues one.
-    rows = rows.join(reach, "_slot").withColumn("_new", F.coalesce((F.col("start_off") > F.col("_reach")).cast("int"), F.lit(1)))
-    before = rows.groupBy("_slot").agg(F.sum("_new").alias("_many")).select("_slot", F.coalesce(F.sum("_many").over(earlier), F.lit(0)).alias("_before"))
-    rows = rows.join(before, "_slot").withColumn("_island", F.col("_before") + F.sum("_new").over(inside))
-    return rows.groupBy("_island").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off")).drop("_island")
-
-
 def log_windows(logs: DataFrame, margin_us: int, slot_us: int = 3_600_000_000) -> DataFrame:
     """Per error path the span of its trace lines with a margin; overlapping windows merged."""
     bad = logs.where("level = 'ERROR'").select("path").distinct()
     spans = logs.join(bad, "path", "left_semi").groupBy("path").agg((F.min("at_us") - margin_us).alias("start_off"), (F.max("at_us") + margin_us).alias("end_off"))
-    return slotted_union(spans, slot_us)
+    return interval_union(spans, None, slot_us)
 
 
 def compression(logs: DataFrame, shown: DataFrame) -> DataFrame:
@@ -129,17 +138,35 @@ def compression(logs: DataFrame, shown: DataFrame) -> DataFrame:
     return counts.withColumn("left_out", F.when(F.col("lines") > 0, 1 - F.col("shown") / F.col("lines")).otherwise(0.0))
 
 
-def in_windows(logs: DataFrame, windows: DataFrame, slot_us: int) -> DataFrame:
-    """Lines inside windows: both are dealt to time slots, joined on the slot, then compared."""
-    w = windows.select("start_off", "end_off", F.explode(F.sequence(F.floor(F.col("start_off") / slot_us), F.floor(F.col("end_off") / slot_us))).alias("slot"))
-    rows = logs.withColumn("slot", F.floor(F.col("at_us") / slot_us))
-    return rows.join(w, "slot").where("at_us between start_off and end_off").drop("slot")
+def in_windows(logs: DataFrame, windows: DataFrame, at: str = "at_us") -> DataFrame:
+    """Lines inside disjoint windows, with their window: a sorted sweep, no join of the two.
+
+    Window starts and lines are sorted together by range.  The last window opened before a line is
+    carried through its partition, and from the partitions before it by a row each; the line is
+    inside if that window has not ended.  Lines of one moment may lie in several partitions."""
+    n = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    opened = windows.select(F.col("start_off").alias("_at"), F.struct("start_off", "end_off").alias("_window"))
+    both = logs.select(F.col(at).alias("_at"), F.struct("*").alias("_row")).unionByName(opened, allowMissingColumns=True)
+    order = ["_at", F.col("_row").isNotNull(), F.xxhash64("_row")]
+    swept = both.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    swept = settle(swept).withColumn("_part", F.shiftright("_id", 33))  # both readers must see the same partitions
+    last = swept.groupBy("_part").agg(F.max("_window").alias("_last"))
+    carried = last.select("_part", F.max("_last").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    here = F.max("_window").over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = swept.withColumn("_here", here).join(carried, "_part").withColumn("_open", F.coalesce("_here", "_carried"))
+    return rows.where("_row is not null and _at <= _open.end_off").select("_row.*", "_open.start_off", "_open.end_off")
 
 
 def page(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def head_of_each(df: DataFrame, keys: list[str], order: list[Column | str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each key; every task keeps its own first ones before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+
+
 def cap_omitted(diagnostics: DataFrame, capacity: int = 512, batch: int = 64) -> DataFrame:
     """The first diagnostics per round, their batch, and how many the round omitted.
 

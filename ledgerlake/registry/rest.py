@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import logs, policy, windows
@@ -23,15 +24,19 @@ def gen_commit(t: Tables):
     return policy.commit(t("copy_runs"), t("copy_runs").where("sequence%2=0"))
 
 
-@query("entries", sql="SELECT job_id, count(*) AS rows, CAST(1 AS BIGINT) AS runs, CAST(2 AS BIGINT) AS committed FROM entries GROUP BY 1")
+@query("entries", sql="SELECT job_id, count(*) AS rows, CAST(sum(CASE WHEN job_id=2 THEN size+1 ELSE size END) AS BIGINT) AS bytes, CAST(CASE WHEN job_id=2 THEN 2 ELSE 1 END AS BIGINT) AS runs, CAST(CASE WHEN job_id=2 THEN 2 ELSE 1 END AS BIGINT) AS committed FROM entries GROUP BY 1")
 def gen_commit_round(t: Tables):
-    """A round is published and then recorded; its replay changes nothing."""
-    where, runs = shared_folder(t.spark, "round"), shared_folder(t.spark, "runs")
-    done = t("entries").select("job_id", F.lit(2).cast("long").alias("sequence")).distinct()
+    """A round of all jobs, its replay, a round of one job, and one that crashes with half of its
+    partitions written: readers see the last committed run of every job."""
+    where = shared_folder(t.spark, "rounds")
+    rows = t("entries").select("k", "relative_path", "job_id", "size")
     for _ in range(2):
-        io.commit_round(t("entries"), where, done, runs)
-    rows = t.spark.read.parquet(where).groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count(F.lit(1)).alias("rows"))
-    return rows.join(t.spark.read.parquet(runs).groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"), F.max("sequence").alias("committed")), "job_id")
+        io.commit_round(rows, where, "r1", 1)
+    io.commit_round(rows.where("job_id=2").withColumn("size", F.col("size") + 1), where, "r2", 2)
+    io.write_snapshot(rows.where("job_id<2").withColumn("size", F.lit(0)), where, "r3")  # and no run row
+    seen = io.committed(t.spark, where).groupBy("job_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    runs = t.spark.read.parquet(f"{where}/runs").groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"), F.max("sequence").alias("committed"))
+    return seen.join(runs, "job_id")
 
 
 @query("copy_runs", sql="SELECT job_id, baseline_prepared AND phase='completed' AS baseline FROM copy_runs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY sequence DESC)=1")
@@ -125,10 +130,9 @@ def log_text_failed(t: Tables):
     return logs.text_failed(t("logs")).select("line", "at_us", "failed_path")
 
 
-_TRACED = """lg AS (SELECT line, at_us, level, message, CASE WHEN level='ERROR' AND line%5=0 THEN concat('lost/',CAST(line AS VARCHAR)) ELSE path END AS path FROM logs), b AS (SELECT DISTINCT p AS error_path FROM (SELECT path AS p FROM lg WHERE level='ERROR' UNION ALL SELECT regexp_extract(message,'failed "([^"]+)"',1) FROM lg WHERE level='ERROR')),
-w AS (SELECT line, level, path AS p FROM lg UNION SELECT line, level, regexp_replace(unnest(regexp_split_to_array(message,'[\\s"]+')),'[:.!?]+$','') FROM lg),
-f AS (SELECT DISTINCT line, p AS error_path FROM w WHERE p IN (SELECT error_path FROM b)), e AS (SELECT at_us, path AS error_path FROM lg WHERE level='ERROR' UNION SELECT at_us, regexp_extract(message,'failed "([^"]+)"',1) FROM lg WHERE level='ERROR'),
-o AS (SELECT * FROM e WHERE error_path NOT IN (SELECT p FROM w WHERE level<>'ERROR'))
+_TRACED = """lg AS (SELECT line, at_us, level, message, CASE WHEN level='ERROR' AND line%5=0 THEN concat('lost/',CAST(line AS VARCHAR)) ELSE path END AS path FROM logs), e AS (SELECT at_us, path AS error_path FROM lg WHERE level='ERROR' UNION SELECT at_us, regexp_extract(message,'failed "([^"]+)"',1) FROM lg WHERE level='ERROR'),
+b AS (SELECT DISTINCT error_path FROM e), m AS (SELECT message, error_path FROM (SELECT DISTINCT message FROM lg) JOIN b ON contains(message, error_path)), f AS (SELECT line, level, error_path FROM lg JOIN b ON path=error_path UNION SELECT line, level, error_path FROM lg JOIN m USING (message)),
+o AS (SELECT * FROM e WHERE error_path NOT IN (SELECT error_path FROM f WHERE level<>'ERROR'))
 SELECT line, error_path, 'trace' AS why FROM f UNION ALL SELECT DISTINCT l.line, o.error_path, 'window' FROM lg l JOIN o ON l.at_us BETWEEN o.at_us-60000000 AND o.at_us+60000000 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.line=l.line AND f.error_path=o.error_path)"""
 
 
@@ -157,17 +161,28 @@ def src_file_list(t: Tables):
     return io.select_listed(t("work"), io.file_list(t("work").select(text.alias("value")))).select("k")
 
 
-@query("logs", sql="SELECT at_us, level, message, path FROM logs")
+def _log_files(t: Tables, value) -> DataFrame:
+    """The log as text files, one per execution, each in the order of its lines; read again in splits."""
+    where = shared_folder(t.spark, "log")
+    rows = t("logs").select("execution", "line", value.alias("value")).repartition("execution").sortWithinPartitions("execution", "line")
+    rows.select("execution", "value").write.partitionBy("execution").text(where)
+    return io.numbered_lines(t.spark, f"{where}/*").withColumn("file", F.regexp_extract("file", r"execution=(\d+)", 1))
+
+
+_NUMBERED = "n AS (SELECT *, CAST(execution AS VARCHAR) AS file, row_number() OVER (PARTITION BY execution ORDER BY line) AS number FROM logs) "
+
+
+@query("logs", sql=_NUMBERED + "SELECT file, number AS line, at_us, level, message, path FROM n WHERE line%7<>0")
 def src_log_json(t: Tables):
     rec = F.to_json(F.struct(F.date_format(F.timestamp_micros("at_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "level", F.struct("message").alias("fields"), F.array(F.struct(F.lit("w").alias("name"), "path")).alias("spans")))
-    lines = t("logs").select(rec.alias("value")).unionAll(t("logs").limit(5).select(F.lit("not json")))
-    return io.parse_log_json(lines).select("at_us", "level", "message", F.col("spans")[0]["path"].alias("path"))
+    lines = _log_files(t, F.when(F.col("line") % 7 == 0, "not json").otherwise(rec))
+    return io.parse_log_json(lines).select("file", "line", "at_us", "level", "message", F.col("spans")[0]["path"].alias("path"))
 
 
-@query("logs", sql="SELECT at_us, level, message FROM logs")
+@query("logs", sql=_NUMBERED + "SELECT file, number AS line, at_us, level, message FROM n WHERE line%7<>0")
 def src_log_text(t: Tables):
-    lines = t("logs").select(F.concat_ws(" ", F.date_format(F.timestamp_micros("at_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "level", "message").alias("value"))
-    return io.parse_log_text(lines)
+    text = F.concat_ws(" ", F.date_format(F.timestamp_micros("at_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "level", "message")
+    return io.parse_log_text(_log_files(t, F.when(F.col("line") % 7 == 0, "  at frame 1").otherwise(text)))
 
 
 @query("entries", sql="SELECT k, job_id, CASE WHEN job_id=2 THEN size+1 ELSE size END AS size FROM entries")
@@ -194,12 +209,17 @@ def snk_manifest(t: Tables):
     return t.spark.read.parquet(where)
 
 
-@query("entries", sql="SELECT k, job_id FROM entries WHERE job_id<>3")
+@query("entries", sql="SELECT 'entries' AS part, k, job_id FROM entries WHERE job_id<>3 UNION ALL SELECT 'links', k, job_id FROM entries WHERE is_symlink AND job_id<>3")
 def mnt_clear_job(t: Tables):
-    a, b = shared_folder(t.spark, "shared"), shared_folder(t.spark, "cleared")
-    io.publish(t("entries"), a)
-    io.clear_job(t.spark, a, 3, b)
-    return t.spark.read.parquet(b).select("k", F.col("job_id").cast("long").alias("job_id"))
+    """One job's partitions of two shared tables are dropped, twice over."""
+    tables = {p: shared_folder(t.spark, p) for p in ("entries", "links")}
+    rows = t("entries").select("k", "relative_path", "job_id", "is_symlink")
+    io.publish(rows, tables["entries"])
+    io.publish(rows.where("is_symlink"), tables["links"])
+    for _ in range(2):
+        io.clear_job(t.spark, list(tables.values()), 3)
+    left = [t.spark.read.parquet(where).select(F.lit(p).alias("part"), "k", F.col("job_id").cast("long").alias("job_id")) for p, where in tables.items()]
+    return left[0].union(left[1])
 
 
 def _events(t: Tables):

@@ -253,7 +253,7 @@ _MERGED = "r1 AS (SELECT *, max(end_off) OVER (PARTITION BY file_id ORDER BY sta
 
 @query("ranges", sql=_MERGED + " SELECT * FROM m")
 def win_interval_union(t: Tables):
-    return windows.interval_union(t("ranges"))
+    return windows.interval_union(t("ranges"), slot=2000)
 
 
 _GAPS = _MERGED + ", e AS (SELECT * FROM m UNION ALL SELECT DISTINCT file_id, 16000, 16000 FROM ranges), gp AS (SELECT file_id, coalesce(max(end_off) OVER (PARTITION BY file_id ORDER BY start_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS gap_start, least(start_off,16000) AS gap_end FROM e)"
@@ -265,46 +265,37 @@ def _totals(t: Tables):
 
 @query("ranges", sql=_GAPS + " SELECT file_id, CAST(gap_start AS BIGINT) AS gap_start, CAST(gap_end AS BIGINT) AS gap_end FROM gp WHERE gap_start<gap_end")
 def win_interval_missing(t: Tables):
-    return windows.interval_missing(windows.interval_union(t("ranges")), _totals(t))
+    return windows.interval_missing(windows.interval_union(t("ranges"), slot=2000), _totals(t), slot=2000)
 
 
 @query("ranges", sql=_GAPS + " SELECT file_id, CAST(coalesce(sum(gap_end-gap_start) FILTER (WHERE gap_start<gap_end),0) AS BIGINT) AS missing, count(*) FILTER (WHERE gap_start<gap_end)=0 AS covers FROM gp GROUP BY 1")
 def win_interval_covers(t: Tables):
-    return windows.covers(windows.interval_union(t("ranges")), _totals(t))
+    return windows.covers(windows.interval_union(t("ranges"), slot=2000), _totals(t), slot=2000)
 
 
-_LW = """sp AS (SELECT path, min(at_us)-60000000 AS a, max(at_us)+60000000 AS z FROM lg WHERE path IN (SELECT path FROM lg WHERE level='ERROR') GROUP BY 1), w1 AS (SELECT *, max(z) OVER (ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM sp),
+_LW = """sp AS (SELECT path, min(at_us)-60000000 AS a, max(at_us)+60000000 AS z FROM logs WHERE path IN (SELECT path FROM logs WHERE level='ERROR') GROUP BY 1), w1 AS (SELECT *, max(z) OVER (ORDER BY a,z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM sp),
 w2 AS (SELECT *, sum(CASE WHEN t IS NULL OR a>t THEN 1 ELSE 0 END) OVER (ORDER BY a,z ROWS UNBOUNDED PRECEDING) AS isl FROM w1), wn AS (SELECT min(a) AS start_off, max(z) AS end_off FROM w2 GROUP BY isl)"""
-_LG = "lg AS (SELECT line, at_us, level, concat('q/',CAST(line//4 AS VARCHAR)) AS path FROM logs), "
-
-
-def _traced(t: Tables):
-    """All lines, four to a path, so that paths are short spans of time."""
-    return t("logs").select("line", "at_us", "level", F.concat(F.lit("q/"), F.floor(F.col("line") / 4).cast("string")).alias("path"))
-
-
-@query("logs", sql=_LG + _LW + " SELECT l.line, w.start_off, w.end_off FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off")
+@query("logs", sql=_LW + " SELECT l.line, w.start_off, w.end_off FROM logs l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off")
 def win_log_windows(t: Tables):
-    lg = _traced(t)
-    found = windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 86_400_000_000)
+    found = windows.in_windows(t("logs"), windows.log_windows(t("logs"), 60_000_000))
     return found.select("line", "start_off", "end_off")
 
 
-@query("logs", sql=_LG + _LW + ", v AS (SELECT DISTINCT l.line FROM lg l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off) SELECT (SELECT count(*) FROM lg) AS lines, (SELECT count(*) FROM v) AS shown, 1-(SELECT count(*) FROM v)/(SELECT count(*) FROM lg)::DOUBLE AS left_out")
+@query("logs", sql=_LW + ", v AS (SELECT DISTINCT l.line FROM logs l JOIN wn w ON l.at_us BETWEEN w.start_off AND w.end_off) SELECT (SELECT count(*) FROM logs) AS lines, (SELECT count(*) FROM v) AS shown, 1-(SELECT count(*) FROM v)/(SELECT count(*) FROM logs)::DOUBLE AS left_out")
 def win_log_compression(t: Tables):
-    lg = _traced(t)
-    return windows.compression(lg, windows.in_windows(lg, windows.log_windows(lg, 60_000_000), 86_400_000_000))
+    return windows.compression(t("logs"), windows.in_windows(t("logs"), windows.log_windows(t("logs"), 60_000_000)))
 
 
-@query("logs", sql="SELECT line, level FROM logs ORDER BY line LIMIT 50")
+@query("logs", sql="SELECT execution, line, level FROM logs QUALIFY row_number() OVER (PARTITION BY execution ORDER BY line)<=50")
 def win_log_head(t: Tables):
-    return t("logs").orderBy("line").limit(50).select("line", "level")
+    return windows.head_of_each(t("logs"), ["execution"], ["line"], 50).select("execution", "line", "level")
 
 
-@query("work", sql="SELECT k, CAST(row_number() OVER (ORDER BY len(string_split(relative_path,'/')) DESC, relative_path) AS BIGINT) AS place FROM work")
+@query("histories", sql="SELECT relative_path, version_id, CAST(row_number() OVER (ORDER BY len(string_split(relative_path,'/')) DESC, relative_path, history_segment, history_index, version_id) AS BIGINT) AS place FROM histories")
 def srt_depth_first(t: Tables):
-    rows = t("work").select("k", "relative_path", fn.depth("relative_path").alias("d"))
-    return windows.places(rows, F.desc("d"), "relative_path").select("k", "place")
+    """Deepest first, then by path; the versions of a path in the order of its history."""
+    rows = t("histories").withColumn("d", fn.depth("relative_path"))
+    return windows.places(rows, F.desc("d"), "relative_path", "history_segment", "history_index", "version_id").select("relative_path", "version_id", "place")
 
 
 @query("logs", sql="SELECT line, at_us, level FROM logs WHERE execution=3 AND level='ERROR' ORDER BY at_us, line LIMIT 20 OFFSET 40")

@@ -60,18 +60,38 @@ def select_listed(df: DataFrame, paths: DataFrame) -> DataFrame:
     return df.join(paths.select("relative_path"), "relative_path", "left_semi")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files (file, line, value), each with its number in its file from 1.
+
+    Files are read in splits, in parallel.  A split's lines follow on in one partition, so a line's
+    number is its distance from the split's first line plus the lines of the file's splits before it
+    (counted per split, a row each); no line is shuffled for it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "_split", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(splits, ["file", "_split"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def _place(lines: DataFrame) -> list[str]:
+    """Where a line comes from, if it is known; (file, time, line) is the order of a log."""
+    return [c for c in ("file", "line") if c in lines.columns]
+
+
 def parse_log_json(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Structured records of a JSON log; lines that are no JSON are dropped."""
-    parsed = lines.select(F.from_json(column, LOG_SCHEMA).alias("r")).where("r.timestamp is not null")
-    return parsed.select(F.unix_micros(F.try_to_timestamp("r.timestamp")).alias("at_us"), "r.level", F.col("r.fields.message").alias("message"), "r.target", "r.spans")
+    """Structured records of a JSON log, with file and line where ``lines`` has them; lines that are
+    no JSON are dropped."""
+    at = _place(lines)
+    parsed = lines.select(*at, F.from_json(column, LOG_SCHEMA).alias("r")).where("r.timestamp is not null")
+    return parsed.select(*at, F.unix_micros(F.try_to_timestamp("r.timestamp")).alias("at_us"), "r.level", F.col("r.fields.message").alias("message"), "r.target", "r.spans")
 
 
 def parse_log_text(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Time, level and message of text log lines."""
+    """Time, level and message of text log lines, with file and line where ``lines`` has them."""
     pattern = r"^(\S+)\s+(TRACE|DEBUG|INFO|WARN|ERROR)\s+(.*)$"
     rows = lines.where(F.col(column).rlike(pattern))
     part = lambda k: F.regexp_extract(column, pattern, k)
-    return rows.select(F.unix_micros(F.try_to_timestamp(part(1))).alias("at_us"), part(2).alias("level"), part(3).alias("message")).where("at_us is not null")
+    return rows.select(*_place(lines), F.unix_micros(F.try_to_timestamp(part(1))).alias("at_us"), part(2).alias("level"), part(3).alias("message")).where("at_us is not null")
 
 
 def publish(df: DataFrame, path: str) -> None:
@@ -79,22 +99,28 @@ def publish(df: DataFrame, path: str) -> None:
     df.repartition("job_id", F.pmod(F.xxhash64("relative_path"), F.lit(8))).sortWithinPartitions("relative_path").write.partitionBy("job_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def clear_job(spark: SparkSession, path: str, job_id: int, target: str) -> None:
-    """Rewrite a shared table without one job's rows."""
-    spark.read.parquet(path).where(F.col("job_id") != job_id).write.partitionBy("job_id").mode("overwrite").parquet(target)
+def _dropped(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_job(spark: SparkSession, tables: list[str], job_id: int) -> int:
+    """Drop one job's partition of every shared table; the files of other jobs are not touched.
+    Returns how many tables had it, so a repeated call returns 0."""
+    return sum(_dropped(spark, f"{table}/job_id={job_id}") for table in tables)
 
 
 def new_events(existing: DataFrame, incoming: DataFrame, buckets: int = 256) -> DataFrame:
     """Events to append: keys of the round that exist keep theirs; new keys get the numbers after
     its last, without gaps.  Of several incoming rows of a key the smallest is taken.
 
-    Numbers are those of the buckets of a round's paths before a row's own (a row a bucket), plus
-    its place in the bucket, so no task holds a round."""
+    Numbers are those of the buckets of a round's events before a row's own (a row a bucket), plus
+    its place in the bucket, so no task holds a round or a path."""
     key = ["round", "op", "path", "version_id"]
     rest = [x for x in incoming.columns if x not in key]
     one = incoming.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(*incoming.columns)
     here = existing.join(one.select("round").distinct(), "round", "left_semi")
-    fresh = one.join(here.select(*key), key, "left_anti").withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(buckets)))
+    fresh = one.join(here.select(*key), key, "left_anti").withColumn("_b", F.pmod(F.xxhash64("path", "op", "version_id"), F.lit(buckets)))
     last = here.groupBy("round").agg(F.max("create_at").alias("_last"))
     counts = fresh.groupBy("round", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("round", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("round").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -114,18 +140,50 @@ def append_events(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     new_events(existing, incoming).write.mode("append").parquet(path)
 
 
-def commit_round(df: DataFrame, path: str, runs: DataFrame, runs_path: str) -> None:
-    """Publish a whole round, then record its runs (job_id, sequence): a crash in between leaves no
-    run that was not published, and a replay overwrites the same jobs and records nothing twice."""
-    spark = df.sparkSession
-    publish(df, path)
+def write_snapshot(df: DataFrame, root: str, snapshot: str) -> None:
+    """A round's rows as new files, below a folder of their own: nobody reads them before they are
+    committed, and nothing that is read is changed."""
+    part = F.pmod(F.xxhash64("relative_path"), F.lit(8))
+    df.repartition("job_id", part).sortWithinPartitions("relative_path").write.partitionBy("job_id").mode("overwrite").parquet(f"{root}/rows/snapshot={snapshot}")
+
+
+def _known_runs(spark: SparkSession, root: str) -> DataFrame:
+    schema = "job_id long, sequence long, snapshot string"
     try:
-        known = spark.read.schema(runs.schema).parquet(runs_path)
+        return spark.read.schema(schema).parquet(f"{root}/runs")
     except Exception as error:  # the table's first write
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        known = runs.limit(0)
-    runs.join(known.select("job_id", "sequence"), ["job_id", "sequence"], "left_anti").write.mode("append").parquet(runs_path)
+        return spark.createDataFrame([], schema)
+
+
+def commit_round(df: DataFrame, root: str, snapshot: str, sequence: int) -> None:
+    """Write a round's jobs as a snapshot, then the run rows that name it: the commit pointer.
+
+    A crash before the run rows, however many of its partitions are written, leaves readers on the
+    jobs' last committed snapshots; a replay writes its own folder again and records a run once."""
+    spark = df.sparkSession
+    write_snapshot(df, root, snapshot)
+    done = spark.read.parquet(f"{root}/rows/snapshot={snapshot}").select(F.col("job_id").cast("long").alias("job_id")).distinct()
+    runs = done.select("job_id", F.lit(sequence).cast("long").alias("sequence"), F.lit(snapshot).alias("snapshot"))
+    runs.join(_known_runs(spark, root).select("job_id", "sequence"), ["job_id", "sequence"], "left_anti").coalesce(1).write.mode("append").parquet(f"{root}/runs")
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """Each job's rows of its newest committed run; the pointers prune the snapshots' partitions."""
+    newest = _known_runs(spark, root).groupBy("job_id").agg(F.max_by("snapshot", "sequence").alias("snapshot"))
+    rows = spark.read.parquet(f"{root}/rows").withColumns({"job_id": F.col("job_id").cast("long"), "snapshot": F.col("snapshot").cast("string")})
+    return rows.join(newest, ["snapshot", "job_id"]).drop("snapshot")
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete the snapshots that no job's ``keep`` newest runs name; returns how many."""
+    runs = _known_runs(spark, root).withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("sequence"))))
+    held = {r["snapshot"] for r in runs.where(F.col("_n") <= keep).select("snapshot").distinct().collect()}  # names of snapshots
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/rows")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName().removeprefix("snapshot=") for f in found if f.getPath().getName().startswith("snapshot=")]
+    return sum(_dropped(spark, f"{root}/rows/snapshot={n}") for n in names if n not in held)
 
 
 def manifest(df: DataFrame) -> DataFrame:
