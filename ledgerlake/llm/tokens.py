@@ -4,11 +4,19 @@ A byte-level BPE of this family first cuts a text by a fixed pattern and then
 merges inside the pieces.  Where white space begins after a non-white character
 there is always such a cut: no piece holds white space after other characters,
 and what the pattern does with a run of white space depends on that run and on
-what follows it only.  So does the pattern cut between an ASCII letter and an
-ASCII digit.  Special tokens' strings hold no white space and are not cut by
-either.  Texts longer than ``LONG`` bytes, whatever they hold, are cut at the
-last such place before each ``LONG`` bytes (or the first after it), so memory
-is bounded by the slice; counts and ids of the parts add up.
+what follows it only.  So does the pattern cut between ASCII letters, digits and
+punctuation (but for what follows an apostrophe), and between an ideograph and
+the full-width punctuation after it.  Texts longer than ``LONG`` bytes are cut at
+the last such place before each ``LONG`` bytes (or the first after it) that lies
+in no special token's string; counts and ids of the parts add up.
+
+A stretch of over ``2 * LONG`` bytes without such a place (one letter over and
+over, a line of dashes, prose without marks) is one piece of the pattern.  It is
+encoded in overlapping parts: a sequence of tokens is the merge result of its
+text if each two neighbours are that of theirs (Berglund and van der Merwe, 2023),
+so a part that begins at a token of the part before, and begins with the same
+token, goes on where the two meet.  Where no such token is found the stretch is
+encoded whole.  So memory is bounded by the slice and a part, whatever the text.
 
 Inside a part each single space between non-white characters is such a place
 too.  Parts without other spaces and special strings are split there, each
@@ -23,6 +31,7 @@ never trimmed by guess, so results do not depend on it.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from types import SimpleNamespace
 
@@ -35,10 +44,16 @@ _WHITE = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
 _UNSAFE = rf"(^|{_WHITE}) ({_WHITE}|$)"
 RUN_CHUNKS = 20_000
 LONG, PART_BYTES = 1 << 18, 2 << 20
-_SPACE, _LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+SEAM, TRIES = 4096, 12
+"""Characters of a part's end that are left to the next part, and places tried for its beginning."""
+_SPACE, _LETTER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(4))
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _DIGIT[range(0x30, 0x3A)] = True
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_WIDE_MARKS = [c.encode() for c in "、。，！？：；「」《》（）"]
+_TURN = re.compile(r"[\s'\x1c-\x1f\x85]")
+"""Where the pattern may look at what stands before: no part begins next to these."""
 _WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 
 
@@ -52,13 +67,25 @@ def safe_places(raw: np.ndarray) -> np.ndarray:
             last[:k] = False
         white |= last  # the last byte of a wide space: what follows it does not begin a run
     begins = _SPACE[raw[1:]] & ~white[:-1]
-    turns = (_LETTER[raw[:-1]] & _DIGIT[raw[1:]]) | (_DIGIT[raw[:-1]] & _LETTER[raw[1:]])
-    return np.flatnonzero(begins | turns) + 1
+    kind = (_LETTER + 2 * _DIGIT + 4 * _MARK)[raw]
+    turns = (kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (kind[1:] > 0) & ((raw[:-1] != 0x27) | (kind[1:] != 1))
+    begins |= turns
+    if len(raw) > 6:
+        for code in _WIDE_MARKS:  # after U+5000 to U+8FFF, all of them letters
+            at = (raw[3:-2] == code[0]) & (raw[4:-1] == code[1]) & (raw[5:] == code[2])
+            begins[2:-2] |= at & (raw[:-5] >= 0xE5) & (raw[:-5] <= 0xE8)
+    return np.flatnonzero(begins) + 1
 
 
-def parts_of(text: bytes) -> list[bytes]:
-    """A long text in parts of about ``LONG`` bytes."""
+def parts_of(text: bytes, special: list[bytes] = []) -> list[bytes]:  # noqa: B006
+    """A long text in parts of about ``LONG`` bytes; no string of ``special`` is cut."""
     cuts, out, at = safe_places(np.frombuffer(text, np.uint8)), [], 0
+    for name in special:
+        found = text.find(name)
+        if found >= 0:
+            starts = np.array([m.start() for m in re.finditer(b"(?=" + re.escape(name) + b")", text)])
+            before = np.searchsorted(starts, cuts, side="left") - 1
+            cuts = cuts[(before < 0) | (starts[before] + len(name) <= cuts)]
     while len(text) - at > LONG:
         j = int(np.searchsorted(cuts, at + LONG, side="right"))
         cut = cuts[j - 1] if j and cuts[j - 1] > at else cuts[j] if j < len(cuts) else len(text)
@@ -86,6 +113,7 @@ class Encoder:
         plain = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec["normalizer"] is None and spec["pre_tokenizer"].get("use_regex", True)
         self.splits = bool(plain)
         """Whether the cut before a space is safe for this vocabulary."""
+        self.special_bytes = [c.encode() for c in self.special]
         self.cuts = self.splits and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         names = spec["model"]["vocab"]
         self.token_bytes = np.zeros(max([*names.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, np.int64)
@@ -148,7 +176,45 @@ class Encoder:
         odd = pc.match_substring_regex(texts, _UNSAFE)
         for special in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, special))
-        return ~odd.to_numpy(zero_copy_only=False) if self.splits else np.zeros(len(texts), bool)
+        short = pc.less_equal(pc.binary_length(texts), 2 * LONG)
+        return pc.and_not(short, odd).to_numpy(zero_copy_only=False) if self.splits else np.zeros(len(texts), bool)
+
+    def _whole(self, text: str) -> list[int]:
+        """The ids of a text that is not chunked, a long one in overlapping parts."""
+        ids: list[int] = []
+        at, shared = 0, None
+        size = LONG  # characters
+        while self.cuts and len(text) - at > 2 * size:
+            found = self.library.encode(text[at : at + size], add_special_tokens=False)
+            if shared is None:
+                ids += found.ids[:1]
+            step = self._seam(text, at, found)
+            if step is None:
+                return self.library.encode(text, add_special_tokens=False).ids
+            k, place = step
+            ids += found.ids[1 : k + 1]
+            at, shared = place, found.ids[k]
+        rest = self.library.encode(text[at:], add_special_tokens=False).ids
+        return ids + rest[shared is not None :]
+
+    def _seam(self, text: str, at: int, found) -> tuple[int, int] | None:
+        """A token of a part, and its place in the text, from which the next part goes on with it."""
+        spans, k = found.offsets, len(found.ids)
+        until = spans[-1][1] - SEAM
+        for _ in range(TRIES):
+            k -= 1
+            while k > 0 and (spans[k][0] > until or spans[k][0] != spans[k - 1][1] or spans[k][0] < 4 or _TURN.search(text, at + spans[k][0] - 3, at + spans[k][0] + 1)):
+                k -= 1
+            if k <= 0:
+                return None
+            place = at + spans[k][0]
+            # The next part as it will be: of the same length, or all the rest.
+            left = len(text) - place
+            head = self.library.encode(text[place : place + LONG] if left > 2 * LONG else text[place:], add_special_tokens=False)
+            if head.ids[0] == found.ids[k] and head.offsets[0][1] + spans[k][0] == spans[k][1]:
+                return k, place
+            k -= 7
+        return None
 
     def _parts(self, texts: pa.Array) -> tuple[list[pa.Array], np.ndarray | None]:
         """The texts with long ones cut, in runs of bounded size, and each part's text."""
@@ -157,7 +223,7 @@ class Encoder:
             return [texts], None
         owner, runs, run, held = [], [], [], 0
         for i, size in enumerate(sizes):
-            for part in parts_of(texts[i].as_py().encode()) if size > LONG else [texts[i].as_py().encode()]:
+            for part in parts_of(texts[i].as_py().encode(), self.special_bytes) if size > LONG else [texts[i].as_py().encode()]:
                 if run and held + len(part) > PART_BYTES:
                     runs.append(pa.array(run, pa.binary()).cast(pa.string()))
                     run, held = [], 0
@@ -191,7 +257,7 @@ class Encoder:
         owner = np.repeat(np.flatnonzero(safe), counts)
         lengths += np.bincount(owner, size[number], len(texts)).astype(np.int64)
         odd = np.flatnonzero(~safe)
-        whole = [np.asarray(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32) for i in odd]
+        whole = [np.asarray(self._whole(texts[i].as_py()), np.int32) for i in odd]
         lengths[odd] = [len(w) for w in whole]
         out = np.empty(int(lengths.sum()), np.int32)
         starts = np.cumsum(lengths) - lengths
@@ -208,8 +274,11 @@ class Encoder:
         number, counts, ends = self._chunked(texts.filter(pa.array(safe)))
         owner = np.repeat(np.flatnonzero(safe), counts)
         lengths = np.bincount(owner, np.diff(ends)[number], len(texts)).astype(np.int64)
-        odd = np.flatnonzero(~safe)
-        lengths[odd] = [len(e.ids) for e in self.library.encode_batch_fast([texts[i].as_py() for i in odd], add_special_tokens=False)]
+        odd = ~safe
+        long_ = pc.greater(pc.binary_length(texts), 2 * LONG).to_numpy(zero_copy_only=False)
+        lengths[odd & long_] = [len(self._whole(texts[i].as_py())) for i in np.flatnonzero(odd & long_)]
+        odd &= ~long_
+        lengths[odd] = [len(e.ids) for e in self.library.encode_batch_fast([texts[i].as_py() for i in np.flatnonzero(odd)], add_special_tokens=False)]
         return lengths
 
 
