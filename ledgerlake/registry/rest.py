@@ -255,11 +255,34 @@ def _register_streams() -> None:
 _register_streams()
 
 
-@query("events_log", sql="SELECT round, path, count(*) AS rows FROM events_log GROUP BY 1,2")
+@query("events_log", "events", sql="SELECT round, event_type AS op, path, count(*) AS rows, TRUE AS kept, TRUE AS dense FROM events_log JOIN events USING (event_id) GROUP BY 1,2,3")
 def str_exactly_once(t: Tables):
-    e = _events(t)
-    rows = e.select((F.col("event_id") % 3).alias("round"), F.col("event_type").alias("op"), F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("path"), F.lit("").alias("version_id"), F.lit(0).cast("long").alias("create_at"))
-    return streams.exactly_once(rows, shared_folder(t.spark, "once")).groupBy("round", "path").agg(F.count(F.lit(1)).alias("rows"))
+    """The query dies before the sink, between sink and ledger, and between ledger and checkpoint,
+    each in another batch, and is started again; numbers once written stay, and leave no gaps."""
+    stage, where = shared_folder(t.spark, "feed"), shared_folder(t.spark, "once")
+    rows = t("events").select((F.col("event_id") % 3).alias("round"), F.col("event_type").alias("op"), F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("path"), F.lit("").alias("version_id"), F.lit(0).cast("long").alias("create_at"))
+    rows.union(rows.where("round=1")).repartition(6, "path").write.parquet(stage)
+    deaths = {("begun", 0), ("written", 1), ("recorded", 2)}
+
+    def at(place: str, batch: int) -> None:
+        if (place, batch) in deaths:
+            deaths.remove((place, batch))
+            if place == "written":  # what the batch wrote before it died
+                t.spark.read.parquet(f"{where}/events/batch={batch}").write.parquet(f"{where}/first")
+            raise RuntimeError(f"killed: {place} {batch}")
+
+    def run():
+        source = t.spark.readStream.schema(t.spark.read.parquet(stage).schema).option("maxFilesPerTrigger", 2).parquet(stage)
+        return streams.exactly_once(source, where, at)
+
+    events = streams.until_done(run, len(deaths))
+    if deaths:
+        raise RuntimeError(f"places not reached: {deaths}")
+    key = ["round", "op", "path", "version_id"]
+    first = t.spark.read.parquet(f"{where}/first").select(*key, F.col("create_at").alias("first_at"))
+    dense = events.groupBy("round").agg((F.count_distinct("create_at") == F.max("create_at")).alias("dense"))
+    events = events.join(first, key, "left").groupBy("round", "op", "path").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.coalesce(F.col("create_at") == F.col("first_at"), F.lit(True))).alias("kept"))
+    return events.join(dense, "round")
 
 
 @query("dir_stats", sql=_DS + " SELECT scanned, filtered, retained, failed, vanished FROM s")
@@ -287,6 +310,22 @@ def str_cursor_latest(t: Tables):
     return accepted
 
 
+_FIRST = "f AS (SELECT *, CAST(arrival%40 AS STRING) AS batch_id, CAST(CASE WHEN arrival%9=0 THEN arrival ELSE 0 END AS STRING) AS content FROM reports), o AS (SELECT *, row_number() OVER (PARTITION BY task, batch_id ORDER BY arrival) AS place, first_value(content) OVER (PARTITION BY task, batch_id ORDER BY arrival) AS known FROM f), z AS (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY task ORDER BY arrival)-1 AS rn FROM o WHERE place=1)"
+
+
+@query("reports", sql=f"""{_FIRST} SELECT task, arrival, CASE WHEN content=known THEN 'duplicate' ELSE 'conflict' END AS status FROM o WHERE place>1 UNION ALL SELECT task, arrival, CASE WHEN ok THEN 'advanced' ELSE 'stale' END FROM (WITH RECURSIVE c AS (SELECT task, rn, arrival, TRUE AS ok, round_at, round_id, attempt_at, attempt_id, sequence, final FROM z WHERE rn=0
+ UNION ALL SELECT r.task, r.rn, r.arrival, {_FOLLOWS}, {_CURSOR} FROM c JOIN z r ON r.task=c.task AND r.rn=c.rn+1) SELECT * FROM c)""")
+def str_report_states(t: Tables):
+    """Reports with batch ids, in two parts with a restart in between: duplicates, conflicts and the
+    cursor out of one state."""
+    where, out = shared_folder(t.spark, "reports"), shared_folder(t.spark, "states")
+    rows = t("reports").withColumns({"batch_id": (F.col("arrival") % 40).cast("string"), "content": F.when(F.col("arrival") % 9 == 0, F.col("arrival")).otherwise(0).cast("string")})
+    for part in ("rn < 20", "rn >= 20"):
+        rows.where(part).drop("rn").write.mode("append").parquet(where)
+        states = streams.report_states(t.spark.readStream.schema(t.spark.read.parquet(where).schema).parquet(where), out)
+    return states
+
+
 @query("events_log", sql="SELECT task, batch_id, CASE WHEN min(content)=max(content) THEN 'stored' ELSE 'conflict' END AS status FROM (SELECT user_id AS task, concat('b',CAST(event_id%50 AS STRING)) AS batch_id, concat('c',CAST(CASE WHEN event_id%7=0 THEN event_id ELSE 0 END AS STRING)) AS content FROM events_log) GROUP BY 1,2")
 def str_diagnostic_batches(t: Tables):
     content = F.concat(F.lit("c"), F.when(F.col("event_id") % 7 == 0, F.col("event_id")).otherwise(0).cast("string"))

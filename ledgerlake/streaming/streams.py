@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.compare import final_renames, scan_compare
 from ..operators.dedup import latest_by_key
-from ..sources.io import append_events
+from ..sources.io import new_events
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -57,16 +60,53 @@ def finalize(stage: DataFrame, base: DataFrame, where: str) -> DataFrame:
     return final_renames(base, live)
 
 
-def exactly_once(stream: DataFrame, where: str, replays: int = 2) -> DataFrame:
-    """Events appended by an idempotent sink; every batch is written ``replays`` times as after crashes."""
+def _marker(spark: SparkSession, file: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exactly_once(stream: DataFrame, where: str, at: Callable[[str, int], None] = lambda place, batch: None) -> DataFrame:
+    """Events numbered and written once, whatever dies between sink, ledger and checkpoint.
+
+    A batch writes a folder of its own, then its mark in the ledger; Spark's checkpoint follows.  A
+    batch that comes again before its mark writes the same folder again, from the same earlier
+    batches and so with the same numbers; one that has its mark is passed over.  Readers see marked
+    batches only.  ``at`` is told each place that is reached (``begun``, ``written``, ``recorded``)."""
     spark = stream.sparkSession
 
     def batch(df: DataFrame, b: int) -> None:
-        for _ in range(replays):
-            append_events(spark, f"{where}/events", df)
+        files, mark = _marker(spark, f"{where}/ledger/{b}")
+        if files.exists(mark):
+            return
+        at("begun", b)
+        earlier = recorded_events(spark, where, b)
+        new_events(df.limit(0) if earlier is None else earlier, df).write.mode("overwrite").parquet(f"{where}/events/batch={b}")
+        at("written", b)
+        files.create(mark).close()
+        at("recorded", b)
 
     run_to_end(stream, batch, where)
-    return spark.read.parquet(f"{where}/events")
+    return recorded_events(spark, where)
+
+
+def recorded_events(spark: SparkSession, where: str, before: int | None = None) -> DataFrame | None:
+    """Events of the batches in the ledger, of those before a batch where one is named."""
+    files, ledger = _marker(spark, f"{where}/ledger")
+    if not files.exists(ledger):
+        return None
+    marked = [int(f.getPath().getName()) for f in files.listStatus(ledger)]
+    marked = [b for b in marked if before is None or b < before]
+    return spark.read.option("basePath", f"{where}/events").parquet(*[f"{where}/events/batch={b}" for b in marked]).drop("batch") if marked else None
+
+
+def until_done(run: Callable[[], DataFrame], deaths: int) -> DataFrame:
+    """Start a query again after each death, as its supervisor would, ``deaths`` times at most."""
+    for _ in range(deaths):
+        try:
+            return run()
+        except StreamingQueryException:
+            continue
+    return run()
 
 
 def fan_out(stream: DataFrame, consumers: dict[str, Callable[[DataFrame], DataFrame]], where: str) -> dict[str, DataFrame]:
@@ -109,6 +149,9 @@ def running_stats(contributions: DataFrame, where: str) -> DataFrame:
 CURSOR = "round_at long, round_id string, attempt_at long, attempt_id string, sequence long, final boolean"
 
 
+CURSOR_NAMES = [x.split()[0] for x in CURSOR.split(", ")]
+
+
 def follows(report: tuple, last: tuple | None) -> bool:
     """Whether a report (round's start and id, attempt's start and id, sequence, final) advances the
     cursor: a later round or attempt under another id, or in the same attempt a later sequence,
@@ -123,26 +166,72 @@ def follows(report: tuple, last: tuple | None) -> bool:
     return report[4] > last[4] and (report[5] or not last[5])
 
 
-def cursor_latest(reports: DataFrame, where: str) -> DataFrame:
-    """Progress reports (task, arrival, and what ``follows`` reads) that advance their task's cursor,
-    in order of arrival; the state is the cursor.  Called again, it goes on from its checkpoint."""
-    names = [x.split()[0] for x in CURSOR.split(", ")]
+class ReportState(StatefulProcessor):
+    """A task's reports: the cursor in a value state, batch ids and their contents in a map state.
+
+    The map's entries expire after ``keep_ms``, so a task's state does not grow without end."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.cursor = handle.getValueState("cursor", CURSOR)
+        self.seen = handle.getMapState("seen", "batch_id string", "content string", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = tuple(self.cursor.get()) if self.cursor.exists() else None
+        begun = last
+        # One micro-batch of one task, in order of arrival: whole columns, no frame of all reports.
+        batch = pa.concat_tables([pa.Table.from_pandas(r, preserve_index=False) for r in rows]).sort_by("arrival")
+        reports = zip(*(batch.column(c).to_pylist() for c in CURSOR_NAMES))
+        status, known = [], {}
+        for batch_id, content, report in zip(batch.column("batch_id").to_pylist(), batch.column("content").to_pylist(), reports):
+            if batch_id is not None:
+                if batch_id not in known and self.seen.containsKey((batch_id,)):
+                    known[batch_id] = self.seen.getValue((batch_id,))[0]
+                if batch_id in known:
+                    status.append("duplicate" if known[batch_id] == content else "conflict")
+                    continue
+                known[batch_id] = content
+                self.seen.updateValue((batch_id,), (content,))
+            forward = follows(report, last)
+            last = report if forward else last
+            status.append("advanced" if forward else "stale")
+        if last is not None and last != begun:
+            self.cursor.update(last)
+        yield pd.DataFrame({"task": key[0], "arrival": batch.column("arrival").to_pylist(), "status": status})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def report_states(reports: DataFrame, where: str, keep_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Each progress report (task, arrival, batch_id, content, and what ``follows`` reads) with its
+    status: a batch id that came before is a ``duplicate`` with the same content and a ``conflict``
+    with another; of the others those ``advanced`` move the task's cursor, the rest is ``stale``.
+
+    One arbitrary state on RocksDB; called again, it goes on from its checkpoint.  Expiry needs
+    processing time, which alone would ask for one empty batch after the other."""
+    conf = reports.sparkSession.conf
+    needed = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    old = {key: conf.get(key, None) for key in needed}
+    for key, value in needed.items():
+        conf.set(key, value)
+    try:
+        states = reports.groupBy("task").transformWithStateInPandas(ReportState(keep_ms), "task long, arrival long, status string", "append", "processingTime")
+        return collected(states, where).drop("batch")
+    finally:
+        for key, value in old.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        kept = []
-        for r in pd.concat(rows).sort_values("arrival")[["arrival", *names]].itertuples(index=False):
-            report = (int(r[1]), r[2], int(r[3]), r[4], int(r[5]), bool(r[6]))
-            if follows(report, last):
-                last = report
-                kept.append((int(key[0]), int(r[0])))
-        if last is not None:
-            state.update(last)
-        if kept:
-            yield pd.DataFrame(kept, columns=["task", "arrival"])
 
-    accepted = reports.groupBy("task").applyInPandasWithState(step, "task long, arrival long", CURSOR, "append", GroupStateTimeout.NoTimeout)
-    return collected(accepted, where).drop("batch")
+def cursor_latest(reports: DataFrame, where: str) -> DataFrame:
+    """Progress reports that advance their task's cursor; without batch ids none is a duplicate."""
+    states = report_states(reports.withColumns({"batch_id": F.lit(None).cast("string"), "content": F.lit("")}), where)
+    return states.where("status = 'advanced'").select("task", "arrival")
 
 
 def diagnostic_batches(batches: DataFrame, where: str) -> DataFrame:
