@@ -2,12 +2,12 @@
 
 Files are cut into fixed blocks of their bytes; the weak hash is the rolling
 checksum, the strong one SHA-256.  Aligned and moved blocks are found by equi
-joins on hashes, blocks at any offset by a vectorised function of one file pair."""
+joins on hashes, blocks at any offset in ranges of a file, many tasks a file."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
+from ..shared import settle
 from ..shipping import ship
 
 MOD = 65521
@@ -54,10 +55,62 @@ def signatures(files: DataFrame, keys: list[str], content: str = "content") -> D
     return rows.mapInArrow(run, f"rest {rows.schema['rest'].dataType.simpleString()}, weak long").select("rest.*", "weak")
 
 
-def block_dedup(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct blocks by how often they occur, and what duplicates would save."""
-    per = blocks(files, keys).groupBy("strong").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("block")).alias("bytes"))
-    return per.agg(F.sum("copies").alias("blocks"), F.count(F.lit(1)).alias("distinct_blocks"), F.sum(F.col("copies") * F.col("bytes")).alias("bytes"), F.sum("bytes").cast("long").alias("distinct_bytes"))
+def weak_blocks(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Per block its index, length and weak hash, for whole files at once; no block leaves its row."""
+    rows = files.select(F.encode(content, "UTF-8").alias("data"), F.struct(*keys).alias("rest"))
+    rows = rows.withColumn("size", fn.block_size(F.octet_length("data")).cast("long"))
+    each = "array<struct<index:long,bytes:long,weak:long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, size = batch.column(0)[k].as_py() or b"", batch.column(2)[k].as_py()
+                whole = len(data) // size if data else 0
+                weak = block_hashes(data, size)
+                found = [{"index": i, "bytes": size if i < whole else len(data) - i * size, "weak": int(w)} for i, w in enumerate(weak)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(k, 1), pa.array([found], pa.list_(pa.struct([("index", pa.int64()), ("bytes", pa.int64()), ("weak", pa.int64())])))], ["rest", "blocks"])
+
+    ship(files.sparkSession)
+    out = rows.select("data", "rest", "size").mapInArrow(run, f"rest {rows.schema['rest'].dataType.simpleString()}, blocks {each}")
+    return out.select("rest.*", F.explode("blocks").alias("b")).select(*keys, "b.*")
+
+
+def block_hashes(data: bytes, size: int) -> np.ndarray:
+    """The weak hash of each block of a file, the last one as long as it is."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    first = np.arange(0, len(x), size)
+    if not len(first):
+        return np.zeros(0, np.int64)
+    length = np.minimum(size, len(x) - first)
+    a = np.add.reduceat(x, first)
+    b = np.repeat(first + length, length)
+    b = np.add.reduceat((b - np.arange(len(x))) * x, first)
+    return (b % MOD) << 16 | a % MOD
+
+
+def block_dedup(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Distinct blocks by how often they occur, and what duplicates would save; ``keys`` name a file.
+
+    Two stages: blocks are grouped by length and weak hash, from one pass over the files.  A block
+    whose weak hash is alone is distinct as it is; only those that share one are cut out again and
+    told apart by their strong hash."""
+    weak = settle(weak_blocks(files, keys, content))
+    per = settle(weak.groupBy("bytes", "weak").agg(F.count(F.lit(1)).alias("n")))
+    shared = per.where("n > 1").select("bytes", "weak")
+    again = candidates(files, weak.join(shared, ["bytes", "weak"], "left_semi"), keys, content)
+    strong = again.groupBy("strong").agg(F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"))
+    alone = per.where("n = 1").select(F.lit(1).cast("long").alias("copies"), "bytes")
+    per = strong.select("copies", "bytes").union(alone)
+    return per.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("blocks"), F.count(F.lit(1)).alias("distinct_blocks"), F.coalesce(F.sum(F.col("copies") * F.col("bytes")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("distinct_bytes"))
+
+
+def candidates(files: DataFrame, wanted: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """The strong hash of the ``wanted`` blocks (keys, index, bytes) alone."""
+    per = wanted.groupBy(*keys).agg(F.collect_list(F.struct("index", "bytes")).alias("_wanted"))
+    data = F.encode(content, "UTF-8")
+    rows = files.join(per, keys).select(*keys, data.alias("_data"), fn.block_size(F.octet_length(data)).alias("_size"), F.explode("_wanted").alias("w"))
+    block = F.substring(F.col("_data"), (F.col("w.index") * F.col("_size") + 1).cast("int"), F.col("w.bytes").cast("int"))
+    return rows.select(*keys, "w.*", F.sha2(block, 256).alias("strong"))
 
 
 def aligned_plan(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -75,63 +128,149 @@ def plan_totals(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.groupBy(key).agg(F.count_if(hit).alias("matched_blocks"), F.coalesce(F.sum(F.when(~hit, F.col("bytes"))), F.lit(0)).cast("long").alias("literal_bytes"), F.sum("bytes").cast("long").alias("total_bytes"))
 
 
-def tokens_of(old: bytes, new: bytes, size: int) -> list[tuple[int, bytes | None]]:
-    """Match tokens (block, None) and data tokens (-1, bytes); blocks are found at any offset.
-
-    Windows whose weak hash no block has are passed over at once; the others are compared."""
-    whole = len(old) // size
-    tail = old[whole * size :]
-    where: dict[int, list[int]] = {}
-    if whole:
-        every = weak_hashes(np.frombuffer(old, np.uint8), size)[::size][:whole]
-        for k, h in enumerate(every.tolist()):
-            where.setdefault(h, []).append(k)
-    found: list[tuple[int, int, int]] = []
-    at = 0
-    if whole and len(new) >= size:
-        weak = weak_hashes(np.frombuffer(new, np.uint8), size)
-        hits = np.flatnonzero(np.isin(weak, list(where)))
-        i = 0
-        while i < len(hits):
-            here = int(hits[i])
-            part = new[here : here + size]
-            same = [k for k in where[int(weak[here])] if old[k * size : (k + 1) * size] == part]
-            if same:
-                # A block at its own place is preferred to a moved one.
-                found.append((here, size, here // size if here % size == 0 and here // size in same else same[0]))
-                at = here + size
-                i = int(np.searchsorted(hits, at))
-            else:
-                i += 1
-    if tail and len(new) - len(tail) >= at and new.endswith(tail):
-        found.append((len(new) - len(tail), len(tail), whole))
-    out: list[tuple[int, bytes | None]] = []
-    at = 0
-    for here, width, k in found:
-        if at < here:
-            out.append((-1, new[at:here]))
-        out.append((k, None))
-        at = here + width
-    return [*out, (-1, new[at:])] if at < len(new) else out
+RANGE_BYTES = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
-def shifted_plan(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:
-    """Per pair the tokens that rebuild ``new`` from ``old``: totals, and whether rebuilding gives it."""
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``width`` bytes, equal for equal windows at any place."""
+    n = len(data) - width + 1
+    power = np.full(len(data) + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    back = np.full(len(data) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    return ((total[width:] - total[:n]) * back[:n]).view(np.int64)
+
+
+def jumps(places: np.ndarray, size: int, at: int) -> list[int]:
+    """The places chosen from ``at`` on, left to right: the next one that no chosen block covers."""
+    out = []
+    i = int(np.searchsorted(places, at))
+    while i < len(places):
+        out.append(int(places[i]))
+        i = int(np.searchsorted(places, places[i] + size))
+    return out
+
+
+def _ranged(pairs: DataFrame, key: str, new: str) -> DataFrame:
+    """New files in ranges of at least ``RANGE_BYTES`` with what a window may reach beyond them."""
+    rows = pairs.select(key, "size", F.encode(new, "UTF-8").alias("_data"))
+    span = F.greatest(F.col("size"), F.lit(RANGE_BYTES))
+    rows = rows.withColumn("span", span).withColumn("n", F.octet_length("_data").cast("long"))
+    rows = rows.where("n >= size").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - F.col("size")) / F.col("span")))))
+    part = F.substring(F.col("_data"), (F.col("r") * F.col("span") + 1).cast("int"), (F.col("span") + F.col("size") - 1).cast("int"))
+    return rows.select(key, "r", "size", "span", part.alias("part"))
+
+
+def _hits(second: Callable[[np.ndarray, int], np.ndarray]):
+    """Of each range the places whose window has the weak hash, and then the second hash, of a block,
+    and where the next range is entered: for each entry that makes a difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in range(batch.num_rows):
-                k, o, n = (batch.column(i)[row].as_py() for i in range(3))
-                o, n = (o or "").encode(), (n or "").encode()
-                size = max(700, min(131072, int(len(o) ** 0.5)))
-                plan = tokens_of(o, n, size)
-                rebuilt = b"".join(d if i < 0 else o[i * size : (i + 1) * size] for i, d in plan)
-                rows.append((k, sum(i >= 0 for i, _ in plan), sum(len(d) for i, d in plan if i < 0), len(n), hashlib.sha256(rebuilt).digest() == hashlib.sha256(n).digest()))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], [key, "matched_blocks", "literal_bytes", "total_bytes", "verified"])
-
-    return pairs.select(F.col(key).cast("long").alias(key), old, new).mapInArrow(run, f"{key} long, matched_blocks long, literal_bytes long, total_bytes long, verified boolean")
+            for row in batch.to_pylist():
+                data, size, span = np.frombuffer(row["part"], np.uint8), row["size"], row["span"]
+                where = np.flatnonzero(np.isin(weak_hashes(data, size), np.array(row["weak"], np.int64)))
+                if len(where):
+                    where = where[np.isin(second(data, size)[where], np.array(row["second"], np.int64))]
+                if row["wrong"]:
+                    where = np.setdiff1d(where, np.array(row["wrong"], np.int64) - row["r"] * span)
+                enter, leave = [], []
+                for p in [*where[where < size].tolist(), size - 1]:
+                    chosen = jumps(where, size, p)
+                    enter.append(p)
+                    leave.append(max(chosen[-1] + size - span, 0) if chosen else 0)
+                    if len(leave) > 1 and leave[-1] == leave[-2]:
+                        enter.pop(-2), leave.pop(-2)
+                yield pa.RecordBatch.from_pylist([{"key": row["key"], "r": row["r"], "places": where.tolist(), "enter": enter, "leave": leave}], schema=_HITS)
+
+    return run
+
+
+_HITS = pa.schema([("key", pa.int64()), ("r", pa.int64()), ("places", pa.list_(pa.int64())), ("enter", pa.list_(pa.int64())), ("leave", pa.list_(pa.int64()))])
+
+
+def _entries(table: pa.Table) -> pa.Table:
+    """Where each range of a file is entered; ranges are rows of a few numbers."""
+    table = table.sort_by("r")
+    at, out = 0, []
+    for enter, leave in zip(table.column("enter").to_pylist(), table.column("leave").to_pylist()):
+        out.append(at)
+        i = int(np.searchsorted(enter, at))
+        at = leave[i] if i < len(enter) else 0
+    return pa.table({"key": table.column("key"), "r": table.column("r"), "at": pa.array(out, pa.int64())})
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            start = row["r"] * row["span"]
+            found = jumps(np.array(row["places"], np.int64), row["size"], row["at"])
+            strong = [hashlib.sha256(row["part"][p : p + row["size"]]).hexdigest() for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(found), pa.int64()), pa.array([start + p for p in found], pa.int64()), pa.array(strong, pa.string())], ["key", "place", "strong"])
+
+
+def shifted_tokens(pairs: DataFrame, key: str, old: str = "old", new: str = "new", second: Callable[[np.ndarray, int], np.ndarray] = window_hashes) -> DataFrame:
+    """(key, place, block): blocks of ``old`` found at any byte of ``new``, chosen left to right.
+
+    A new file is many ranges, each a row with the reach of one block beyond it, so that every
+    window lies in one.  A range finds its places by weak hash and then by a second rolling hash;
+    for every way of entering it, it knows where the next one is entered, and a file's entries
+    follow from those few numbers.  Chosen places are confirmed by SHA-256; one that the hashes
+    have wrongly suggested is struck out and the choice made again.  A block at its own place is
+    preferred to others of the same content, else the first."""
+    pairs = pairs.select(F.col(key).cast("long").alias("key"), F.coalesce(old, F.lit("")).alias("old"), F.coalesce(new, F.lit("")).alias("new")).withColumn("size", fn.block_size(F.octet_length("old")).cast("long"))
+    ship(pairs.sparkSession)
+    blocks_ = settle(_whole_blocks(pairs, second))
+    known = blocks_.groupBy("key").agg(F.collect_set("weak").alias("weak"), F.collect_set("second").alias("second"))  # the square root of a file's bytes
+    ranges = settle(_ranged(pairs, "key", "new").join(known, "key").repartition(F.col("key"), F.col("r")))
+    schema = "key long, r long, places array<long>, enter array<long>, leave array<long>"
+    wrong = pairs.sparkSession.createDataFrame([], "key long, place long")
+    while True:
+        struck = ranges.select("key", "r", "span").join(wrong, "key").where("place between r * span and (r + 2) * span").groupBy("key", "r").agg(F.collect_list("place").alias("wrong"))
+        hits = settle(ranges.join(struck, ["key", "r"], "left").mapInArrow(_hits(second), schema))
+        entries = hits.select("key", "r", "enter", "leave").groupBy("key").applyInArrow(_entries, "key long, r long, at long")
+        rows = ranges.drop("weak", "second").join(hits.select("key", "r", "places"), ["key", "r"]).join(entries, ["key", "r"])
+        found = settle(rows.mapInArrow(_chosen, "key long, place long, strong string"))
+        which = blocks_.groupBy("key", "strong").agg(F.min("index").alias("first"))
+        own = blocks_.select("key", F.col("strong").alias("own"), F.col("index").alias("_i"))
+        size = pairs.select("key", "size").distinct()
+        found = found.join(size, "key").withColumn("_i", F.when(F.col("place") % F.col("size") == 0, F.floor(F.col("place") / F.col("size"))))
+        found = settle(found.join(which, ["key", "strong"], "left").join(own, ["key", "_i"], "left").select("key", "place", "size", F.when(F.col("own") == F.col("strong"), F.col("_i")).otherwise(F.col("first")).alias("block")))
+        bad = found.where("block is null").select("key", "place")
+        if not bad.limit(1).count():
+            return found
+        wrong = settle(wrong.union(bad))
+
+
+def _whole_blocks(pairs: DataFrame, hashes: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """Whole blocks of the old files: index, both rolling hashes and SHA-256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, size = row["data"], row["size"]
+                many = len(data) // size
+                parts = [data[i * size : (i + 1) * size] for i in range(many)]
+                second = [int(hashes(np.frombuffer(p, np.uint8), size)[0]) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * many, pa.int64()), pa.array(range(many), pa.int64()), pa.array(block_hashes(data[: many * size], size)), pa.array(second, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())], ["key", "index", "weak", "second", "strong"])
+
+    return pairs.select("key", "size", F.encode("old", "UTF-8").alias("data")).mapInArrow(run, "key long, index long, weak long, second long, strong string")
+
+
+def shifted_plan(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:
+    """Totals of ``shifted_tokens`` and of the old file's rest at the new one's end, per pair."""
+    found = shifted_tokens(pairs, key, old, new).groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes"), F.max(F.col("place") + F.col("size")).alias("_at"))
+    o, n = (F.encode(F.coalesce(c, F.lit("")), "UTF-8") for c in (old, new))
+    rows = pairs.select(F.col(key).cast("long").alias("key"), o.alias("o"), n.alias("n"), fn.block_size(F.octet_length(o)).cast("long").alias("size"))
+    rows = rows.withColumn("rest", (F.octet_length("o") % F.col("size")).cast("int")).withColumn("total", F.octet_length("n").cast("long"))
+    tail = lambda c: F.expr(f"substring({c}, cast(octet_length({c}) - rest + 1 as int), rest)")
+    rows = rows.join(found, "key", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("_n", "_bytes", "_at")})
+    ends = (F.col("rest") > 0) & (F.col("total") - F.col("rest") >= F.col("_at")) & (tail("o") == tail("n"))
+    return rows.select(F.col("key").alias(key), (F.col("_n") + ends.cast("long")).alias("matched_blocks"), (F.col("total") - F.col("_bytes") - F.when(ends, F.col("rest")).otherwise(0)).alias("literal_bytes"), F.col("total").alias("total_bytes"))
 
 
 def rebuild(tokens: DataFrame, old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -176,14 +176,6 @@ def test_generation_policy(spark):
     assert got[5, 2].mode == "full" and got[5, 2].reasons == "baseline_unavailable"
 
 
-@pytest.mark.parametrize("old,new", [(b"", b""), (b"", b"abc"), (b"abc" * 900, b"abc" * 900), (bytes(range(256)) * 20, b"x" + bytes(range(256)) * 20), (b"1" * 700 + b"2" * 700, b"2" * 700 + b"1" * 700), (b"a" * 1500, b"b" * 1500), (b"q" * 701, b"q" * 701)])
-def test_delta_round_trip(old, new):
-    tokens = delta.tokens_of(old, new, 700)
-    assert b"".join(d if i < 0 else old[i * 700 : (i + 1) * 700] for i, d in tokens) == new
-    if old == new and len(old) % 700 == 0:
-        assert all(i >= 0 for i, _ in tokens)
-
-
 def test_golden_classes_partition_the_stage(spark):
     t = Tables(spark, "/root/testdata/sf0.01")
     assert (t("base").count(), t("work").count(), t("versions").count()) == (14700, 14594, 59405)
