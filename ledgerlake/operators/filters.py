@@ -116,7 +116,7 @@ def catalogue(df: DataFrame, is_dir: bool | None = None, is_symlink: bool | None
     if is_symlink is not None:
         df = df.where(F.col("is_symlink") == is_symlink)
     if suffix:
-        df = df.where(F.col("relative_path").ilike(f"%{suffix}"))
+        df = df.where(F.lower("relative_path").endswith(suffix.lower()))
     return df.where("confirmed") if confirmed_only else df
 
 

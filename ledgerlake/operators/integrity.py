@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import depth, name, parent
 
 DATA_LABELS = ("entry_kind", "size", "mtime")
+OWNERSHIP = ("uid", "gid", "mode", "hdfs_owner", "hdfs_group")
 CONTENT_LABELS = ("entry_kind", "size", "read_length", "stream_offset", "content", "mtime")
 
 
@@ -21,16 +22,18 @@ def mtime_equal(a: Column, b: Column, mode: str = "exact", tolerance_ms: int = 0
 
 
 def quick_check(source: DataFrame, target: DataFrame, mode: str = "exact", tolerance_ms: int = 0, content: bool = False) -> DataFrame:
-    """Per source entry: ``ok``, ``missing`` or ``mismatch`` with its labels; data labels hide metadata ones."""
+    """Per source entry: ``ok``, ``missing`` or ``mismatch`` with its labels; data labels (kind, size,
+    content) hide metadata ones (time, then ownership where both sides know it)."""
     t = target.select(*[F.col(x).alias(x if x == "relative_path" else f"t_{x}") for x in target.columns]).withColumn("_seen", F.lit(True))
     j = source.join(t, "relative_path", "left")
     known = lambda x: F.col(x).isNotNull() & F.col(f"t_{x}").isNotNull() & (F.col(x) != F.col(f"t_{x}"))
     same_kind = F.col("entry_kind") == F.col("t_entry_kind")
-    data = [F.when(~same_kind, "entry_kind"), F.when(same_kind & (F.col("entry_kind") != "directory") & (F.col("size") != F.col("t_size")), "size"), F.when(~mtime_equal(F.col("mtime_ns"), F.col("t_mtime_ns"), mode, tolerance_ms), "mtime")]
+    data = [F.when(~same_kind, "entry_kind"), F.when(same_kind & (F.col("entry_kind") != "directory") & (F.col("size") != F.col("t_size")), "size")]
     if content:
         data.append(F.when(F.sha2("content", 256) != F.sha2("t_content", 256), "content"))
-    meta = [F.when(known(x), x) for x in ("uid", "gid", "mode") if x in source.columns]
-    found, extra = F.array_compact(F.array(*data)), F.array_compact(F.array(*meta)) if meta else F.array().cast("array<string>")
+    meta = [F.when(~mtime_equal(F.col("mtime_ns"), F.col("t_mtime_ns"), mode, tolerance_ms), "mtime")]
+    meta += [F.when(known(x), x) for x in OWNERSHIP if x in source.columns and x in target.columns]
+    found, extra = F.array_compact(F.array(*data)), F.array_compact(F.array(*meta))
     labels = F.when(F.size(found) > 0, found).otherwise(extra)
     missing = F.col("_seen").isNull()
     return j.select(*source.columns, F.when(missing, "missing").when(F.size(labels) > 0, "mismatch").otherwise("ok").alias("status"), F.when(~missing, labels).otherwise(F.array().cast("array<string>")).alias("labels"))

@@ -95,26 +95,56 @@ def report(df: DataFrame, as_of_ns: int) -> DataFrame:
     total = rows.groupBy("part").agg(F.sum("bytes").alias("_b"), F.sum("entries").alias("_n"))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = rows.join(F.broadcast(total), "part")
-    return out.select("part", "bucket", "label", "bytes", "entries", F.round(safe(F.col("entries") * 100.0, F.col("_n")), 4).alias("count_pct"), F.round(safe(F.col("bytes") * 100.0, F.col("_b")), 4).alias("bytes_pct"), F.round(safe(F.col("bytes") * 1.0, F.col("entries")), 4).alias("avg_bytes"))
-
-
-def scan_counts(contributions: DataFrame) -> DataFrame:
-    """The latest contribution of each directory replaces its earlier ones; then totals."""
-    last = latest_by_key(contributions, ["dir"], "seq")
-    return last.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("scanned", "filtered", "retained", "failed", "vanished")], F.count(F.lit(1)).alias("directories"))
-
-
-def checkpoint_valid(contributions: DataFrame) -> DataFrame:
-    total = scan_counts(contributions)
-    return total.withColumn("valid", F.col("scanned") == F.col("filtered") + F.col("retained") + F.col("failed") + F.col("vanished"))
+    out = out.select("part", "bucket", "label", "bytes", "entries", F.round(safe(F.col("entries") * 100.0, F.col("_n")), 4).alias("count_pct"), F.round(safe(F.col("bytes") * 100.0, F.col("_b")), 4).alias("bytes_pct"), F.round(safe(F.col("bytes") * 1.0, F.col("entries")), 4).alias("avg_bytes"))
+    # The job's averages: bytes a file, name length an entry, depth a directory.
+    job = summary_counts(df).withColumn("_entries", F.col("dirs") + F.col("files") + F.col("links"))
+    parts = [("file_size", "file_bytes", "files"), ("name_length", "total_name", "_entries"), ("directory_depth", "total_depth", "dirs")]
+    made = F.explode(F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(x).alias("label"), F.coalesce(a, F.lit(0)).cast("long").alias("bytes"), F.col(n).alias("entries")) for i, (x, a, n) in enumerate(parts))))
+    job = job.select(made.alias("m")).select(F.lit("average").alias("part"), "m.*").withColumns({"count_pct": F.lit(0.0), "bytes_pct": F.lit(0.0), "avg_bytes": F.round(safe(F.col("bytes") * 1.0, F.col("entries")), 4)})
+    return out.unionByName(job)
+
+
+KINDS = ("files", "dirs", "links")
+COUNTERS = ("scanned", "filtered", "retained", "failed", "vanished")
+AMOUNTS = ("pruned_directories", "truncated_directories", "regular_file_bytes", "unknown_file_sizes", "versions", "delete_markers", "all_versions_bytes")
+OUTCOMES = ("complete", "interrupted", "unreadable")
+
+
+def scan_counts(contributions: DataFrame, *by: str) -> DataFrame:
+    """The latest contribution of each directory replaces its earlier ones; then totals, per job where
+    ``by`` names it: counters by kind and over all kinds, amounts, and listings by their outcome."""
+    last = latest_by_key(contributions, [*by, "dir"], "seq")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    kinds = [total(f"{c}_{k}").alias(f"{c}_{k}") for c in COUNTERS for k in KINDS]
+    whole = [total(sum((F.col(f"{c}_{k}") for k in KINDS[1:]), F.col(f"{c}_{KINDS[0]}"))).alias(c) for c in COUNTERS]
+    listings = [F.count_if(F.col("outcome") == x).alias(f"{x}_listings") for x in OUTCOMES]
+    return last.groupBy(*by).agg(*kinds, *whole, *[total(x).alias(x) for x in AMOUNTS], *listings, F.count_if("vanished_listing").alias("vanished_listings"), F.count(F.lit(1)).alias("directories"))
+
+
+def checkpoint_valid(contributions: DataFrame, snapshots: DataFrame, *by: str) -> DataFrame:
+    """``snapshots`` (``by``, scanned_entries, filtered_entries, retained_entries, observed) with what is
+    wrong in them, if anything: by kind, all that was scanned is filtered, retained, failed or
+    vanished; a snapshot's own totals are those of its counters; what was observed is what it scanned."""
+    counts = scan_counts(contributions, *by)
+    accounted = lambda k: sum((F.col(f"{c}_{k}") for c in COUNTERS[2:]), F.col(f"{COUNTERS[1]}_{k}"))
+    kinds = F.array(*(F.when(F.col(f"scanned_{k}") != accounted(k), f"kinds:{k}") for k in KINDS))
+    own = F.array(*(F.when(F.col(f"{c}_entries") != F.coalesce(c, F.lit(0)), f"total:{c}") for c in COUNTERS[:3]), F.when(F.col("scanned_entries") != F.col("observed"), "observed"))
+    rows = snapshots.join(counts, list(by), "left")
+    return rows.withColumn("wrong", F.array_compact(F.concat(kinds, own))).select(*snapshots.columns, F.array_join("wrong", ",").alias("wrong"), (F.size("wrong") == 0).alias("valid"))
 
 
 def history_inventory(versions: DataFrame, latest_only: bool = False) -> DataFrame:
-    """Per key one logical entry: bytes of all versions (or the latest), and the size it is distributed by."""
+    """Per key its logical entry: bytes of all versions (or the latest), and the size it is distributed
+    by (the largest, or the latest).  An incomplete history has bytes but is not counted yet."""
     latest = F.max(F.when(F.col("is_latest"), F.col("size")))
     per = versions.groupBy("relative_path").agg(F.sum("size").alias("_all"), F.max("size").alias("_top"), latest.alias("_last"), F.count(F.lit(1)).alias("_n"), F.max("history_records").alias("_want"))
     used = (F.coalesce("_last", F.lit(0)), F.coalesce("_last", F.lit(0))) if latest_only else (F.col("_all"), F.col("_top"))
-    return per.select("relative_path", used[0].cast("long").alias("bytes"), used[1].cast("long").alias("distribution_size"), F.col("_n").alias("records"), (F.col("_n") == F.col("_want")).alias("complete"))
+    return per.select("relative_path", used[0].cast("long").alias("bytes"), used[1].cast("long").alias("distribution_size"), F.col("_n").alias("records"), (F.col("_n") == F.col("_want")).cast("long").alias("entries"))
+
+
+def inventory_totals(inventory: DataFrame) -> DataFrame:
+    """Counted entries and all bytes, by the size bucket that each key is distributed to."""
+    return inventory.groupBy(fn.size_bucket("distribution_size").alias("bucket")).agg(F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"))
 
 
 def merge_change(changes: DataFrame) -> DataFrame:
@@ -141,17 +171,23 @@ def count_latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return latest_by_key(df, keys, version).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def archive_plan(df: DataFrame, allowed: Callable[[Column], Column], extra_depth: int = 0, max_depth: int = 0) -> DataFrame:
-    """Archive units: files by their first date-named ancestor that passes ``allowed``, that many
-    levels deeper; per unit its tar path, entries and bytes.  Units deeper than ``max_depth`` are dropped."""
+def archive_manifest(df: DataFrame, allowed: Callable[[Column], Column], extra_depth: int = 0, max_depth: int = 0) -> DataFrame:
+    """Every packed file with the archive it goes to: that of its first date-named ancestor that passes
+    ``allowed``, as many levels deeper.  Archives deeper than ``max_depth`` (0: unlimited) are not made."""
     from .filters import has_date
 
     parts = F.split("relative_path", "/")
     at = F.array_position(F.transform(fn.ancestors("relative_path"), lambda d: F.coalesce(has_date(fn.name(d)) & allowed(d), F.lit(False))), F.lit(True))
-    units = df.where("is_regular_file").select("size", parts.alias("parts"), F.least(at + extra_depth, F.size(parts) - 1).cast("int").alias("unit_depth"), at.alias("at")).where("at > 0")
+    units = df.where("is_regular_file").select("relative_path", "size", parts.alias("parts"), F.least(at + extra_depth, F.size(parts) - 1).cast("int").alias("unit_depth"), at.alias("at")).where("at > 0")
     units = units.where(F.col("unit_depth") <= max_depth) if max_depth else units
     unit = F.array_join(F.slice("parts", F.lit(1), F.col("unit_depth")), "/")
-    return units.groupBy(F.concat(unit, F.lit(".tar")).alias("tar_path")).agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
+    inside = F.array_join(F.slice("parts", F.col("unit_depth") + 1, F.size("parts")), "/")
+    return units.select(F.concat(unit, F.lit(".tar")).alias("tar_path"), F.col("relative_path").alias("entry_path"), inside.alias("member"), "size")
+
+
+def archive_plan(manifest: DataFrame) -> DataFrame:
+    """Archives with their entries and bytes; a manifest needs no join back, it is the plan's rows."""
+    return manifest.groupBy("tar_path").agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
 
 
 def execution_pick(runs: DataFrame) -> DataFrame:

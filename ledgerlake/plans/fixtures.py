@@ -93,6 +93,11 @@ FROM {{work}} w""",
  c_custkey%5<>0 AS baseline_prepared, c_custkey%11<>0 AS retains_source, concat('b',CAST(c_nationkey AS STRING),CASE WHEN c_custkey%31=0 THEN 'x' ELSE '' END) AS binding, concat('c',CAST(floor(c_custkey/40) AS STRING)) AS contract,
  concat('s',CAST(c_custkey%3 AS STRING)) AS selection_key, c_custkey%3=1 AS filtered, c_custkey%13=0 AS relative_time, c_custkey%17=0 AS delete_target, c_custkey%6<>0 AS baseline_available FROM {customer}""",
     "dir_stats": """SELECT l_suppkey AS dir, l_orderkey*10+l_linenumber AS seq, CAST(l_quantity AS BIGINT) AS scanned, CAST(l_quantity AS BIGINT)%3 AS filtered, CAST(l_quantity AS BIGINT)%2 AS failed, CASE WHEN l_orderkey%19=0 THEN 1 ELSE 0 END AS vanished FROM {lineitem}""",
+    "dir_counts": """SELECT dir, dir%7 AS job, seq, q AS scanned_files, q%3 AS filtered_files, q-q%3-q%2-v + CASE WHEN dir%7=4 AND q%5=0 THEN 1 ELSE 0 END AS retained_files, q%2 AS failed_files, v AS vanished_files,
+ q%5+1 AS scanned_dirs, 1 AS filtered_dirs, q%5 AS retained_dirs, 0 AS failed_dirs, 0 AS vanished_dirs, q%4 AS scanned_links, 0 AS filtered_links, q%4 - CASE WHEN dir%7=4 AND q%5=0 THEN 1 ELSE 0 END AS retained_links, 0 AS failed_links, 0 AS vanished_links,
+ q%2 AS pruned_directories, CASE WHEN q>45 THEN 1 ELSE 0 END AS truncated_directories, q*1000 AS regular_file_bytes, q%6 AS unknown_file_sizes, q*2 AS versions, q%8 AS delete_markers, q*3000 AS all_versions_bytes,
+ CASE WHEN q%9=0 THEN 'interrupted' WHEN q%10=0 THEN 'unreadable' WHEN q%11<>0 THEN 'complete' END AS outcome, q%13=0 AS vanished_listing FROM (
+ SELECT l_suppkey AS dir, l_orderkey*10+l_linenumber AS seq, CAST(max(l_quantity) AS BIGINT) AS q, CASE WHEN l_orderkey%19=0 THEN 1 ELSE 0 END AS v FROM {lineitem} GROUP BY l_suppkey, l_orderkey, l_linenumber) x""",
     "big_catalogue": """SELECT l_orderkey*16+rn AS k, concat(CAST(l_suppkey%50 AS STRING),'/',CAST(year(l_shipdate) AS STRING),'/',CAST(month(l_shipdate) AS STRING),'/f_',CAST(l_orderkey AS STRING),'_',CAST(rn AS STRING),CASE l_partkey%3 WHEN 0 THEN '.csv' WHEN 1 THEN '.LOG' ELSE '' END) AS relative_path,
  CASE l_partkey%3 WHEN 0 THEN 'csv' WHEN 1 THEN 'LOG' END AS ext, CAST(floor(l_extendedprice) AS BIGINT) AS size, US(l_shipdate)*1000 AS mtime_ns, CASE WHEN l_partkey%7=0 THEN NULL ELSE 420 END AS mode, CAST(l_suppkey AS BIGINT) AS uid,
  CASE WHEN l_partkey%6=0 THEN NULL ELSE concat('54534934',CAST(l_orderkey AS STRING),'_',CAST(rn AS STRING)) END AS file_handle

@@ -64,7 +64,9 @@ def _labels(part: str, labels) -> str:
 
 @query("entries", sql=f"""d AS ({_labels('size', fn.SIZE_LABELS)} UNION ALL {_labels('age', fn.AGE_LABELS)}), f AS (SELECT 'size' AS part, {SIZE_SQL} AS bucket, {SUMS} FROM entries WHERE is_regular_file GROUP BY 2 UNION ALL SELECT 'age', {AGE_SQL}, {SUMS} FROM entries GROUP BY 2),
 r AS (SELECT d.part, d.bucket, d.label, coalesce(bytes,0) AS bytes, coalesce(entries,0) AS entries FROM d LEFT JOIN f ON f.part=d.part AND f.bucket=d.bucket)
-SELECT *, round(entries*100.0::DOUBLE/sum(entries) OVER (PARTITION BY part),4) AS count_pct, round(bytes*100.0::DOUBLE/sum(bytes) OVER (PARTITION BY part),4) AS bytes_pct, round(CASE WHEN entries>0 THEN bytes*1.0::DOUBLE/entries ELSE 0 END,4) AS avg_bytes FROM r""")
+SELECT *, round(entries*100.0::DOUBLE/sum(entries) OVER (PARTITION BY part),4) AS count_pct, round(bytes*100.0::DOUBLE/sum(bytes) OVER (PARTITION BY part),4) AS bytes_pct, round(CASE WHEN entries>0 THEN bytes*1.0::DOUBLE/entries ELSE 0 END,4) AS avg_bytes FROM r
+UNION ALL SELECT 'average', b, x, n, m, 0.0, 0.0, round(CASE WHEN m>0 THEN n*1.0::DOUBLE/m ELSE 0 END,4) FROM (SELECT 0 AS b, 'file_size' AS x, CAST(sum(size) FILTER (WHERE is_regular_file) AS BIGINT) AS n, count(*) FILTER (WHERE is_regular_file) AS m FROM entries
+ UNION ALL SELECT 1, 'name_length', CAST(sum(strlen(string_split(relative_path,'/')[-1])) AS BIGINT), count(*) FROM entries UNION ALL SELECT 2, 'directory_depth', CAST(sum(len(string_split(relative_path,'/'))) FILTER (WHERE is_dir) AS BIGINT), count(*) FILTER (WHERE is_dir) FROM entries)""")
 def agg_report(t: Tables):
     return stats.report(t("entries"), AS_OF_NS)
 
@@ -78,19 +80,33 @@ def dir_stats(t: Tables):
     return t.spark.sql(_DIRS, d=t("dir_stats")).withColumn("retained", F.expr("scanned-filtered-failed-vanished"))
 
 
-@query("dir_stats", sql=_DS + " SELECT * FROM s")
+_SUMS = ", ".join([f"CAST(sum({c}_{k}) AS BIGINT) AS {c}_{k}" for c in stats.COUNTERS for k in stats.KINDS] + [f"CAST(sum({'+'.join(f'{c}_{k}' for k in stats.KINDS)}) AS BIGINT) AS {c}" for c in stats.COUNTERS] + [f"CAST(sum({x}) AS BIGINT) AS {x}" for x in stats.AMOUNTS] + [f"count(*) FILTER (WHERE outcome='{x}') AS {x}_listings" for x in stats.OUTCOMES] + ["count(*) FILTER (WHERE vanished_listing) AS vanished_listings", "count(*) AS directories"])
+_COUNTS = f"l AS (SELECT * FROM dir_counts QUALIFY row_number() OVER (PARTITION BY job, dir ORDER BY seq DESC)=1), s AS (SELECT job, {_SUMS} FROM l GROUP BY 1)"
+_DECLARED = "job, scanned - CASE WHEN job=3 THEN 1 ELSE 0 END AS scanned_entries, filtered + CASE WHEN job=2 THEN 1 ELSE 0 END AS filtered_entries, retained AS retained_entries, scanned + CASE WHEN job=1 THEN 1 ELSE 0 END AS observed"
+
+
+@query("dir_counts", sql=_COUNTS + " SELECT * FROM s")
 def agg_scan_counts(t: Tables):
-    return stats.scan_counts(dir_stats(t))
+    return stats.scan_counts(t("dir_counts"), "job")
 
 
-@query("dir_stats", sql=_DS + " SELECT *, scanned=filtered+retained+failed+vanished AS valid FROM s")
+@query("dir_counts", sql=f"""{_COUNTS}, d AS (SELECT {_DECLARED} FROM s), w AS (SELECT d.*, concat_ws(',', {", ".join(f"CASE WHEN scanned_{k}<>filtered_{k}+retained_{k}+failed_{k}+vanished_{k} THEN 'kinds:{k}' END" for k in stats.KINDS)}, {", ".join(f"CASE WHEN {c}_entries<>{c} THEN 'total:{c}' END" for c in stats.COUNTERS[:3])}, CASE WHEN scanned_entries<>observed THEN 'observed' END) AS wrong FROM d JOIN s USING (job)) SELECT *, wrong='' AS valid FROM w""")
 def agg_checkpoint_valid(t: Tables):
-    return stats.checkpoint_valid(dir_stats(t))
+    """One job observed more than it scanned, one declares too many filtered, one too few scanned, one
+    has entries of one kind under another."""
+    declared = t.spark.sql(f"SELECT {_DECLARED} FROM {{s}}", s=stats.scan_counts(t("dir_counts"), "job"))
+    return stats.checkpoint_valid(t("dir_counts"), declared, "job")
 
 
-@query("versions", sql="SELECT relative_path, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS distribution_size, count(*) AS records, count(*)=max(history_records) AS complete FROM versions GROUP BY 1")
+@query("versions", sql="v AS (SELECT relative_path, CAST(sum(size) AS BIGINT) AS all_, max(size) AS top, coalesce(max(size) FILTER (WHERE is_latest),0) AS last, count(*) AS records, CASE WHEN count(*)=max(history_records) THEN 1 ELSE 0 END AS entries FROM versions GROUP BY 1) SELECT 'all' AS counted, relative_path, all_ AS bytes, top AS distribution_size, records, entries FROM v UNION ALL SELECT 'latest', relative_path, last, last, records, entries FROM v")
 def agg_history_inventory(t: Tables):
-    return stats.history_inventory(t("versions"))
+    every, latest = (stats.history_inventory(t("versions"), x) for x in (False, True))
+    return every.select(F.lit("all").alias("counted"), "*").unionByName(latest.select(F.lit("latest").alias("counted"), "*"))
+
+
+@query("versions", sql="v AS (SELECT sum(size) AS b, max(size) AS size, CASE WHEN count(*)=max(history_records) THEN 1 ELSE 0 END AS n FROM versions GROUP BY relative_path) SELECT " + SIZE_SQL + " AS bucket, CAST(sum(n) AS BIGINT) AS entries, CAST(sum(b) AS BIGINT) AS bytes FROM v GROUP BY 1")
+def agg_history_totals(t: Tables):
+    return stats.inventory_totals(stats.history_inventory(t("versions")))
 
 
 @query("versions", sql="SELECT relative_path, CASE WHEN min(c)=max(c) THEN min(c) ELSE 'both_changed' END AS change FROM (SELECT relative_path, CASE size%3 WHEN 0 THEN 'new' WHEN 1 THEN 'data_changed' ELSE 'metadata_changed' END AS c FROM versions) GROUP BY 1")
@@ -154,10 +170,23 @@ def agg_count(t: Tables):
 _ARCH = "CASE k%4 WHEN 0 THEN concat('a/1995-0',CAST(1+k%9 AS STRING),'-11/b/c/',CAST(k AS STRING)) WHEN 1 THEN concat('x/',CAST(k%5 AS STRING),'/d19960',CAST(1+k%9 AS STRING),'12/',CAST(k AS STRING)) WHEN 2 THEN concat('skip2001-01-01/',CAST(k AS STRING)) ELSE relative_path END"
 
 
-@query("entries", sql=f"p AS (SELECT q, string_split(q,'/') AS s, size FROM (SELECT {_ARCH} AS q, size, is_regular_file FROM entries) WHERE is_regular_file AND NOT starts_with(q,'skip')), u AS (SELECT CASE WHEN starts_with(q,'a/') OR starts_with(q,'x/') THEN array_to_string(list_slice(s,1,3),'/') END AS unit, size FROM p) SELECT concat(unit,'.tar') AS tar_path, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM u WHERE unit IS NOT NULL GROUP BY 1")
-def agg_archive_plan(t: Tables):
+_UNITS = f"p AS (SELECT q, string_split(q,'/') AS s, size FROM (SELECT {_ARCH} AS q, size, is_regular_file FROM entries) WHERE is_regular_file AND (starts_with(q,'a/') OR starts_with(q,'x/'))), u AS (SELECT concat(array_to_string(list_slice(s,1,3),'/'),'.tar') AS tar_path, q AS entry_path, array_to_string(list_slice(s,4,len(s)),'/') AS member, size FROM p)"
+
+
+def _manifest(t: Tables, **bounds):
     # Under a/ the unit lies one level deeper than its date; under x/ the file's own directory bounds it.
-    return stats.archive_plan(t("entries").withColumn("relative_path", F.expr(_ARCH)), lambda d: ~d.startswith("skip"), extra_depth=1)
+    return stats.archive_manifest(t("entries").withColumn("relative_path", F.expr(_ARCH)), lambda d: ~d.startswith("skip"), **bounds)
+
+
+@query("entries", sql=_UNITS + " SELECT tar_path, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY 1")
+def agg_archive_plan(t: Tables):
+    return stats.archive_plan(_manifest(t, extra_depth=1))
+
+
+@query("entries", sql=_UNITS + " SELECT tar_path, entry_path, member, size FROM u WHERE starts_with(tar_path, 'x/') OR len(string_split(tar_path,'/'))<=2")
+def agg_archive_manifest(t: Tables):
+    """Archives at most three levels deep; at two levels more those under a/ would lie deeper."""
+    return _manifest(t, extra_depth=2, max_depth=3)
 
 
 @query("copy_runs", sql="SELECT job_id, coalesce(max_by(execution_id, sequence) FILTER (WHERE phase='completed'), min_by(execution_id, sequence)) AS execution_id FROM copy_runs GROUP BY 1")
