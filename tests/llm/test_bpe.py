@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -37,6 +38,7 @@ def test_like_the_library(name, texts, monkeypatch):
         if small:
             monkeypatch.setattr(bpe, "CACHE_CHUNKS", 20)
             monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+            monkeypatch.setattr(bpe, "FOREST", 4)
         ids, lengths = code.encode(pa.array(texts, pa.string()))
         flat = iter(ids.tolist())
         assert [[next(flat) for _ in range(n)] for n in lengths] == want
@@ -71,6 +73,11 @@ def test_merge_is_leftmost_lowest():
             r, i = min(pairs)
             slow[i : i + 2] = [merged[r]]
         assert bpe.merge(list(word), ranks, merged) == slow
+        if word:
+            row = np.full((2, rng.randint(max(2, len(word)), 50)), -1, np.int64)
+            row[:, : len(word)] = word
+            done = bpe.merge_forest(row, np.array([len(word)] * 2), bpe.Ranks(ranks, merged))
+            assert [r[r >= 0].tolist() for r in done] == [slow] * 2
 
 
 def test_operator(spark, texts):
