@@ -166,6 +166,48 @@ def final_renames(old: DataFrame, live: DataFrame, log: DataFrame | None = None)
     return facts.select(*KEY, F.explode(F.array_compact(F.array(moved, gone))).alias("r")).select(*KEY, "r.*")
 
 
+def delta_events(stage: DataFrame, base: DataFrame) -> DataFrame:
+    """The round's events (op, weight, size and kind flags) for counting: ``classify`` and
+    ``final_renames`` of both sides in one full join and one grouping by handle.
+
+    Every staged row counts by its class and every row that is gone or displaced as deleted.  A
+    handle that is a rename then takes both of its rows back and counts one rename: weights of -1.
+    Handles are grouped over numbers alone; keys are told apart by 128 bits of hashes."""
+    flags = ("is_dir", "is_symlink", "is_regular_file")
+    new = stage.withColumn("_live", F.lit(True))
+    old = _prefixed(base, KEY).withColumn("_old", F.lit(True))
+    both = new.join(old, KEY, "full")
+    was, now = F.col("_old").isNotNull(), F.col("_live").isNotNull()
+    o, n = F.col("old_file_handle"), F.col("file_handle")
+    seen = was & F.coalesce(F.col("old_confirmed"), F.lit(False))
+    replaced = ~null_eq("file_handle", "old_file_handle") | (F.col("entry_kind") != F.col("old_entry_kind"))
+    kind = F.when(~seen | replaced, "new").otherwise(F.coalesce(change(), F.lit("unchanged")))
+    left = was & F.coalesce(~now | (o != n), F.lit(False))
+    fresh = now & (~was | (n.isNotNull() & ~null_eq("file_handle", "old_file_handle")))
+    row = lambda p: F.struct(F.col(f"{p}size").alias("size"), *(F.col(p + x).alias(x) for x in flags))
+    rows = both.select(
+        F.xxhash64(*KEY).alias("_k1"), F.xxhash64(F.lit(1), *KEY).alias("_k2"), n.alias("_n"), o.alias("_o"), F.when(now, F.array_position(F.array(*map(F.lit, CLASSES)), kind).cast("int")).alias("_class"), left.alias("_left"), fresh.alias("_fresh"), row("").alias("_new"), row("old_").alias("_was"),
+    )
+    events = F.array_compact(F.array(F.when(F.col("_class").isNotNull(), F.struct(F.col("_class").alias("class"), F.lit(1).alias("weight"), F.col("_new").alias("row"))), F.when(F.col("_left"), F.struct(F.lit(DELETED).alias("class"), F.lit(1).alias("weight"), F.col("_was").alias("row")))))
+    plain = rows.select(F.explode(events).alias("e")).select("e.class", "e.weight", "e.row.*")
+
+    role = lambda handle, gone, alive: F.struct(F.col(handle).alias("handle"), F.when(gone, F.col("_k1")).alias("k1"), F.when(gone, F.col("_k2")).alias("k2"), F.when(gone, F.col("_was")).alias("gone"), F.lit(alive).alias("alive"), F.when(~gone & F.col("_fresh"), F.col("_class")).alias("class"), F.when(~gone & F.col("_fresh"), F.col("_new")).alias("to"))
+    roles = F.array_compact(F.array(F.when(F.col("_left") & F.col("_o").isNotNull(), role("_o", F.lit(True), 0)), F.when(F.col("_class").isNotNull() & F.col("_n").isNotNull(), role("_n", F.lit(False), 1))))
+    per = rows.select(F.explode(roles).alias("r")).select("r.*").groupBy("handle").agg(
+        *(f(c).alias(f"{c}_{name}") for c in ("k1", "k2") for name, f in (("a", F.min), ("z", F.max))), F.sum("alive").alias("alive"), F.max("class").alias("class"),
+        *(F.max(F.col(f"{side}.{x}")).alias(f"{side}_{x}") for side in ("gone", "to") for x in ("size", *flags)),
+    )
+    moves = per.where("k1_a = k1_z and k2_a = k2_z and alive = 1 and class is not null")
+    taken = lambda side, code, weight: F.struct(code.alias("class"), F.lit(weight).alias("weight"), *(F.col(f"{side}_{x}").alias(x) for x in ("size", *flags)))
+    moved = moves.select(F.explode(F.array(taken("to", F.col("class"), -1), taken("to", F.lit(RENAMED), 1), taken("gone", F.lit(DELETED), -1))).alias("e")).select("e.*")
+    names = F.array(*map(F.lit, (*CLASSES, "deleted", "rename")))
+    return plain.unionByName(moved).withColumn("op", F.element_at(names, F.col("class"))).drop("class")
+
+
+CLASSES = ("new", "data_changed", "metadata_changed", "both_changed", "directory_marker_removed", "unchanged")
+DELETED, RENAMED = len(CLASSES) + 1, len(CLASSES) + 2
+
+
 def delete_or_rename(old: DataFrame, pending: DataFrame) -> DataFrame:
     """Copy mode: a gone row without handle is deleted; with one pending row of its handle and kind
     at another path it is renamed; with several it is ``ambiguous``."""

@@ -50,10 +50,12 @@ def by_size(df: DataFrame) -> DataFrame:
 def single_pass(df: DataFrame, as_of_ns: int, keys: list[str] | None = None, version: str = "copy_sequence") -> DataFrame:
     """Totals and all three distributions in one scan by grouping sets; with ``keys``, over the
     newest row of each."""
-    if keys:
-        df = latest_by_key(df.select(*keys, version, "size", "ext", "mtime_ns", "is_regular_file"), keys, version)
     regular = F.col("is_regular_file")
-    rows = df.select("size", F.when(regular, F.lower("ext")).alias("e"), fn.age_bucket("mtime_ns", as_of_ns).cast("string").alias("a"), F.when(regular, fn.size_bucket("size")).cast("string").alias("s"))
+    e, a, b = F.when(regular, F.lower("ext")), fn.age_bucket("mtime_ns", as_of_ns), F.when(regular, fn.size_bucket("size"))
+    rows = df.select("size", e.alias("e"), a.alias("a"), b.alias("s"), *(keys or []), *([version] if keys else []))
+    if keys:
+        rows = latest_by_key(rows, keys, version)
+    rows = rows.select("size", "e", F.col("a").cast("string").alias("a"), F.col("s").cast("string").alias("s"))
     sets = rows.groupingSets([[], ["e"], ["a"], ["s"]], "e", "a", "s").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("entries"), F.grouping_id().alias("g"))
     part = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "extension").when(F.col("g") == 5, "age").otherwise("size")
     key = F.coalesce("e", "a", "s")
@@ -67,13 +69,15 @@ def event_counts(events: DataFrame, since_us: int) -> DataFrame:
 DELTA = {"new": ["new"], "changed": ["data_changed", "metadata_changed", "both_changed", "directory_marker_removed"], "deleted": ["deleted"], "renamed": ["rename", "renamed"]}
 
 
-def delta_counts(events: DataFrame, op: str = "op") -> DataFrame:
-    """One row per kind of entry: counts and bytes of new, changed, deleted and renamed ones."""
+def delta_counts(events: DataFrame, op: str = "op", weight: str | None = None) -> DataFrame:
+    """One row per kind of entry: counts and bytes of new, changed, deleted and renamed ones.
+    ``weight`` is how often an event counts; 1 without it."""
     kind = F.when(F.col("is_dir"), "dirs").when(F.col("is_symlink"), "links").when(F.col("is_regular_file"), "files").otherwise("other")
+    times = F.col(weight) if weight else F.lit(1)
     aggs = []
     for out, ops in DELTA.items():
         hit = F.col(op).isin(*ops)
-        aggs += [_n(hit).alias(f"{out}_count"), _sum("size", hit).alias(f"{out}_bytes")]
+        aggs += [F.coalesce(F.sum(F.when(hit, times)), F.lit(0)).cast("long").alias(f"{out}_count"), F.coalesce(F.sum(F.when(hit, times * F.col("size"))), F.lit(0)).cast("long").alias(f"{out}_bytes")]
     return events.groupBy(kind.alias("kind")).agg(*aggs)
 
 

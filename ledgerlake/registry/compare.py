@@ -253,9 +253,4 @@ SELECT CASE WHEN is_dir THEN 'dirs' WHEN is_symlink THEN 'links' WHEN is_regular
 def agg_delta_counts(t: Tables):
     from ..operators import stats
 
-    kinds = ["size", "is_dir", "is_symlink", "is_regular_file"]
-    final = compare.final_renames(t("base_x"), t("work_x"))
-    moved = final.where("outcome = 'rename'").select(*compare.KEY, F.lit("rename").alias("moved"))
-    staged = compare.classify(t("work_x"), t("base_x")).join(moved, compare.KEY, "left").select(F.coalesce("moved", "change").alias("op"), *kinds)
-    gone = t("base_x").join(final.where("outcome = 'deleted'").select(*compare.KEY), compare.KEY).select(F.lit("deleted").alias("op"), *kinds)
-    return stats.delta_counts(staged.unionByName(gone))
+    return stats.delta_counts(compare.delta_events(t("work_x"), t("base_x")), weight="weight")
