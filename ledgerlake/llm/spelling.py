@@ -72,28 +72,24 @@ def letter_groups(many: int) -> list[str]:
     return groups
 
 
-def _projections(many: int, dropped: int) -> list[str]:
-    """A pattern for each choice of groups that takes their letters away; the last group has
-    all letters outside the table, so without it the pattern is all but the letters kept."""
+def _projections(many: int) -> list[Column]:
+    """A word's sorted letters of each group; the last group has all letters outside the table too."""
     groups = letter_groups(many)
-    out = []
-    for drop in combinations(range(many), dropped):
-        kept = "".join(groups[g] for g in range(many) if g not in drop)
-        out.append(f"[^{kept}]+" if many - 1 in drop else f"[{''.join(groups[g] for g in drop)}]+")
-    return out
+    patterns = [f"[^{g}]+" for g in groups[:-1]] + [f"[{''.join(groups[:-1])}]+"]
+    return [F.regexp_replace("letters", p, "").alias(f"g{many}_{i}") for i, p in enumerate(patterns)]
 
 
 def signatures(side: int) -> Column:
     """The word's signatures as one side of a pair: an array of hashes.  Verification follows, so
     that a hash stands for the signature costs a comparison at most."""
+    many, dropped = GROUPS[side]
     n = F.col("len") - (1 if side == LONGER else 0)
     half = F.floor(n / 2).cast("int")
     halves = [F.substr("word", F.lit(1), half), F.substr("word", half + (2 if side == LONGER else 1))]
     kind = SAME if side == SAME else SHORTER
     keys = []
-    for d, pattern in enumerate(_projections(*GROUPS[side])):
-        rest = F.regexp_replace("letters", pattern, "")
-        keys += [F.xxhash64(F.lit((kind * 100 + d) * 2 + h), n, part, rest) for h, part in enumerate(halves)]
+    for d, kept in enumerate(combinations(range(many), many - dropped)):
+        keys += [F.xxhash64(F.lit((kind * 100 + d) * 2 + h), n, part, *(F.col(f"g{many}_{g}") for g in kept)) for h, part in enumerate(halves)]
     return F.array(*keys)
 
 
@@ -118,6 +114,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs (word, n, near, near_n) of near words, in both directions, once each."""
     letters = F.array_join(F.array_sort(F.split("word", "")), "")
     base = words.select("word", "n", F.length("word").alias("len"), letters.alias("letters"))
+    base = base.select("word", "n", "len", *(p for many in sorted({many for many, _ in GROUPS.values()}) for p in _projections(many)))
     rows = base.select("word", "n", "len", F.explode(F.flatten(F.array(*map(_of_side, (SAME, SHORTER, LONGER))))).alias("s")).select("word", "n", "len", "s.*")
     some = rows.where(F.pmod(F.xxhash64("word"), F.lit(SAMPLE)) == 0)
     hot = settle(some.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SAMPLE_HOT).select("sig", F.lit(True).alias("hot")))
