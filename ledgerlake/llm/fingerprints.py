@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import shuffle_width
+from .words import slices
 from .workers import lean
 
 BUCKETS = 256
@@ -74,7 +75,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         made = []
         zone, ids, texts, guest = (batch.column(i).to_pylist() for i in range(4))
         for z, d, t, g in zip(zone, ids, texts, guest):
@@ -99,17 +100,26 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     n = shuffle_width(docs.sparkSession) * RANGES_PER_PARTITION
     facts = base.agg(F.percentile_approx("d", [k / n for k in range(1, n)] or [0.5], 10 * n).alias("q"), F.count("d").alias("with_id"), F.count(F.lit(1)).alias("all")).head()
-    # Where doubles tell ids apart.
-    hot = {float(c): k for c, k in Counter(facts["q"] or []).items() if k > 1 and abs(c) < 1 << 53}
-    # Ranges between cuts; a repeated cut has one of its own.
-    splits = [-math.inf, *sorted({float(c) for c in facts["q"] or []} | {c + 1 for c in hot}), math.inf]
+    cuts = Counter(int(c) for c in facts["q"] or [])
+    # Cuts are rounded to doubles; ids that hold a range or more are counted as they are, n of them at most.
+    near = [float(c) for c, k in cuts.items() if k > 1]
+    alike = base.where(F.col("d").cast("double").isin(near)).groupBy("d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * n >= facts["all"]) if near else None
+    hot = {r["d"]: max(1, round(r["c"] * n / facts["all"])) for r in alike.collect()} if near else {}
+    # Ranges between cuts; a hot id has one of its own.
+    splits = sorted(set(cuts) | set(hot) | {d + 1 for d in hot if d < (1 << 63) - 1})
     # Range 0 holds the largest ids, the last one those without; a range of one id has several parts by hash.
-    parts = [hot.get(c, 1) for c in splits[:-1]][::-1] + [max(1, n * (facts["all"] - facts["with_id"]) // max(1, facts["all"]))]
+    parts = [1, *(hot.get(c, 1) for c in splits)][::-1] + [max(1, n * (facts["all"] - facts["with_id"]) // max(1, facts["all"]))]
     starts = [sum(parts[:k]) for k in range(len(parts))]
     zones_of = docs.sparkSession.createDataFrame(list(zip(range(len(parts)), starts, parts)), "range int, first int, parts int")
+    # Doubles find the place among the cuts, longs decide among cuts of one double.
+    bounds = sorted({float(c) for c in splits})
+    same = [[c for c in splits if float(c) == x] for x in bounds]
+    before = [sum(map(len, same[:k])) for k in range(len(same))]
+    cut_of = docs.sparkSession.createDataFrame([(0.0, 0, []), *((float(k + 1), b, s) for k, (b, s) in enumerate(zip(before, same)))], "z double, before int, same array<long>")
     ranged = base.withColumn("x", F.col("d").cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="x", outputCol="z", handleInvalid="keep").transform(ranged) if len(splits) > 2 else ranged.withColumn("z", F.lit(0.0))
-    last = len(splits) - 2
+    ranged = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="x", outputCol="z", handleInvalid="keep").transform(ranged) if bounds else ranged.withColumn("z", F.lit(0.0))
+    ranged = ranged.join(F.broadcast(cut_of), "z", "left").withColumn("z", F.col("before") + F.size(F.filter("same", lambda c: c <= F.col("d"))))
+    last = len(splits)
     ranged = ranged.withColumn("range", F.when(F.col("d").isNull(), last + 1).otherwise(last - F.col("z")).cast("int"))
     # Hashes are even over their range, so parts of equal width hold about as many texts each.
     part = F.col("parts") - 1 - F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("parts") / F.lit(1 << 32))

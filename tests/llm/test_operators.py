@@ -431,6 +431,28 @@ def test_fingerprints(docs, texts, empty, spark, monkeypatch, per):
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abcd abcd").hexdigest()
 
 
+@pytest.mark.parametrize("hot", [7, (1 << 53) + 1, (1 << 62) + 3, -(1 << 61) - 5, (1 << 63) - 1])
+def test_fingerprints_of_large_ids(spark, hot):
+    """Ids that doubles do not tell apart keep their order; one that most rows have is spread over tasks."""
+    rng = random.Random(41)
+    rows = [(hot, f"text {i} {rng.random()}") for i in range(400)] + [(hot - k, f"near {k}") for k in range(1, 60)] + [(hot + k, f"above {k}") for k in range(1, 60) if hot + k < 1 << 63] + [(rng.randrange(-(1 << 63), 1 << 63), f"far {k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0], hashes[r[1]]), reverse=True)
+    want = Counter()
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[d, hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()] += 1
+    out = fingerprints.with_neighbours(docs)
+    assert Counter((r.doc_id, r.edited_sha256) for r in out.collect()) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per = [r["count"] for r in fingerprints.with_neighbours(docs).where(F.col("doc_id") == hot).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per) > 1 and max(per) < 390
+
+
 def test_fingerprints_of_an_id_that_most_rows_have(spark):
     texts = [(7 if i % 3 else None if i % 2 else i, f"text number {i} of many " * (i % 4)) for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
