@@ -24,11 +24,16 @@ other columns are dropped.
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import settle, shuffle_width
+from .frames import settle, shared_folder, shuffle_width
+
+CHUNK = 20_000
 
 
 def _fill(loads: list[int], size: int, count: int) -> list[int]:
@@ -44,13 +49,12 @@ def _fill(loads: list[int], size: int, count: int) -> list[int]:
     return level(low)
 
 
-def deal(histogram: dict[int, int], shards: int) -> dict[int, list[int]]:
-    """For each group size how many of its groups go to each shard: by size, largest first, each
-    to the least-loaded shard (of equals the first)."""
+def dealt(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """For each group size, largest first, how many of its groups go to each shard: each to the
+    least-loaded shard (of equals the first).  Only the heap of loads is kept."""
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for size in sorted(histogram, reverse=True):
-        left, taken = histogram[size], [0] * shards
+    for size, left in sizes:
+        taken = [0] * shards
         if left > shards:
             loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
             taken = _fill(loads, size, left)
@@ -61,8 +65,25 @@ def deal(histogram: dict[int, int], shards: int) -> dict[int, list[int]]:
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
             taken[s] += 1
-        out[size] = taken
-    return out
+        yield size, taken
+
+
+def deal(histogram: dict[int, int], shards: int) -> dict[int, list[int]]:
+    return dict(dealt(sorted(histogram.items(), reverse=True), shards))
+
+
+def _ends(histogram: DataFrame, shards: int) -> DataFrame:
+    """Up to which rank the groups of a size go to each shard.  Sizes pass the driver in descending
+    order, a partition at a time, and leave it in parts of ``CHUNK`` rows."""
+    spark = histogram.sparkSession
+    where, schema = f"{shared_folder(spark)}/ends-{uuid.uuid4().hex}", "bytes long, upto array<long>"
+    sizes = ((r["bytes"], r["n"]) for r in histogram.orderBy(F.desc("bytes")).toLocalIterator())
+    rows = ((size, list(accumulate(taken))) for size, taken in dealt(sizes, shards))
+    made = False
+    while part := list(islice(rows, CHUNK)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(where)
+        made = True
+    return spark.read.schema(schema).parquet(where) if made else spark.createDataFrame([], schema)
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16) -> DataFrame:
@@ -80,15 +101,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return df.withColumn("inside", inside).join(before, [key, "sub"]).withColumn("rank", F.col("inside") + F.col("before")).drop("inside", "before", "sub")
 
     groups = settle(rows.groupBy("g").agg(F.sum("size").alias("bytes")).withColumn("sub", F.pmod(F.xxhash64("g"), F.lit(width))))
-    histogram = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ends = []
-    for bytes_, taken in deal(histogram, shards).items():
-        total, upto = 0, []
-        for n in taken:
-            total += n
-            upto.append(total)
-        ends.append((bytes_, upto))
-    ends = spark.createDataFrame(ends, "bytes long, upto array<long>")
+    ends = _ends(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")), shards)
     place = F.size(F.filter("upto", lambda x: x <= F.col("rank"))).cast("int")
     homes = ranked(groups, "bytes", ["g"]).join(ends, "bytes").select("g", place.alias("shard"))
     placed = ranked(settle(rows.join(homes, "g")), "shard", ["d", "g"])
