@@ -22,8 +22,10 @@ def root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    """Cut the lineage by a reliable checkpoint in the shared folder; its files go when nothing
+    refers to it any more."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         context.setCheckpointDir(root(df.sparkSession))
     return df.checkpoint()
