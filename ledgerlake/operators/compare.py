@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, null_eq
+from ..shared import settle
 from .dedup import latest_by_key
 
 KEY = ["relative_path", "version_id"]
@@ -132,7 +133,8 @@ def final_renames(old: DataFrame, live: DataFrame, log: DataFrame | None = None)
     One full join of both sides on the key, one grouping by handle, one by key."""
     o = old.select(*KEY, F.col("file_handle").alias("_o"), F.lit(True).alias("_old"))
     n = live.select(*KEY, F.col("file_handle").alias("_n"), F.lit(True).alias("_live"))
-    both = o.join(n, KEY, "full")
+    both = settle(o.join(n, KEY, "full"))  # joined once, read twice
+    log = log if log is None else settle(log.select("operation_type", *KEY, "file_handle", "comment"))
     was, now = F.col("_old").isNotNull(), F.col("_live").isNotNull()
     left = was & F.coalesce(~now | (F.col("_o") != F.col("_n")), F.lit(False))
     fresh = now & (~was | (F.col("_n").isNotNull() & ~null_eq("_n", "_o")))
@@ -188,6 +190,7 @@ def delta_events(stage: DataFrame, base: DataFrame) -> DataFrame:
     rows = both.select(
         F.xxhash64(*KEY).alias("_k1"), F.xxhash64(F.lit(1), *KEY).alias("_k2"), n.alias("_n"), o.alias("_o"), F.when(now, F.array_position(F.array(*map(F.lit, CLASSES)), kind).cast("int")).alias("_class"), left.alias("_left"), fresh.alias("_fresh"), row("").alias("_new"), row("old_").alias("_was"),
     )
+    rows = settle(rows.where("_class is not null or _left"))  # joined once, read twice
     events = F.array_compact(F.array(F.when(F.col("_class").isNotNull(), F.struct(F.col("_class").alias("class"), F.lit(1).alias("weight"), F.col("_new").alias("row"))), F.when(F.col("_left"), F.struct(F.lit(DELETED).alias("class"), F.lit(1).alias("weight"), F.col("_was").alias("row")))))
     plain = rows.select(F.explode(events).alias("e")).select("e.class", "e.weight", "e.row.*")
 

@@ -144,3 +144,14 @@ def test_strong_hashes_for_candidates_only(spark):
     shared = weak.groupBy("bytes", "weak").count().where("count > 1")
     again = delta.candidates(df, weak.join(shared, ["bytes", "weak"], "left_semi"), ["doc_id"]).collect()
     assert sorted((r.doc_id, r["index"]) for r in again) == [(1, 0), (2, 0), (2, 1), (6, 0), (7, 0)]
+
+
+def test_weak_hash_of_large_blocks(spark):
+    from ledgerlake.functions import columns as fn
+
+    texts = ["", None, "a", "é" * 70_000, "xyz" * 100_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", fn.weak_hash("t").alias("w")).collect()
+    for r in got:
+        data = (texts[r.i] or "").encode()
+        a, b = sum(data) % 65521, sum((len(data) - j) * v for j, v in enumerate(data)) % 65521
+        assert r.w == (None if texts[r.i] is None else b << 16 | a)
