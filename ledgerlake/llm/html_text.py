@@ -62,7 +62,7 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
-# Attribute tokens that name the role of a container, by role.
+# A feature vocabulary: attribute tokens that name the role of a container, by role.
 TOKENS = {
     "main": "article content main post story entry body text articlebody prose".split(),
     "menu": "nav navigation menu navbar breadcrumb breadcrumbs toc pagination pager".split(),
