@@ -19,23 +19,51 @@ def one(df):
 ENTRY = "relative_path string, size long, is_dir boolean, is_symlink boolean, entry_kind string, size_observed boolean, mtime_ns long"
 
 
-@pytest.fixture(scope="module")
-def tree_rows(spark):
-    kinds = {"d": "directory", "l": "symlink", "f": "file"}
-    raw = [("docs", 512, "d"), ("docs/plan.odt", 340, "f"), ("docs/draft", 0, "f"), ("docs/old", 77, "d"), ("docs/old/notes.md", 21, "f"), ("docs/old/2019", 64, "d"), ("docs/old/2019/a.md", 5, "f"), ("docs-2", 9, "d"), ("docs-2/video.mkv", 4100, "f"), ("readme", 12, "f"), ("größe/übung.txt", 33, "f"), ("pics/x/y/z.png", 250, "f"), ("pics/cover.png", 40, "f"), ("latest", 999, "l")]
-    return spark.createDataFrame([(p, s, k == "d", k == "l", kinds[k], True, 0) for p, s, k in raw], ENTRY)
-
-
-@pytest.mark.parametrize("prefix,metric,size,files,rest", [("", "bytes", 4801, 9, True), ("docs/", "bytes", 366, 4, True), ("", "file_count", 4801, 9, True), ("größe/", "bytes", 33, 1, False), ("pics", "bytes", 290, 2, False), ("docs/old/", "file_count", 26, 2, False)])
-def test_tree(tree_rows, prefix, metric, size, files, rest):
-    out = tree.top_with_other(tree.children(tree_rows, prefix), 2, metric).collect()
-    assert (sum(r.bytes for r in out), sum(r.file_count for r in out)) == (size, files)
-    assert [r.path for r in out if r.kind == "other"] == [""] * rest and len(out) <= 2 + rest
-
-
-def test_tree_of_all_directories_agrees_with_one_level(tree_rows):
-    every = {r.path: r.bytes for r in tree.all_directories(tree_rows).collect()}
-    assert every[""] == 4801 and every["docs"] == 366 and every["docs/old"] == 26 and every["docs/old/2019"] == 5
+def seeded_tree(seed):
+    """Entries of a random forest: names that begin alike, characters of all kinds, some sizes not observed."""
+    rng = random.Random(seed)
+    names = ["a", "ab", "a b", "ü", "日", "x.tar", "A"]
+    rows = {}
+    for _ in range(rng.randint(20, 120)):
+        path = "/".join(rng.choice(names) for _ in range(rng.randint(1, 5)))
+        if not any(p == path or p.startswith(path + "/") or path.startswith(p + "/") and r[0] != "directory" for p, r in rows.items()):
+            rows[path] = (rng.choice(("file", "file", "file", "directory", "symlink")), rng.randrange(5000), rng.random() < 0.9, rng.randrange(10**6))
+    return rows
+
+
+def rolled_up(rows, prefix):
+    """Direct children of a prefix: kind, bytes, files, directories below, newest time."""
+    out = {}
+    for path, (kind, size, seen, at) in rows.items():
+        if kind == "symlink" or not path.startswith(prefix) or path == prefix:
+            continue
+        first, _, deeper = path[len(prefix) :].partition("/")
+        c = out.setdefault(prefix + first, ["file", 0, 0, 0, None])
+        c[0] = "directory" if deeper or kind == "directory" else c[0]
+        c[1] += size if kind == "file" and seen else 0
+        c[2] += kind == "file"
+        c[3] += kind == "directory" and bool(deeper)
+        c[4] = max(filter(None, (c[4], at if seen else None)), default=None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tree_of_a_seed(spark, seed):
+    rows = seeded_tree(seed)
+    df = spark.createDataFrame([(p, s, k == "directory", k == "symlink", k, seen, t) for p, (k, s, seen, t) in rows.items()], ENTRY)
+    for prefix in ["", *sorted({p.rsplit("/", 1)[0] + "/" for p in rows if "/" in p})[:4]]:
+        level = tree.children(df, prefix)
+        want = rolled_up(rows, prefix)
+        assert {r.path: [r.kind, r.bytes, r.file_count, r.directory_count, r.mtime_ns] for r in level.collect()} == want
+        for metric, k in (("bytes", 1), ("file_count", 2)):
+            out = tree.top_with_other(level, 3, metric).collect()
+            order = sorted(want, key=lambda p: (-want[p][k], p, want[p][0]))  # noqa: B023
+            assert [r.path for r in sorted(out, key=lambda r: r.rank)] == order[:3] + [""] * (len(want) > 3)
+            assert sum(r.bytes for r in out) == sum(w[1] for w in want.values()) and sum(r.file_count for r in out) == sum(w[2] for w in want.values())
+    totals = {r.path: (r.bytes, r.file_count) for r in tree.all_directories(df).collect()}
+    files = {p: (s if seen else 0) for p, (k, s, seen, _) in rows.items() if k == "file"}
+    above = {"", *(p.rsplit("/", i)[0] for p in files for i in range(1, p.count("/") + 1))} if files else set()
+    assert totals == {d: (sum(s for p, s in files.items() if not d or p.startswith(d + "/")), sum(not d or p.startswith(d + "/") for p in files)) for d in above}
 
 
 def test_renames_over_versions_and_logged_decisions(spark):
