@@ -69,10 +69,13 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     # How much shorter the speaker's own turns are when they are the assistant's.
     gain = F.when(context, F.lit(0)).otherwise(F.char_length(named) - len("assistant"))
     people = base.where(~context).select("conv_id", "speaker").distinct().withColumnRenamed("speaker", "perspective")
-    l, r = placed.alias("l"), people.alias("r")
-    views = l.join(r, F.col("l.conv_id").eqNullSafe(F.col("r.conv_id"))).select("l.*", "r.perspective")
+    # Turns meet the people block by block, so a conversation that holds a third of all turns is many keys.
+    placed = placed.withColumn("block", F.floor(F.col("position") / BLOCK))
+    l, r = placed.select("conv_id", "block").distinct().alias("l"), people.alias("r")
+    seats = l.join(r, F.col("l.conv_id").eqNullSafe(F.col("r.conv_id"))).select("l.*", "r.perspective")
+    l, r = placed.alias("l"), seats.alias("r")
+    views = l.join(r, F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("l.block") == F.col("r.block"))).select("l.*", "r.perspective")
     mine = F.col("speaker") == F.col("perspective")
-    views = views.withColumn("block", F.floor(F.col("position") / BLOCK))
     views = _prefixed(views, ["conv_id", "perspective"], [F.asc("position")], {"saved": F.when(mine, gain).otherwise(F.lit(0))})
     role = F.when(context, F.col("speaker")).when(mine, F.lit("assistant")).otherwise(F.lit("user"))
     head = F.when(mine, F.lit("assistant")).otherwise(named)
