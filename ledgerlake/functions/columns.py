@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..shipping import ship
+
 DAY_NS = 86_400_000_000_000
 
 # Bucket bounds and labels of the reports.
@@ -179,6 +181,7 @@ def _weak(blocks: pd.Series) -> pd.Series:
 
 def weak_hash(block: Column | str) -> Column:
     """The rolling checksum of a text's UTF-8 bytes, whole blocks at a time (131,072 bytes and more)."""
+    ship(SparkSession.getActiveSession())
     return _weak(F.encode(c(block), "UTF-8"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.fixtures import Tables, duck_with
+from ..shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +21,7 @@ def query(*tables: str, sql: str | None = None):
 
     def wrap(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         name = f.__name__
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(ship(spark), sf_dir))
         if sql is not None:
             ctes = duck_with(list(tables))
             body = sql.strip()

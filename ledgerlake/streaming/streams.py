@@ -6,10 +6,12 @@ a crash is in the result once."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.compare import final_renames, scan_compare
 from ..operators.dedup import latest_by_key
+from ..shipping import ship
 from ..sources.io import new_events
 
 
@@ -141,6 +144,7 @@ def running_stats(contributions: DataFrame, where: str) -> DataFrame:
             state.update(last)
             yield pd.DataFrame([[int(key[0]), *(b - a for a, b in zip(old[1:], last[1:]))]], columns=["dir", *COUNTERS])
 
+    ship(contributions.sparkSession)
     longs = ", ".join(f"{c} long" for c in COUNTERS)
     changes = contributions.groupBy("dir").applyInPandasWithState(step, f"dir long, {longs}", f"seq long, {longs}", "update", GroupStateTimeout.NoTimeout)
     return collected(changes, where, "update").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
@@ -215,7 +219,9 @@ def report_states(reports: DataFrame, where: str, keep_ms: int = 7 * 86_400_000)
 
     One arbitrary state on RocksDB; called again, it goes on from its checkpoint.  Expiry needs
     processing time, which alone would ask for one empty batch after the other."""
-    conf = reports.sparkSession.conf
+    # The driver reads the processor in a Python process of its own, which has no shipped files.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    conf = ship(reports.sparkSession).conf
     needed = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     old = {key: conf.get(key, None) for key in needed}
     for key, value in needed.items():
