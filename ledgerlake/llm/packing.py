@@ -42,7 +42,7 @@ from .tokens import encoder
 from .words import slices
 from .workers import lean
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 
 
 def closest_fill(counts: dict[int, int], window: int) -> dict[int, int]:

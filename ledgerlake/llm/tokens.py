@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 CACHE_CHUNKS = 700_000
 _WHITE = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
 _UNSAFE = rf"(^|{_WHITE}) ({_WHITE}|$)"
-RUN_CHUNKS = 20_000
+RUN_CHUNKS = 100_000
 LONG, PART_BYTES = 1 << 18, 2 << 20
 SEAM, TRIES = 4096, 12
 """Characters of a part's end that are left to the next part, and places tried for its beginning."""
