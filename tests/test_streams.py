@@ -56,3 +56,15 @@ def test_a_batch_of_reports_costs_few_state_calls():
     got = list(processor.handleInputRows((1,), iter(second), None))
     assert [r.status for r in got] == ["duplicate", "conflict", "stale", "advanced", "stale", "conflict"]
     assert len(calls) == 8  # four a micro-batch, however many reports it has
+
+
+def test_totals_by_replacement_without_python_workers(spark, tmp_path, monkeypatch):
+    """A directory's newer contribution replaces its older one, a late older one nothing."""
+    where, plans, kept = str(tmp_path / "in"), [], streams.collected
+    schema = "dir long, seq long, " + ", ".join(f"{c} long" for c in streams.COUNTERS)
+    monkeypatch.setattr(streams, "collected", lambda df, *a: plans.append(df._jdf.queryExecution().logical().toString()) or kept(df, *a))
+    for part, want in (([(1, 5, 10), (1, 4, 90), (2, -3, 7)], 17), ([(1, 3, 80), (2, 9, 8), (3, 1, 100)], 118)):
+        spark.createDataFrame([(d, s, *[n] * 5) for d, s, n in part], schema).write.mode("append").parquet(where)
+        got = streams.running_stats(spark.readStream.schema(schema).parquet(where), str(tmp_path / "out")).collect()
+        assert [tuple(r) for r in got] == [(want,) * 5]
+    assert plans and not any("Pandas" in p or "Python" in p for p in plans)
