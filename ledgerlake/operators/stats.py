@@ -117,7 +117,12 @@ OUTCOMES = ("complete", "interrupted", "unreadable")
 def scan_counts(contributions: DataFrame, *by: str) -> DataFrame:
     """The latest contribution of each directory replaces its earlier ones; then totals, per job where
     ``by`` names it: counters by kind and over all kinds, amounts, and listings by their outcome."""
-    last = latest_by_key(contributions, [*by, "dir"], "seq")
+    # The newest sequence of each directory first: two numbers a row; whole contributions are sorted
+    # only where they are their directory's newest.
+    keys = [*by, "dir"]
+    newest = contributions.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("seq").alias("_seq"))
+    last = contributions.join(newest, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "seq")], "left_semi")
+    last = latest_by_key(last, keys, "seq")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     kinds = [total(f"{c}_{k}").alias(f"{c}_{k}") for c in COUNTERS for k in KINDS]
     whole = [total(sum((F.col(f"{c}_{k}") for k in KINDS[1:]), F.col(f"{c}_{KINDS[0]}"))).alias(c) for c in COUNTERS]
