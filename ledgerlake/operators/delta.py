@@ -216,14 +216,60 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shifted_tokens(pairs: DataFrame, key: str, old: str = "old", new: str = "new", second: Callable[[np.ndarray, int], np.ndarray] = window_hashes) -> DataFrame:
     """(key, place, block): blocks of ``old`` found at any byte of ``new``, chosen left to right.
 
+    Pairs of files of at most ``RANGE_BYTES`` each are matched where they lie, without a shuffle;
+    larger ones in ranges, many tasks a file.  A block at its own place is preferred to others of
+    the same content, else the first."""
+    pairs = pairs.select(F.col(key).cast("long").alias("key"), F.coalesce(old, F.lit("")).alias("old"), F.coalesce(new, F.lit("")).alias("new")).withColumn("size", fn.block_size(F.octet_length("old")).cast("long"))
+    ship(pairs.sparkSession)
+    large = F.greatest(F.octet_length("old"), F.octet_length("new")) > RANGE_BYTES
+    found = pairs.where(~large).select("key", "size", F.encode("old", "UTF-8").alias("old"), F.encode("new", "UTF-8").alias("new")).mapInArrow(_matched, "key long, place long, size long, block long")
+    rest = settle(pairs.where(large))
+    return found if rest.isEmpty() else found.unionByName(_ranged_tokens(rest, second))
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each old file in its new one: windows of a block's weak hash are compared with
+    the old blocks themselves, and one that differs from all of them is passed over."""
+    for batch in batches:
+        keys, places, sizes, chosen = [], [], [], []
+        for row in zip(*batch.columns):  # one pair at a time as Python bytes
+            key, size, old, new = (x.as_py() for x in row)
+            many = len(old) // size
+            if not many or len(new) < size:
+                continue
+            first: dict[bytes, int] = {}
+            for i in range(many):
+                first.setdefault(old[i * size : (i + 1) * size], i)
+            known = np.unique(block_hashes(old[: many * size], size))
+            weak = weak_hashes(np.frombuffer(new, np.uint8), size)
+            where = np.flatnonzero(known[np.minimum(np.searchsorted(known, weak), len(known) - 1)] == weak)
+            i, begun = 0, len(places)
+            while i < len(where):
+                at = int(where[i])
+                part = new[at : at + size]
+                block = first.get(part)
+                if block is None:
+                    i += 1
+                    continue
+                own = at // size
+                if at % size == 0 and own < many and old[at : at + size] == part:
+                    block = own
+                places.append(at)
+                chosen.append(block)
+                i = int(np.searchsorted(where, at + size))
+            keys += [key] * (len(places) - begun)
+            sizes += [size] * (len(places) - begun)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, places, sizes, chosen)], ["key", "place", "size", "block"])
+
+
+def _ranged_tokens(pairs: DataFrame, second: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """``shifted_tokens`` of large files (key, old, new, size).
+
     A new file is many ranges, each a row with the reach of one block beyond it, so that every
     window lies in one.  A range finds its places by weak hash and then by a second rolling hash;
     for every way of entering it, it knows where the next one is entered, and a file's entries
     follow from those few numbers.  Chosen places are confirmed by SHA-256; one that the hashes
-    have wrongly suggested is struck out and the choice made again.  A block at its own place is
-    preferred to others of the same content, else the first."""
-    pairs = pairs.select(F.col(key).cast("long").alias("key"), F.coalesce(old, F.lit("")).alias("old"), F.coalesce(new, F.lit("")).alias("new")).withColumn("size", fn.block_size(F.octet_length("old")).cast("long"))
-    ship(pairs.sparkSession)
+    have wrongly suggested is struck out and the choice made again."""
     blocks_ = settle(_whole_blocks(pairs, second))
     known = blocks_.groupBy("key").agg(F.collect_set("weak").alias("weak"), F.collect_set("second").alias("second"))  # the square root of a file's bytes
     ranges = settle(_ranged(pairs, "key", "new").join(known, "key").repartition(F.col("key"), F.col("r")))
@@ -262,14 +308,17 @@ def _whole_blocks(pairs: DataFrame, hashes: Callable[[np.ndarray, int], np.ndarr
 
 
 def shifted_plan(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:
-    """Totals of ``shifted_tokens`` and of the old file's rest at the new one's end, per pair."""
+    """Totals of ``shifted_tokens`` and of the old file's rest at the new one's end, per pair.
+    The ends are compared where the texts are; only numbers are joined."""
     found = shifted_tokens(pairs, key, old, new).groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes"), F.max(F.col("place") + F.col("size")).alias("_at"))
     o, n = (F.encode(F.coalesce(c, F.lit("")), "UTF-8") for c in (old, new))
     rows = pairs.select(F.col(key).cast("long").alias("key"), o.alias("o"), n.alias("n"), fn.block_size(F.octet_length(o)).cast("long").alias("size"))
     rows = rows.withColumn("rest", (F.octet_length("o") % F.col("size")).cast("int")).withColumn("total", F.octet_length("n").cast("long"))
     tail = lambda c: F.expr(f"substring({c}, cast(octet_length({c}) - rest + 1 as int), rest)")
+    same = (F.col("rest") > 0) & (F.col("total") >= F.col("rest")) & (tail("o") == tail("n"))
+    rows = rows.select("key", "rest", "total", same.alias("same"))
     rows = rows.join(found, "key", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("_n", "_bytes", "_at")})
-    ends = (F.col("rest") > 0) & (F.col("total") - F.col("rest") >= F.col("_at")) & (tail("o") == tail("n"))
+    ends = F.col("same") & (F.col("total") - F.col("rest") >= F.col("_at"))
     return rows.select(F.col("key").alias(key), (F.col("_n") + ends.cast("long")).alias("matched_blocks"), (F.col("total") - F.col("_bytes") - F.when(ends, F.col("rest")).otherwise(0)).alias("literal_bytes"), F.col("total").alias("total_bytes"))
 
 

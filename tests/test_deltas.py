@@ -120,6 +120,34 @@ def test_wrong_hashes_are_struck_out(spark):
     assert sorted((r.place, r.block) for r in got) == places(old.encode(), new.encode()) != []
 
 
+def test_wrong_hashes_are_struck_out_of_ranges(spark, monkeypatch):
+    """As above where files are cut into ranges."""
+    monkeypatch.setattr(delta, "RANGE_BYTES", 1000)
+    test_wrong_hashes_are_struck_out(spark)
+
+
+def test_small_pairs_are_matched_where_they_lie(spark, monkeypatch):
+    """No range is made of them and no text is joined: the plan's one join has numbers on both sides."""
+    cut = []
+    monkeypatch.setattr(delta, "_ranged", lambda pairs, *_: cut.append(pairs) or pairs.crash)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    cases = [(i, o, "x" + o + say(rng.randrange(900))) for i, o in enumerate(say(rng.randrange(9000)) for _ in range(40))]
+    plan = delta.shifted_plan(spark.createDataFrame(cases, "doc_id long, old string, new string").repartition(3), "doc_id")
+    assert {r.doc_id: (r.matched_blocks, r.literal_bytes, r.total_bytes) for r in plan.collect()} == {i: totals(o.encode(), n.encode()) for i, o, n in cases}
+    joins = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            joins.append(node)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan._jdf.queryExecution().optimizedPlan())
+    assert len(joins) == 1 and not cut
+    assert not [f.dataType().typeName() for j in joins for f in j.schema().fields() if f.dataType().typeName() in ("string", "binary")]
+
+
 def test_query_over_whole_table(spark, sf_dir):
     t = Tables(spark, sf_dir)
     old, new = ({r.doc_id: (r.content or "").encode() for r in df.collect()} for df in file_pairs(t))
