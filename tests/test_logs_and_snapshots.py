@@ -88,6 +88,50 @@ def test_trace_chain_of_contained_paths(spark):
     assert got == {(1, "a b/c.txt", "trace"), (2, "a b/c.txt", "trace"), (3, "x/y", "trace"), (4, "x/y", "trace"), (5, "gone", "trace"), (6, "gone", "window")}
 
 
+def chained(rows, margin):
+    """Every line against every failed path."""
+    failed = {(at, p) for _, at, lv, m, ps in rows if lv == "ERROR" for p in [*ps, *m.split('"')[1:2]] if p}
+    bad = {p for _, p in failed}
+    traces = {(n, p, lv) for n, _, lv, m, ps in rows for p in bad if p in ps or p in m}
+    found = {(n, p) for n, p, _ in traces}
+    alone = bad - {p for n, p, _ in traces if any(r[0] == n and r[2] not in ("ERROR", None) for r in rows)}
+    near = {(n, p) for n, at, *_ in rows for t, p in failed if p in alone and abs(at - t) <= margin}
+    return {(*x, "trace") for x in found} | {(*x, "window") for x in near - found}
+
+
+@pytest.mark.parametrize("repeats", [0, 40])
+def test_windows_that_overlap(spark, repeats):
+    """Errors of one path close together, at the ends of slots and before 0; lines of one number."""
+    rng = random.Random(repeats)
+    at = lambda: rng.choice((rng.randrange(-9000, 9000), 200 * rng.randrange(-30, 30) + rng.choice((-1, 0, 1))))
+    rows = []
+    for n in range(700):
+        level, path = rng.choice(("ERROR", "INFO", "INFO", None)), f"p/{rng.randrange(40)}x"
+        rows.append((n, at(), level, f'failed "lost/{n % 9}": io' if level == "ERROR" and n % 3 else "text " + path, [path if level != "ERROR" or n % 5 else f"gone/{n % 4}"]))
+    rows += [(rng.randrange(100), at(), rng.choice(("ERROR", "INFO")), "again lost/3", ["gone/1"][: rng.randrange(2)]) for _ in range(repeats)]
+    df = spark.createDataFrame([(n, t, lv, m, [(p,) for p in ps]) for n, t, lv, m, ps in rows], "line long, at_us long, level string, message string, spans array<struct<path:string>>").repartition(3)
+    got = [tuple(r) for r in logs.trace_chain(df, 100).select("line", "error_path", "why").collect()]
+    assert len(got) == len(set(got)) and set(got) == chained(rows, 100)
+
+
+def test_window_pairs_are_not_shuffled(spark):
+    """Pairs of a line and a lone path grow with the square of the lines a minute: nothing is
+    exchanged, grouped or joined above the join that makes them."""
+    rows = [(n, n, "ERROR" if n % 2 else "INFO", "m", [f"gone/{n}"] if n % 2 else []) for n in range(400)]
+    df = spark.createDataFrame([(n, at, lv, m, [(p,) for p in ps]) for n, at, lv, m, ps in rows], "line long, at_us long, level string, message string, spans array<struct<path:string>>")
+    out = logs.trace_chain(df, 1000)
+    assert out.count() == 400 * 200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_grams_of_no_pattern_are_dropped(spark):
+    rows = spark.range(20_000).selectExpr("id", "concat('g', id) as gram")
+    kept = logs._among(rows, rows.where("id % 100 = 0"), "gram")
+    assert kept.columns == ["id", "gram"] and kept.where("id % 100 = 0").count() == 200 and kept.count() < 300
+    assert logs._among(rows, rows.limit(0), "gram").count() == 0
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     rng = random.Random(4)
     want = {}
