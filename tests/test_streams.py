@@ -2,6 +2,9 @@
 
 from pyspark.sql import Row
 
+from ledgerlake.plans.fixtures import Tables
+from ledgerlake.registry import rest
+from ledgerlake.shared import shared_folder
 from ledgerlake.streaming import streams
 
 
@@ -68,3 +71,30 @@ def test_totals_by_replacement_without_python_workers(spark, tmp_path, monkeypat
         got = streams.running_stats(spark.readStream.schema(schema).parquet(where), str(tmp_path / "out")).collect()
         assert [tuple(r) for r in got] == [(want,) * 5]
     assert plans and not any("Pandas" in p or "Python" in p for p in plans)
+
+
+def test_stage_has_as_many_files_as_the_listing(spark, sf_dir):
+    """Four tasks are no bound; each of two batches takes half of the files, however many they are."""
+    t = Tables(spark, sf_dir)
+    t.made["work_x"] = t("work_x").repartition(9)
+    sizes = []
+    stream = rest._stage_stream(t).select("k", "_metadata.file_path")
+    streams.run_to_end(stream, lambda df, b: sizes.append((df.select("file_path").distinct().count(), df.count())), shared_folder(spark, "halves"))
+    assert [files for files, _ in sizes] == [5, 4] and sum(n for _, n in sizes) == t("work_x").count()
+    few = []
+    t.made["work_x"] = t("work_x").coalesce(1)
+    streams.run_to_end(rest._stage_stream(t).select("k"), lambda df, b: few.append(df.count()), shared_folder(spark, "halves"))
+    assert len(few) == 2 and sum(few) == sum(n for _, n in sizes)
+
+
+def test_compared_batches_are_read_once(spark, sf_dir, monkeypatch):
+    """No batch is kept in memory, and base rows are the batch's own, in its columns."""
+    kept = []
+    kind = type(spark.range(1))
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name): kept.append(name) or f(self, *a))
+    t, where = Tables(spark, sf_dir), shared_folder(spark, "compare")
+    events = streams.compare_stream(rest._stage_stream(t), t("base_x"), where)
+    base = spark.read.parquet(f"{where}/base").drop("batch")
+    assert not kept and base.columns == t("work_x").columns
+    assert sorted(map(repr, base.collect())) == sorted(map(repr, t("work_x").collect())) and events.count() == base.count()
